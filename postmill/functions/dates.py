@@ -43,8 +43,10 @@ def _back(as_of: Column, micros: Column | int) -> Column:
 
 
 def _count(text: Column, regex: str, group: int = 1) -> Column:
-    digits = F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
-    return F.least(F.when(F.length(digits) > 9, MAX_COUNT).otherwise(digits.try_cast("bigint")), F.lit(MAX_COUNT))
+    """The number a regex captures, null when it does not match. `least` skips a null, so a
+    number too long for a bigint becomes the bound as well."""
+    digits = F.regexp_extract(text, regex, group)
+    return F.when(digits != "", F.least(digits.try_cast("bigint"), F.lit(MAX_COUNT)))
 
 
 def _ago(text: Column, as_of: Column, regex: str, unit: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from functools import reduce
@@ -38,6 +39,18 @@ def _rule(skill: V.Skill) -> tuple[list[str], list[str], list[str], list[str]]:
 _RULES = [(s.name, *_rule(s)) for s in V.SKILLS]
 _GATES = sorted({t for _, _, tokens, _, _ in _RULES for t in tokens})
 _TRIGGERS = sorted({t for _, plain, tokens, _, _ in _RULES for t in plain + tokens})
+_STEMS = sorted({t for _, _, _, stems, _ in _RULES for t in stems})
+_RULES_JSON = json.dumps(
+    [
+        {"name": name, "words": plain, "gates": tokens, "stems": stems, "regex": "|".join(regexes) or None}
+        for name, plain, tokens, stems, regexes in _RULES
+    ]
+)
+
+
+def _literal(text: str, schema: str) -> Column:
+    """A table as one literal (the optimizer folds the constant), however many entries it has."""
+    return F.from_json(F.lit(text), schema)
 
 
 def fold_for_tags(text: Column) -> Column:
@@ -56,27 +69,24 @@ def extract_skills(text: Column) -> Column:
     first word of a phrase is folded, and only that phrase's regular expression runs.
     """
     nothing = F.array().cast("array<string>")
-    among = lambda hits, words: F.arrays_overlap(hits, F.array(*map(F.lit, words)))
-    stems = sorted({s for _, _, _, stems, _ in _RULES for s in stems})
-
-    def tags(folded: Column, hits: Column) -> Column:
-        found = []
-        for name, plain, tokens, stems, regexes in _RULES:
-            tests = [among(hits, plain)] if plain else []
-            if regexes:
-                gates = ([among(hits, tokens)] if tokens else []) + [F.contains(folded, F.lit(s)) for s in stems]
-                tests.append(reduce(or_, gates) & folded.rlike("|".join(regexes)))
-            found.append(F.when(reduce(or_, tests), F.lit(name)))
-        return F.array_distinct(F.array_compact(F.array(*found)))
+    rules = _literal(
+        _RULES_JSON, "array<struct<name:string,words:array<string>,gates:array<string>,stems:array<string>,regex:string>>"
+    )
+
+    def holds(rule: Column, folded: Column, hits: Column) -> Column:
+        gate = F.arrays_overlap(hits, rule["gates"]) | F.exists(rule["stems"], lambda s: F.contains(folded, s))
+        return F.arrays_overlap(hits, rule["words"]) | (gate & F.rlike(folded, rule["regex"]))
 
     def with_hits(lower: Column) -> Column:
-        numbered = reduce(or_, [F.contains(lower, F.lit(s)) for s in stems])
+        numbered = reduce(or_, [F.contains(lower, F.lit(s)) for s in _STEMS])
         words = F.array_distinct(F.filter(F.split(lower, r"\W+"), lambda w: w.isin(_TRIGGERS)))
 
         def decide(hits: Column) -> Column:
             # Without a phrase to look for the folded text is null, and so is every test on it.
-            folded = F.when(numbered | among(hits, _GATES), fold_for_tags(lower))
-            return F.when((F.size(hits) > 0) | numbered, let(folded, lambda c: tags(c, hits))).otherwise(nothing)
+            phrases = numbered | F.exists(hits, lambda w: w.isin(_GATES))
+            tags = lambda c: F.transform(F.filter(rules, lambda r: holds(r, c, hits)), lambda r: r["name"])
+            found = let(F.when(phrases, fold_for_tags(lower)), tags)
+            return F.when((F.size(hits) > 0) | numbered, F.array_distinct(found)).otherwise(nothing)
 
         return let(words, decide)
 
@@ -102,7 +112,7 @@ def union_skills(*lists: Column) -> Column:
 
 
 def _map_literal(table: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return _literal(json.dumps(dict(table)), "map<string,string>")
 
 
 def normalize_skill(skill: Column, aliases: Mapping[str, str] | None = None) -> Column:
@@ -175,14 +185,12 @@ def implied_for_roles(
     """
     aliases = aliases if aliases is not None else V.alias_dictionary(role_skills)
     nothing = F.array().cast("array<string>")
-    entries = []
-    for role in role_skills:
-        for lv in V.LEVELS:
-            names = [V.normalize(n, aliases) for n in V.implied(role, lv, role_skills)]
-            entries += [F.lit(f"{role}|{lv}"), F.array(*map(F.lit, names)) if names else nothing]
-    if not entries:
-        return nothing
-    table = F.create_map(*entries)
+    lists = {
+        f"{role}|{lv}": [V.normalize(n, aliases) for n in V.implied(role, lv, role_skills)]
+        for role in role_skills
+        for lv in V.LEVELS
+    }
+    table = _literal(json.dumps(lists), "map<string,array<string>>")
     key = lambda r: F.concat(r, F.lit("|"), level)
     return F.flatten(F.transform(roles, lambda r: F.coalesce(F.try_element_at(table, key(r)), nothing)))
 

@@ -320,10 +320,12 @@ def _run_time(day: int) -> Column:
 
 
 def _star(spark: SparkSession, sf: str) -> S.Star:
-    """The store after two batches."""
+    """The store on disk after two batches."""
+    store = S.SnapshotStore(spark, f"{ingest.shared_folder(spark)}/star")
     tagged = P.tagged_postings(spark, sf)
-    first = S.upsert_star(S.empty_star(spark), _stored(tagged), _run_time(1))
-    return S.upsert_star(first, _arriving(tagged), _run_time(2))
+    store.upsert(_stored(tagged), _run_time(1))
+    store.upsert(_arriving(tagged), _run_time(2))
+    return store.read()
 
 
 def _batch(at: str) -> Column:

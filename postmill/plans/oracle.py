@@ -315,7 +315,7 @@ ENHANCED = f"""{TAGGED},
 leveled AS (SELECT *, {roles('lower(title)')} AS roles, {seniority('lower(title)')} AS level FROM tagged),
 parts AS (SELECT *, {normalized('skills')} AS ext, {normalized(implied_raw('roles', 'level'))} AS imp_all FROM leveled),
 imps AS (SELECT *, {implied_raw('roles', 'level')} AS imp_raw FROM parts),
-enhanced AS (SELECT *, list_concat(ext, imp_all) AS both FROM imps)"""
+enhanced AS (SELECT *, list_concat(ext, imp_all) AS every FROM imps)"""
 
 # W1 with window functions. `run` is the posting set of a run, `stored` the urls of the store.
 DEDUP = """
@@ -432,18 +432,18 @@ t AS (SELECT posting_no, {seniority(low)} AS level, unnest({roles(low)}) AS role
 SELECT posting_no, t.role, t.level, d.skill, min(d.level_rank * 1000 + d.pos) AS skill_pos FROM t JOIN dict d ON d.role = t.role
  AND d.level_rank <= CASE t.level WHEN 'junior' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END GROUP BY ALL"""
     out["enhanced_skills"] = f"""WITH {ENHANCED} SELECT posting_no, {joined('roles')} AS roles, level AS seniority,
-  {joined('ext')} AS extracted, {joined(ordered_distinct('both'))} AS final FROM enhanced"""
+  {joined('ext')} AS extracted, {joined(ordered_distinct('every'))} AS final FROM enhanced"""
     out["enhancement_report"] = f"""WITH {ENHANCED} SELECT posting_no, len(skills) AS n_extracted, len(ext) AS n_normalized,
-  len(imp_raw) AS n_implied, len({ordered_distinct('both')}) AS n_final,
-  array_to_string(({ordered_distinct('both')})[1:20], ', ') AS preview, array_to_string(roles, ', ') AS roles, level AS seniority FROM enhanced"""
+  len(imp_raw) AS n_implied, len({ordered_distinct('every')}) AS n_final,
+  array_to_string(({ordered_distinct('every')})[1:20], ', ') AS preview, array_to_string(roles, ', ') AS roles, level AS seniority FROM enhanced"""
     out["source_policy"] = f"""WITH {VIEW},
 f AS (SELECT *, {fold('title')} AS ft, {fold('description')} AS fd, {fold('company')} AS fc, {fold('salary')} AS fs,
       {roles(low)} AS roles, {seniority(low)} AS level FROM raw),
 k AS (SELECT *, {skills('ft')} AS kt, {skills('fd')} AS kd, {skills('fc')} AS kc, {skills('fs')} AS ks FROM f),
-e AS (SELECT *, list_concat({normalized(ordered_distinct('list_concat(list_concat(kt, kd), kc)'))}, {normalized(implied_raw('roles', 'level'))}) AS both FROM k),
-a AS (SELECT *, {ordered_distinct('both')} AS full FROM e)
-SELECT posting_no, source, {joined(f'''CASE source WHEN 'LinkedIn' THEN full
-  WHEN 'Indeed' THEN {merged_ci('list_concat(list_concat(list_concat(full, kt), kd), ks)')}
+e AS (SELECT *, list_concat({normalized(ordered_distinct('list_concat(list_concat(kt, kd), kc)'))}, {normalized(implied_raw('roles', 'level'))}) AS every FROM k),
+a AS (SELECT *, {ordered_distinct('every')} AS whole FROM e)
+SELECT posting_no, source, {joined(f'''CASE source WHEN 'LinkedIn' THEN whole
+  WHEN 'Indeed' THEN {merged_ci('list_concat(list_concat(list_concat(whole, kt), kd), ks)')}
   WHEN 'Bayt' THEN {ordered_distinct('list_concat(list_concat(kt, kd), kc)')}
   ELSE {ordered_distinct('list_concat(kt, kd)')} END''')} AS skills FROM a"""
     aliases = ", ".join(f"({q(a)}, {q(c)})" for a, c in V.alias_dictionary().items())

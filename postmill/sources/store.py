@@ -231,9 +231,16 @@ class SnapshotStore:
         return version
 
     def upsert(self, postings: DataFrame, now: Column, version: int | None = None) -> int:
-        """S5 on disk. `version` makes a retried batch idempotent (its batch id, say)."""
+        """S5 on disk. `version` makes a retried batch idempotent (its batch id, say).
+
+        The batch feeds all three tables, so it is written once next to them: whatever
+        produced it runs one time, and each table reads only the columns it needs.
+        """
         done = self.versions()
         if version is not None and version in done:
             return version
         number = version if version is not None else (done[-1] + 1 if done else 0)
-        return self.write(upsert_star(self.read(), postings, now), number)
+        batch = f"{self.root}/v={number}/batch"
+        postings.write.mode("overwrite").parquet(batch)
+        staged = self.spark.read.schema(postings.schema).parquet(batch)
+        return self.write(upsert_star(self.read(), staged, now), number)
