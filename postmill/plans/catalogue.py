@@ -18,6 +18,7 @@ from postmill.functions import skills as K
 from postmill.functions import text as N
 from postmill.functions import vocabulary as V
 from postmill.functions.jobtype import clean_location, job_type, job_type_from_store, job_type_to_store
+from postmill.functions.selectors import SELECTORS
 from postmill.functions.urls import BASE_URLS, canonical_url, posting_id
 from postmill.operators import dedup, enrich, frontier, pages, search, stats
 from postmill.operators import usability as U
@@ -570,9 +571,21 @@ def page_details(spark: SparkSession, sf: str) -> DataFrame:
     return pages.detail_fields(_pages_of_sources(spark, sf)).drop("page_tags")
 
 
+@query
+def page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages.detail_fields(_pages_of_sources(spark, sf))
+    return found.select("page_id", "source", "url", "title", "company", "location")
+
+
+# The test pages are articles: their navigation stands in for the cards of a listing.
+NAV_CARDS = {
+    name: {**table, "jobCard": ["nav li"], "jobCards": ["nav li"], "url": ["a"]} for name, table in SELECTORS.items()
+}
+
+
 @query
 def listing_links(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.listing_to_links(_pages_of_sources(spark, sf), P.as_of())
+    return pages.listing_to_links(_pages_of_sources(spark, sf), P.as_of(), NAV_CARDS)
 
 
 @query

@@ -366,6 +366,13 @@ def _band(names=("top", "middle", "low")) -> str:
 TITLE_SQL = r"regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
 
 
+def decoded(expr: str) -> str:
+    """Character references as the test pages use them."""
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        expr = f"replace({expr}, {q(reference)}, {q(char)})"
+    return expr
+
+
 def _dates(source: str) -> str:
     p = parsed(source, "date_text")
     posted = with_policy(source, p)
@@ -466,8 +473,8 @@ SELECT posting_id, title, company_name AS company, location, url, salary, coales
   source, {ts(f'coalesce(posted_at, {AS_OF})')} AS posted_at FROM s_postings LEFT JOIN n USING (posting_id)"""
     out["search_star"] = f"""WITH {STORE}, hits AS (SELECT * FROM s_links WHERE name ILIKE '%react%' OR name ILIKE '%sql%'),
 n AS (SELECT posting_id, array_to_string(list_sort(list(name)), '|') AS skills FROM hits GROUP BY posting_id)
-SELECT posting_id, title, skills, {ts(f'coalesce(posted_at, {AS_OF})')} AS posted_at FROM s_postings JOIN n USING (posting_id)
-{NEWEST} LIMIT 100"""
+SELECT posting_id, title, skills, {ts(f'coalesce(posted_at, {AS_OF})')} AS posted_at FROM s_postings s JOIN n USING (posting_id)
+ORDER BY s.posted_at DESC NULLS FIRST, posting_id LIMIT 100"""
     # Later rows delete earlier ones with their id or their url; the store's rows come first.
     out["replace_flat"] = f"""WITH {TAGGED},
 old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrival DESC) AS rn FROM tagged WHERE feed < 'src15') WHERE rn = 1),
@@ -525,8 +532,20 @@ l AS (SELECT location, row_number() OVER (ORDER BY md5('3:' || location), locati
 x AS (SELECT (tr - 1) * 2 + lr - 1 AS position, term, location FROM t, l WHERE tr <= 5 AND lr <= 2)
 SELECT position, term, location, 'https://www.linkedin.com/jobs/search?keywords=' || replace(term, ' ', '+') || '&location=' || location ||
   '&f_TPR=' || CASE WHEN position % 2 = 0 THEN 'r86400' ELSE 'r259200' END || '&f_JT=F&sortBy=DD' AS url FROM x WHERE position < 10"""
-    entities = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
-    out["page_titles"] = f"SELECT page_id, trim({entities.format(TITLE_SQL)}) AS title FROM pages"
+    board = _pick(P.SOURCES, "page_id")
+    out["page_titles"] = f"SELECT page_id, trim({decoded(TITLE_SQL)}) AS title FROM pages"
+    anchors = "unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', {}))"
+    out["page_links"] = f"""WITH a AS (SELECT page_id, {anchors.format(1)} AS href, {anchors.format(2)} AS label FROM pages)
+SELECT page_id, {decoded('href')} AS href, trim({decoded("regexp_replace(label, '<[^>]*>', '', 'g')")}) AS text FROM a"""
+    out["page_fields"] = f"""WITH p AS (SELECT page_id, url, {board} AS source, trim({decoded(TITLE_SQL)}) AS title FROM pages)
+SELECT page_id, source, url, title,
+  CASE source WHEN 'Wuzzuf' THEN 'Wuzzuf Company' WHEN 'Bayt' THEN 'Bayt.com' WHEN 'Indeed' THEN 'Indeed' ELSE 'Unknown Company' END AS company,
+  CASE source WHEN 'Wuzzuf' THEN 'Egypt' WHEN 'Glassdoor' THEN 'Not Specified' ELSE 'Remote' END AS location
+FROM p WHERE source <> 'LinkedIn' AND title <> '' AND NOT (source = 'Bayt' AND length(title) < 3)"""
+    nav = "unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"([^\"]*)\"', 1))"
+    out["listing_links"] = f"""WITH l AS (SELECT page_id, {board} AS source, {nav} AS href FROM pages),
+u AS (SELECT page_id, source, {canonical(decoded('href'), 'source')} AS url FROM l WHERE source <> 'Bayt' AND href <> '')
+SELECT source, url, min(page_id) AS page_id, '' AS date_text FROM u WHERE url IS NOT NULL GROUP BY source, url"""
     out["blocked_pages"] = """SELECT page_id, regexp_matches(lower(html), 'captcha|verification required|additional verification')
   OR contains(html, 'Job is OOO') OR contains(html, 'Access Denied') AS blocked FROM pages"""
     out["listing_detail_fallback"] = f"""WITH {VIEW}, detail AS (SELECT page_id, url, {TITLE_SQL} AS title FROM pages WHERE url LIKE 'https:%')
