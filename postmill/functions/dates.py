@@ -200,10 +200,9 @@ def age_days(posted: Column, as_of: Column) -> Column:
 
 def is_fresh(posted: Column, source: Column, as_of: Column) -> Column:
     """Young enough for its board; false for null dates and unknown boards."""
-    out = F.lit(False)
+    days = F.lit(None).cast("bigint")
     for name, policy in POLICIES.items():
-        ok = posted >= _back(as_of, policy.max_age_days * DAY)
-        if not policy.future_ok:
-            ok = ok & (posted <= as_of)
-        out = F.when(source == name, F.coalesce(ok, F.lit(False))).otherwise(out)
-    return out
+        days = F.when(source == name, F.lit(policy.max_age_days).cast("bigint")).otherwise(days)
+    strict = source.isin([name for name, policy in POLICIES.items() if not policy.future_ok])
+    young = F.unix_micros(posted) >= F.unix_micros(as_of) - days * DAY
+    return F.coalesce(young & (~strict | (posted <= as_of)), F.lit(False))

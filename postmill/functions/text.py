@@ -12,7 +12,7 @@ SPACES = (
     " \t\n\r\f\x0b\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-SPACE = f"[{SPACES}]"
+SPACE = "[\\s\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
 # Edges of an ASCII word. Java's \b counts letters such as "é" as word characters, these do not.
 WORD_START = "(?<![A-Za-z0-9_])"
@@ -43,8 +43,10 @@ def clean_text(text: Column) -> Column:
     flat = F.replace(collapse(text), F.lit("…"), F.lit(""))
     # The edge is checked after the letters: a look-behind at every position would be slow.
     glued = "(?i)new(?<![A-Za-z0-9_]new)(?=[0-9])"
-    first_only = F.regexp_replace(flat, f"(?is)^(.*?){WORD_START}new(?=[0-9])", "$1")
-    return F.btrim(let(flat, lambda _: F.when(flat.rlike(glued), first_only).otherwise(flat)))
+    first_new = lambda t: F.when(
+        t.rlike(glued), F.regexp_replace(t, f"(?is)^(.*?){WORD_START}new(?=[0-9])", "$1")
+    ).otherwise(t)
+    return F.btrim(let(flat, first_new))
 
 
 def normalize_for_match(text: Column, unicode: bool = False) -> Column:

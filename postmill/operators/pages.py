@@ -26,7 +26,7 @@ from postmill.functions.text import (
     trim_all,
 )
 from postmill.functions.urls import canonical_url
-from postmill.operators.common import filter_here
+from postmill.operators.common import compute_once, explode_once, filter_here
 
 Tables = Mapping[str, Mapping[str, Sequence[str]]]
 
@@ -386,17 +386,16 @@ def listing_to_links(pages: DataFrame, as_of: Column, tables: Tables = SELECTORS
         )
 
     rows = (
-        ready.select("page_id", "source", F.explode(F.transform("_cards", link)).alias("card"))
+        explode_once(ready, ["page_id", "source"], F.transform("_cards", link), "card")
         .filter(F.col("card.link").isNotNull())
         .select("page_id", "source", canonical_url(F.col("card.link"), source).alias("url"), "card.date_text")
     )
     # Only dates a text really names count against a link here; the rest waits for the detail page.
     named = F.when(F.col("date_text") != "", parse_posted(F.col("date_text"), source, as_of))
-    young = F.when(source == "Bayt", is_fresh(named, source, as_of)).otherwise(
-        named.isNull() | is_fresh(named, source, as_of)
-    )
+    dated = compute_once(rows.withColumn("_posted", named), "_posted")
+    young = is_fresh(F.col("_posted"), source, as_of) | (F.col("_posted").isNull() & (source != "Bayt"))
     return (
-        rows.filter(F.col("url").isNotNull() & young)
+        dated.filter(F.col("url").isNotNull() & young)
         .groupBy("source", "url")
         .agg(F.min(F.struct("page_id", "date_text")).alias("first"))
         .select("source", "url", "first.page_id", "first.date_text")

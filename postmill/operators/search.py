@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.common import filter_here
+from postmill.operators.common import explode_once
 
 RECENT_LIMIT = 1000
 API_LIMIT = 100
@@ -61,9 +61,9 @@ def by_skills_substring(
     if not skills:
         return recent_postings(df, limit, ties=ties)
     matches = F.filter("skills", lambda s: reduce(or_, [s.ilike(f"%{x}%") for x in skills]))
-    hit = filter_here(df.withColumn("_hits", matches), lambda row: F.size(row["_hits"]) > 0)
-    shown = hit if keep_all_skills else hit.withColumn("skills", F.col("_hits"))
-    return recent_postings(shown.drop("_hits"), limit, ties=ties)
+    hit = df.filter(F.size(matches) > 0)
+    shown = hit if keep_all_skills else hit.withColumn("skills", matches)
+    return recent_postings(shown, limit, ties=ties)
 
 
 def by_skills_element(
@@ -73,7 +73,7 @@ def by_skills_element(
     if not skills:
         raise ValueError("at least one skill is needed")
     wanted = [s.lower() for s in skills]
-    hit = filter_here(df, lambda row: F.exists(row["skills"], lambda s: F.lower(s).isin(wanted)))
+    hit = df.filter(F.exists("skills", lambda s: F.lower(s).isin(wanted)))
     return recent_postings(hit, limit, nulls_first=False, ties=ties)
 
 
@@ -144,12 +144,12 @@ def skill_vocabulary(
 ) -> DataFrame:
     """Distinct skills of the newest postings, in code-point order."""
     newest = recent_postings(df.select("posted_at", *ties, "skills"), limit, ties=ties)
-    return newest.select(F.explode("skills").alias("skill")).distinct().orderBy("skill")
+    return explode_once(newest, [], F.col("skills"), "skill").distinct().orderBy("skill")
 
 
 def distinct_skills(df: DataFrame) -> DataFrame:
     """A4: every skill in use."""
-    return df.select(F.explode("skills").alias("skill")).distinct()
+    return explode_once(df, [], F.col("skills"), "skill").distinct()
 
 
 def in_window(df: DataFrame, since: Column | datetime, until: Column | datetime, column: str = "created_at") -> DataFrame:

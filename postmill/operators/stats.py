@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.common import explode_once
+
 # Boards whose run only counts as a success when it found something.
 NEEDS_RESULTS = ("Wuzzuf", "Indeed", "Glassdoor")
 
@@ -29,7 +31,7 @@ def stats_map(df: DataFrame, source: str = "source") -> DataFrame:
 
 def skill_counts(df: DataFrame, *keys: str) -> DataFrame:
     """A4/A2 on exploded skills: postings per skill (and further keys)."""
-    return df.select(*keys, F.explode("skills").alias("skill")).groupBy(*keys, "skill").agg(F.count("*").alias("n"))
+    return explode_once(df, [*keys], F.col("skills"), "skill").groupBy(*keys, "skill").agg(F.count("*").alias("n"))
 
 
 def run_success(source: Column, found: Column, failed: Column) -> Column:

@@ -22,6 +22,7 @@ from postmill.functions.selectors import SELECTORS
 from postmill.functions.urls import BASE_URLS, canonical_url, posting_id
 from postmill.operators import dedup, enrich, frontier, pages, search, stats
 from postmill.operators import usability as U
+from postmill.operators.common import compute_once, explode_once
 from postmill.plans import pipeline
 from postmill.plans import posting_view as P
 from postmill.sources import postings as flat
@@ -213,7 +214,7 @@ def fresh_only(spark: SparkSession, sf: str) -> DataFrame:
     dated = P.raw_postings(spark, sf).select(
         "posting_no", "source", D.parse_posted(F.col("date_text"), F.col("source"), P.as_of()).alias("posted_at")
     )
-    return enrich.fresh_only(dated, P.as_of()).select("posting_no", "source", _ts("posted_at").alias("posted"))
+    return enrich.fresh_only(compute_once(dated, "posted_at"), P.as_of()).select("posting_no", "source", _ts("posted_at").alias("posted"))
 
 
 # --- classification and imputation ----------------------------------------------------------
@@ -232,9 +233,8 @@ def roles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def implied_skills(spark: SparkSession, sf: str) -> DataFrame:
     title = F.col("title")
-    detected = P.raw_postings(spark, sf).select(
-        "posting_no", F.explode(K.detect_roles(title)).alias("role"), K.detect_seniority(title).alias("level")
-    )
+    titled = P.raw_postings(spark, sf).select("posting_no", "title", K.detect_seniority(title).alias("level"))
+    detected = explode_once(titled, ["posting_no", "level"], K.detect_roles(title), "role")
     dictionary = role_skills_table(spark)
     return enrich.implied_skills(enrich.known_roles_only(detected, dictionary), dictionary)
 
@@ -402,21 +402,25 @@ def _shown(df: DataFrame, with_skills: bool = True) -> DataFrame:
     return df.select("posting_id", "posting_no", "title", _ts("posted_at").alias("posted_at"), *skills)
 
 
+def _searchable(spark: SparkSession, sf: str) -> DataFrame:
+    return compute_once(P.tagged_postings(spark, sf), "skills")
+
+
 @query
 def by_skills_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(search.by_skills_substring(P.tagged_postings(spark, sf), ["react", "sql"], ties=TIES))
+    return _shown(search.by_skills_substring(_searchable(spark, sf), ["react", "sql"], ties=TIES))
 
 
 @query
 def by_skills_keep_all(spark: SparkSession, sf: str) -> DataFrame:
     wanted = search.csv_param("java, ")
-    found = search.by_skills_substring(P.tagged_postings(spark, sf), wanted, keep_all_skills=True, ties=TIES)
+    found = search.by_skills_substring(_searchable(spark, sf), wanted, keep_all_skills=True, ties=TIES)
     return _shown(found)
 
 
 @query
 def by_skills_element(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(search.by_skills_element(P.tagged_postings(spark, sf), ["Java", "aws"], ties=TIES))
+    return _shown(search.by_skills_element(_searchable(spark, sf), ["Java", "aws"], ties=TIES))
 
 
 @query
