@@ -9,16 +9,21 @@ are expressions over that.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.text import let, or_else, trim_all
 
+# The helper travels with the UDF, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _INTS = lambda *names: [T.StructField(n, T.IntegerType()) for n in names]
 PAGE_TYPE = T.StructType(
     [
