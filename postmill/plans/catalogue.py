@@ -612,6 +612,15 @@ def pages_to_postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def pages_to_store(spark: SparkSession, sf: str) -> DataFrame:
+    store = S.SnapshotStore(spark, f"{ingest.shared_folder(spark)}/star")
+    pipeline.run(_pages_of_sources(spark, sf), store, P.as_of())
+    return store.read().postings.select(
+        "posting_id", "url", "source", "title", F.col("company_name").alias("company"), _ts("posted_at").alias("posted_at")
+    )
+
+
 # --- usability metrics ----------------------------------------------------------------------
 
 

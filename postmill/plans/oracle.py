@@ -542,6 +542,14 @@ SELECT page_id, source, url, title,
   CASE source WHEN 'Wuzzuf' THEN 'Wuzzuf Company' WHEN 'Bayt' THEN 'Bayt.com' WHEN 'Indeed' THEN 'Indeed' ELSE 'Unknown Company' END AS company,
   CASE source WHEN 'Wuzzuf' THEN 'Egypt' WHEN 'Glassdoor' THEN 'Not Specified' ELSE 'Remote' END AS location
 FROM p WHERE source <> 'LinkedIn' AND title <> '' AND NOT (source = 'Bayt' AND length(title) < 3)"""
+    out["pages_to_store"] = f"""WITH p AS (SELECT page_id, url, {board} AS source, trim({decoded(TITLE_SQL)}) AS heading FROM pages),
+c AS (SELECT page_id AS arrival, url, source, CASE source WHEN 'Bayt' THEN heading ELSE {clean('heading')} END AS title,
+  CASE source WHEN 'Bayt' THEN 'Bayt.com' WHEN 'Indeed' THEN 'Indeed' ELSE 'Unknown Company' END AS company,
+  CASE source WHEN 'Indeed' THEN {AS_OF} - to_days(3) ELSE {AS_OF} END AS posted
+  FROM p WHERE source IN ('Bayt', 'Indeed', 'Glassdoor') AND heading <> '' AND NOT (source = 'Bayt' AND length(heading) < 3)),
+run AS (SELECT *, {signature('title', 'company')} AS signature FROM c),
+stored AS (SELECT url FROM run WHERE false),{DEDUP}
+SELECT md5(url) AS posting_id, url, source, title, company, {ts('posted')} AS posted_at FROM status WHERE status = 'saved'"""
     nav = "unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"([^\"]*)\"', 1))"
     out["listing_links"] = f"""WITH l AS (SELECT page_id, {board} AS source, {nav} AS href FROM pages),
 u AS (SELECT page_id, source, {canonical(decoded('href'), 'source')} AS url FROM l WHERE source <> 'Bayt' AND href <> '')

@@ -11,7 +11,7 @@ from postmill.functions.vocabulary import ROLE_SKILLS, RoleSkills
 from postmill.operators.dedup import dedup_run
 from postmill.operators.enrich import fresh_only, make_postings
 from postmill.operators.pages import detail_to_raw
-from postmill.sources.store import Star, upsert_star
+from postmill.sources.store import SnapshotStore, Star
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,14 @@ def saved_rows(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("status") == "saved").drop("status", "reason")
 
 
-def run(pages: DataFrame, store: Star, now: Column, options: PipelineOptions = PipelineOptions()) -> tuple[DataFrame, Star]:
-    """One run: the judged rows and the store after it."""
-    judged = judge(pages_to_postings(pages, now, options), store, options)
-    return judged, upsert_star(store, saved_rows(judged), now)
+def run(pages: DataFrame, store: SnapshotStore, now: Column, options: PipelineOptions = PipelineOptions()) -> DataFrame:
+    """One run: pages to a new version of the store. Returns the judged rows.
+
+    Deduplication looks at the postings several times, so they are staged first: pages are
+    parsed and texts tagged once.
+    """
+    version = store.next_version()
+    postings = store.stage(pages_to_postings(pages, now, options), version, "incoming")
+    judged = judge(postings, store.read(), options)
+    store.upsert(saved_rows(judged), now, version)
+    return judged

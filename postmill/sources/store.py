@@ -230,17 +230,27 @@ class SnapshotStore:
         self._fs.create(self._path(f"{base}/_COMPLETE"), True).close()
         return version
 
-    def upsert(self, postings: DataFrame, now: Column, version: int | None = None) -> int:
-        """S5 on disk. `version` makes a retried batch idempotent (its batch id, say).
+    def next_version(self) -> int:
+        done = self.versions()
+        return done[-1] + 1 if done else 0
 
-        The batch feeds all three tables, so it is written once next to them: whatever
-        produced it runs one time, and each table reads only the columns it needs.
+    def stage(self, df: DataFrame, version: int, name: str) -> DataFrame:
+        """Write a frame next to a version's tables and read it back.
+
+        What follows uses it several times; this way whatever produced it runs once, and
+        each use reads only the columns it needs. A retry writes the same rows again.
         """
-        done = self.versions()
-        if version is not None and version in done:
-            return version
-        number = version if version is not None else (done[-1] + 1 if done else 0)
-        batch = f"{self.root}/v={number}/batch"
-        postings.write.mode("overwrite").parquet(batch)
-        staged = self.spark.read.schema(postings.schema).parquet(batch)
-        return self.write(upsert_star(self.read(), staged, now), number)
+        path = f"{self.root}/v={version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def staged(self, version: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/v={version}/{name}")
+
+    def upsert(self, postings: DataFrame, now: Column, version: int | None = None) -> int:
+        """S5 on disk. `version` makes a retried batch idempotent (its batch id, say)."""
+        number = self.next_version() if version is None else version
+        if number in self.versions():
+            return number
+        batch = self.stage(postings, number, "batch")
+        return self.write(upsert_star(self.read(), batch, now), number)

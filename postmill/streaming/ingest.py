@@ -28,29 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 def ingest_batch(store: SnapshotStore, runs_path: str, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body - deduplicate, upsert, note the run.
 
-    A micro-batch is a run. The store version is the batch id, so a replayed batch finds its
-    version complete and changes nothing; the run's row is overwritten with the same row.
+    A micro-batch is a run. It is staged first, so its source is read once. The store version
+    is the batch id: a replayed batch finds its version complete and changes nothing, and the
+    run's row is written before the version is marked.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        at = now()
         if batch_id in store.versions():
             return
-        stored = store.read()
-        judged = dedup_run(batch, stored.postings.select("url")).persist()
-        try:
-            store.upsert(judged.filter(F.col("status") == "saved"), at, version=batch_id)
-            counts = judged.agg(
-                F.lit(str(batch_id)).alias("run_id"),
-                F.min("extracted_at").alias("since"),
-                at.alias("until"),
-                F.count("*").alias("fetched"),
-                F.count_if(F.col("status") == "saved").alias("saved"),
-                F.count_if(F.col("status") == "duplicate").alias("duplicates"),
-            )
-            counts.coalesce(1).write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
-        finally:
-            judged.unpersist()
+        at = now()
+        incoming = store.stage(batch, batch_id, "incoming")
+        judged = dedup_run(incoming, store.read().postings.select("url"))
+        saved = store.stage(judged.filter(F.col("status") == "saved").drop("status", "reason"), batch_id, "saved")
+        n_saved = saved.agg(F.count("*")).scalar()
+        counts = incoming.agg(
+            F.lit(str(batch_id)).alias("run_id"),
+            F.min("extracted_at").alias("since"),
+            at.alias("until"),
+            F.count("*").alias("fetched"),
+        ).select("*", n_saved.alias("saved"), (F.col("fetched") - n_saved).alias("duplicates"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
+        store.upsert(saved, at, version=batch_id)
 
     return save
 
