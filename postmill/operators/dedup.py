@@ -49,34 +49,32 @@ def dedup_run(
     In arrival order a posting is saved iff it is the first with its signature in the run,
     its url is not stored, and it is the first such survivor for its url. The first of a
     signature blocks the rest even when its own url was already stored.
-    `stored_urls` has one column `url`; `order` must be unique.
+    `reason` says whether a duplicate fell to its signature or its url.
+    `stored_urls` has a column `url`; `order` must be unique.
     """
     keyed = postings.withColumn("_signature", signature(F.col("title"), F.col("company"), unicode))
-    keys = keyed.select(order, "_signature", "url")
-    leaders = first_per_key(keys, "_signature", order).select(order)
-    candidates = keys.join(leaders, order, "left_semi").select("url", order)
-    stored = stored_urls.select("url").distinct().withColumn("_stored", F.lit(True))
-    # One row per url on both sides of the store look-up, so it cannot skew.
-    verdicts = (
-        first_per_key(candidates, "url", order)
-        .withColumnRenamed(order, "_first")
-        .join(stored, "url", "left")
-        .select("url", "_first", F.coalesce("_stored", F.lit(False)).alias("_stored"))
+    # First of each signature, then first of each url among those: both keep one partial row per
+    # key and task, so hot signatures and urls cost nothing extra.
+    leaders = (
+        keyed.groupBy("_signature")
+        .agg(F.min(order).alias(order), F.min_by("url", order).alias("url"))
+        .select(order, "url")
     )
-    judged = candidates.join(verdicts, "url").select(
-        order,
-        F.when(F.col("_stored"), "stored url")
-        .when(F.col(order) > F.col("_first"), "url saved in this run")
-        .alias("_reason"),
-        F.lit(True).alias("_leader"),
+    firsts = first_per_key(leaders, "url", order)
+    saved = firsts.join(stored_urls.select("url"), "url", "left_anti").select(order)
+    marks = (
+        leaders.select(order, F.lit(1).alias("_mark"))
+        .unionByName(saved.select(order, F.lit(2).alias("_mark")))
+        .groupBy(order)
+        .agg(F.max("_mark").alias("_mark"))
     )
-    reason = F.when(F.col("_leader").isNull(), "signature").otherwise(F.col("_reason"))
+    reason = F.when(F.col("_mark").isNull(), "signature").when(F.col("_mark") == 1, "url")
     return (
         keyed.drop("_signature")
-        .join(judged, order, "left")
+        .join(marks, order, "left")
         .withColumn("reason", reason)
-        .withColumn("status", F.when(F.col("reason").isNull(), "saved").otherwise("duplicate"))
-        .drop("_leader", "_reason")
+        .withColumn("status", F.when(F.col("_mark") == 2, "saved").otherwise("duplicate"))
+        .drop("_mark")
     )
 
 

@@ -323,8 +323,7 @@ sig AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY arrival) AS
 lead AS (SELECT arrival, url, url IN (SELECT url FROM stored) AS in_store,
          row_number() OVER (PARTITION BY url ORDER BY arrival) AS url_rn FROM sig WHERE sig_rn = 1),
 judged AS (
-  SELECT s.*, CASE WHEN s.sig_rn > 1 THEN 'signature' WHEN l.in_store THEN 'stored url'
-                   WHEN l.url_rn > 1 THEN 'url saved in this run' END AS reason
+  SELECT s.*, CASE WHEN s.sig_rn > 1 THEN 'signature' WHEN l.in_store OR l.url_rn > 1 THEN 'url' END AS reason
   FROM sig s LEFT JOIN lead l USING (arrival)
 ),
 status AS (SELECT *, CASE WHEN reason IS NULL THEN 'saved' ELSE 'duplicate' END AS status FROM judged)"""

@@ -31,9 +31,9 @@ def test_run_dedup_golden(spark):
     assert got == {
         1: ("saved", None),
         2: ("duplicate", "signature"),
-        3: ("duplicate", "stored url"),
+        3: ("duplicate", "url"),
         4: ("duplicate", "signature"),
-        5: ("duplicate", "url saved in this run"),
+        5: ("duplicate", "url"),
     }
     assert stats.run_totals(judged).first().asDict() == {"fetched": 5, "saved": 1, "duplicates": 4}
 
