@@ -39,6 +39,9 @@ def _rule(skill: V.Skill) -> tuple[list[str], list[str], list[str], list[str]]:
 _RULES = [(s.name, *_rule(s)) for s in V.SKILLS]
 _GATES = sorted({t for _, _, tokens, _, _ in _RULES for t in tokens})
 _TRIGGERS = sorted({t for _, plain, tokens, _, _ in _RULES for t in plain + tokens})
+# Written as SQL so that a plan is built with one call rather than one per word.
+_IS_TRIGGER = "w -> w IN ('" + "', '".join(_TRIGGERS) + "')"
+_IS_GATE = "w -> w IN ('" + "', '".join(_GATES) + "')"
 _STEMS = sorted({t for _, _, _, stems, _ in _RULES for t in stems})
 _RULES_JSON = json.dumps(
     [
@@ -79,11 +82,11 @@ def extract_skills(text: Column) -> Column:
 
     def with_hits(lower: Column) -> Column:
         numbered = reduce(or_, [F.contains(lower, F.lit(s)) for s in _STEMS])
-        words = F.array_distinct(F.filter(F.split(lower, r"\W+"), lambda w: w.isin(_TRIGGERS)))
+        words = F.array_distinct(F.call_function("filter", F.split(lower, r"\W+"), F.expr(_IS_TRIGGER)))
 
         def decide(hits: Column) -> Column:
             # Without a phrase to look for the folded text is null, and so is every test on it.
-            phrases = numbered | F.exists(hits, lambda w: w.isin(_GATES))
+            phrases = numbered | F.call_function("exists", hits, F.expr(_IS_GATE))
             tags = lambda c: F.transform(F.filter(rules, lambda r: holds(r, c, hits)), lambda r: r["name"])
             found = let(F.when(phrases, fold_for_tags(lower)), tags)
             return F.when((F.size(hits) > 0) | numbered, F.array_distinct(found)).otherwise(nothing)
