@@ -244,9 +244,6 @@ class SnapshotStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def staged(self, version: int, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={version}/{name}")
-
     def upsert(self, postings: DataFrame, now: Column, version: int | None = None) -> int:
         """S5 on disk. `version` makes a retried batch idempotent (its batch id, say)."""
         number = self.next_version() if version is None else version

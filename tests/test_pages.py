@@ -59,8 +59,7 @@ def test_wuzzuf(details):
     r = details[1]["Wuzzuf"]
     assert (r.title, r.company, r.location, r.salary, r.at) == ("QA Engineer", "Nile Co", "Giza", "9000 EGP", "03-28 12")
     assert r.description == LONG.strip()
-    assert r.page_tags[:3] == ["Selenium", "SQL", "x"] or "Team work" in r.page_tags
-    assert {"Selenium", "SQL", "Team work"} <= set(r.page_tags)
+    assert r.page_tags == ["Team work", "Selenium", "SQL"]
 
 
 def test_indeed(details):
@@ -84,9 +83,8 @@ def test_bayt(details):
 
 def test_made_into_postings(details):
     made = {r.source: r for r in make_postings(details[0].drop("at"), P.as_of()).collect()}
-    assert made["LinkedIn"].skills[:3] == ["React", "AWS", "Frontend Development"] or "React" in made["LinkedIn"].skills
-    assert "Webpack" not in made["LinkedIn"].skills
-    assert made["Wuzzuf"].skills[0] in {"Selenium", "SQL", "Team work"}
+    assert made["LinkedIn"].skills == ["React"]  # a line break adds no blank, so "AWSdaily" is one word
+    assert made["Wuzzuf"].skills == ["Team work", "Selenium", "SQL"]
     assert made["Bayt"].job_type == "full-time" and made["Indeed"].job_type == "full-time"
     assert made["Indeed"].posting_id.startswith("indeed_") and len(made["Indeed"].posting_id) == 39
 
