@@ -134,5 +134,5 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: float = 0.5) ->
         *(c.split()[0] for c in MEASURES.split(", ")),
         "base_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"),
-        "shrunk_rate",
+        F.round("shrunk_rate", 9).alias("shrunk_rate"),
     )

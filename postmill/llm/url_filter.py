@@ -26,7 +26,7 @@ from postmill.llm.common import ascii_lower, shared_folder, staged
 
 #: Listed keys of a segment, about, and hash functions of a level (half of a filter's bits are set,
 #: so a foreign key passes one level in 2^HASHES).
-SEGMENT_KEYS, HASHES = 20_000, 5
+SEGMENT_KEYS, HASHES = 2_000, 5
 BITS_PER_KEY = HASHES / 0.6931
 
 #: Cascades up to this many bits (8 MB) are shipped with the plan.
@@ -111,15 +111,18 @@ class Cascade:
         if not self.levels:
             return df.withColumn(name, F.lit(False))
         if self.literal:
-            words = [self._literal(level) for level in range(self.levels)]
-            return df.withColumn(name, _odd([_passes(F.col(key), k, F.get(w, segment)) for k, w in enumerate(words)]))
+            held = df.withColumns({f"_w{k}": F.get(self._literal(k), segment) for k in range(self.levels)})
+            return held.withColumn(name, self._listed(key)).select(*df.columns, name)
         pivot = self.filters.groupBy("segment").agg(
             *[F.first(F.when(F.col("level") == k, F.col("words")), ignorenulls=True).alias(f"_w{k}") for k in range(self.levels)]
         )
         copies = pivot.withColumnRenamed("segment", "_segment").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = df.withColumn("_segment", segment).withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
         judged = salted.join(copies, ["_segment", "_salt"], "left")
-        return judged.withColumn(name, _odd([_passes(F.col(key), k, F.col(f"_w{k}")) for k in range(self.levels)])).select(*df.columns, name)
+        return judged.withColumn(name, self._listed(key)).select(*df.columns, name)
+
+    def _listed(self, key: str) -> Column:
+        return _odd([_passes(F.col(key), k, F.col(f"_w{k}")) for k in range(self.levels)])
 
     def _literal(self, level: int) -> Column:
         """All segments' filters of a level as one array, by a scalar subquery."""
@@ -159,12 +162,12 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 40)
         own = staged(_filters(inside, levels), folder, f"filter-{levels}")
         parts.append(own.select(F.lit(levels).alias("level"), "segment", "words"))
         total += n * BITS_PER_KEY
-        tested = outside.join(own, "segment") if segments * SEGMENT_KEYS > MAX_LITERAL_BITS / BITS_PER_KEY else None
-        if tested is None:
-            one = Cascade(parts[-1], levels + 1, segments, True)
-            passed = outside.filter(_passes(F.col("key"), levels, F.get(one._literal(levels), F.col("segment"))))
+        if n * BITS_PER_KEY <= MAX_LITERAL_BITS:
+            one = Cascade(parts[-1], levels + 1, segments, True)._literal(levels)
+            tested = outside.withColumn("words", F.get(one, F.col("segment")))
         else:
-            passed = tested.filter(_passes(F.col("key"), levels, F.col("words"))).select("segment", "key")
+            tested = outside.join(own, "segment")
+        passed = tested.filter(_passes(F.col("key"), levels, F.col("words"))).select("segment", "key")
         wrong = staged(passed, folder, f"passed-{levels}")
         inside, outside, n = wrong, inside, wrong.count()
         levels += 1
