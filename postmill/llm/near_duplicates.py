@@ -15,6 +15,8 @@ A task reads full texts, rebuilds the sets and returns a spanning forest of the
 in a large group without early links grows with the square of its blocks in tasks, in memory it
 does not grow.
 
+The joins over all documents are merge joins at every size: both sides grow with the corpus.
+
 Edge cases: a null or empty text, or one without words, has the empty set and no links; null doc_ids take
 no part (component_id null, kept true); repeated rows of one doc_id are each returned; if their texts
 differ, each text has its own links and comparisons read one of the texts; an empty table gives no rows. Other columns are ignored.
@@ -248,15 +250,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     usable = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), folder, "classes")
     reps = classes.select("digest", F.col("rep").alias("doc_id"))
-    keyed = usable.select("digest", "doc_id", "bands").join(reps, ["digest", "doc_id"])
+    keyed = usable.select("digest", "doc_id", "bands").join(reps.hint("merge"), ["digest", "doc_id"])
     keyed = staged(keyed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), folder, "keyed")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     shared = staged(shared, folder, "shared")
-    buckets = staged(keyed.join(shared, "bucket"), folder, "buckets")
+    buckets = staged(keyed.join(shared.hint("merge"), "bucket"), folder, "buckets")
     ids = buckets.select("id").distinct().withColumnRenamed("id", "doc_id")
     texts = staged(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(ids, "doc_id")
+        .join(ids.hint("merge"), "doc_id")
         .select(F.col("doc_id").alias("id"), "text"),
         folder,
         "texts",
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         comp = components(links.union(more), folder, "all")
     label = comp.select(F.col("id").alias("rep"), "label")
     found = staged(classes.join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id")), folder, "found")
-    return signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left").select(
+    return signed.select("doc_id", "n_shingles", "digest").join(found.hint("merge"), "digest", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
