@@ -1,24 +1,25 @@
 """Token ids on disk: frequency-ranked ids in byte-aligned variable-length coding.
 
-Every document is tokenized, closed with an end id and written in ascending doc_id order. An id
+Every document is tokenized once, closed with an end id and written in ascending doc_id order. An id
 is stored as its frequency rank over the whole corpus in the fewest of 1 to 4 bytes; the lengths
 sit apart, four to a control byte. A reader looks each control byte up in a table of lengths and
 gathers the bytes with numpy, without a loop over ids.
 
-Layout: `<path>/ranks` (rank, id) and `<path>/blocks`, one row per block of documents: shard
-(range of doc_ids, ascending), block, start (ids before it in its shard), n_ids, doc_ids, doc_lens,
-control, data. Blocks hold a few MB of text and are independent of each other.
+Layout: `<path>/ranks` (rank, id) and `<path>/docs`: shard (a range of doc_ids, ascending), doc_id,
+start (ids before it in its shard), n_ids, control, data. Documents decode independently of each other.
 
-The tokenizer splits at white space, so a task tokenizes each distinct word once.
+The tokenizer splits at white space, so a worker tokenizes each distinct word once while it remembers it.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; repeated doc_ids are
-kept as they are, ordered by text; an empty table gives no blocks and no rows. Other columns are ignored.
+kept as they are, ordered by their packed ids; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.common import bytes_of, text_chunks
+from postmill.llm.common import bytes_of, staged, text_chunks
 
-#: Distinct words a task remembers; beyond it the memory starts afresh.
-WORDS_KEPT = 200_000
+#: Distinct words a worker remembers; beyond it the memory starts afresh.
+WORDS_KEPT = 1_000_000
 
-BLOCKS = (
-    "shard int, block int, start long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>,"
-    " control binary, data binary"
-)
+#: New words tokenized in one call.
+CALL_WORDS = 5_000
+
+DOCS = "shard int, doc_id long, start long, n_ids long, control binary, data binary"
 
 #: For each control byte the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -60,108 +61,149 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def _coder(tokenizer_file: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """A function from texts to id arrays that tokenizes each new word once."""
-    from tokenizers import Tokenizer
+class WordCoder:
+    """Ids of texts, word by word, with a memory of the words met."""
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.encode_special_tokens = True
+        # A special token between words keeps the words of one call apart.
+        self.joined = Tokenizer.from_file(tokenizer_file)
+        special = [(i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special]
+        self.mark = min(special, default=None)
+        self.specials = tuple(content.encode() for _, content in special)
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = [w for w in words if self.mark is None or any(s in w for s in self.specials)]
+        for w in odd:
+            self.known[w] = np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        even = words if not odd else [w for w in words if w not in set(odd)]
+        for k in range(0, len(even), CALL_WORDS):
+            part = even[k : k + CALL_WORDS]
+            text = self.mark[1].join([w.decode() for w in part])
+            ids = np.array(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            flat, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = flat[4 * at : 4 * end]
+                at = end + 1
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        split = [t.split() for t in texts]
+        self._learn(list({w for words in split for w in words}.difference(self.known)))
+        known = self.known
+        return [b"".join([known[w] for w in words]) for words in split]
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
 
-    def code(texts: list[bytes]) -> list[np.ndarray]:
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(known))
-        for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+@lru_cache(maxsize=2)
+def coder(tokenizer_file: str) -> WordCoder:
+    """The coder of this process."""
+    return WordCoder(tokenizer_file)
 
-    return code
 
+def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+    """doc_id and ids with the end id (binary, little-endian unsigned 32-bit) of every document."""
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = coder(tokenizer_file)
+        for chunk in text_chunks(batches):
+            ids = [i + end for i in words.encode(bytes_of(chunk))]
+            yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id"), "ids": pa.array(ids, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
-def id_counts(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """How often each id occurs in all documents with their end ids: (id, n)."""
+
+def id_counts(coded: DataFrame) -> DataFrame:
+    """How often each id occurs: (id, n), counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, total = _coder(tokenizer_file), np.zeros(end_id + 1, np.int64)
-        for chunk in text_chunks(batches):
-            ids = np.concatenate([*code(bytes_of(chunk)), np.full(chunk.num_rows, end_id, "<u4")])
-            here = np.bincount(ids, minlength=len(total))
-            here[: len(total)] += total
-            total = here
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(k, 500).to_pylist()), "<u4")
+                here = np.bincount(ids, minlength=len(total))
+                here[: len(total)] += total
+                total = here
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
 
-    return docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     """Write all documents' ids under `path`. The rank table is as large as the vocabulary."""
     spark = docs.sparkSession
-    ranked = id_counts(docs, tokenizer_file, end_id).orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy()
+    coded = staged(tokenized(docs, tokenizer_file, end_id), path, "tokenized")
+    ranked = id_counts(coded).orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy()
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ranked)], "rank int, id long").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, "<u4")
     rank_of[ranked] = np.arange(len(ranked))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, shard, start = _coder(tokenizer_file), TaskContext.get().partitionId(), 0
-        for k, chunk in enumerate(text_chunks(batches)):
-            parts = [np.append(ids, np.uint32(end_id)) for ids in code(bytes_of(chunk))]
-            control, data = pack(rank_of[np.concatenate(parts)])
-            lens = [len(p) for p in parts]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shard": pa.array([shard], pa.int32()),
-                    "block": pa.array([k], pa.int32()),
-                    "start": pa.array([start], pa.int64()),
-                    "n_ids": pa.array([sum(lens)], pa.int64()),
-                    "doc_ids": pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "doc_lens": pa.array([lens], pa.list_(pa.int64())),
-                    "control": pa.array([control], pa.binary()),
-                    "data": pa.array([data], pa.binary()),
-                }
-            )
-            start += sum(lens)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                ids = [np.frombuffer(i, "<u4") for i in part.column("ids").to_pylist()]
+                coded = [pack(rank_of[i]) for i in ids]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": part.column("doc_id"),
+                        "n_ids": pa.array([len(i) for i in ids], pa.int64()),
+                        "control": pa.array([c for c, _ in coded], pa.binary()),
+                        "data": pa.array([d for _, d in coded], pa.binary()),
+                    }
+                )
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n_ids").to_numpy()
+            ends = start + np.cumsum(n)
+            columns = [
+                pa.array(np.full(len(n), shard), pa.int32()),
+                batch.column("doc_id"),
+                pa.array(ends - n, pa.int64()),
+                *(batch.column(c) for c in ("n_ids", "control", "data")),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "start", "n_ids", "control", "data"])
+            start = int(ends[-1]) if len(n) else start
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(shards, "doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "text")
-    )
-    ordered.mapInArrow(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    rows = coded.mapInArrow(packed, "doc_id long, n_ids long, control binary, data binary")
+    ordered = rows.repartitionByRange(shards, "doc_id", F.xxhash64("data")).sortWithinPartitions("doc_id", "data")
+    ordered.mapInArrow(placed, DOCS).write.mode("overwrite").parquet(f"{path}/docs")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document read from the files: doc_id, start, n_tokens, ids_crc32, ids (binary)."""
     ranks = spark.read.parquet(f"{path}/ranks").toPandas().sort_values("rank")["id"].to_numpy().astype("<u4")
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    files = spark.read.schema(DOCS).parquet(f"{path}/docs")
+    names = ["shard", "doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = ranks[unpack(row["control"], row["data"], row["n_ids"])]
-                ends = np.cumsum(row["doc_lens"])
-                begins = ends - row["doc_lens"]
-                docs = [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array([row["shard"]] * len(docs), pa.int32()),
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                        "start": pa.array(begins + row["start"], pa.int64()),
-                        "n_tokens": pa.array(row["doc_lens"], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(d) for d in docs], pa.int64()),
-                        "ids": pa.array(docs, pa.binary()),
-                    }
-                )
-
-    docs = blocks.mapInArrow(decode, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                coded = zip(*(part.column(c).to_pylist() for c in ("control", "data", "n_ids")), strict=True)
+                ids = [ranks[unpack(*row)].tobytes() for row in coded]
+                columns = [part.column(c) for c in ("shard", "doc_id", "start", "n_ids")]
+                columns += [pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    docs = files.mapInArrow(decode, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     # One row per shard, as many as the writer's partitions: small by construction.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     starts = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     return docs.join(F.broadcast(starts), "shard").select(
         "doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32", "ids"
