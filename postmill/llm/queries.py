@@ -56,7 +56,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
-    token_output.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, END_ID)
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, END_ID, fold_case=True)
     return token_output.read_tokens(spark, path).drop("ids")
 
 

@@ -11,7 +11,7 @@ start (ids before it in its shard), n_ids, control, data. Documents decode indep
 The tokenizer splits at white space, so a worker tokenizes each distinct word once while it remembers it.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; repeated doc_ids are
-kept as they are, ordered by their packed ids; an empty table gives no rows. Other columns are ignored.
+kept as they are, ordered by their ids; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from pyspark.sql.window import Window
 from postmill.llm.common import bytes_of, staged, text_chunks
 
 #: Distinct words a worker remembers; beyond it the memory starts afresh.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 1_500_000
 
 #: New words tokenized in one call.
 CALL_WORDS = 5_000
 
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
 DOCS = "shard int, doc_id long, start long, n_ids long, control binary, data binary"
 
 #: For each control byte the lengths of its four values.
@@ -64,7 +66,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordCoder:
     """Ids of texts, word by word, with a memory of the words met."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, fold_case: bool):
+        self.fold = LOWER if fold_case else None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,39 +99,50 @@ class WordCoder:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        split = [t.split() for t in texts]
+        split = [(t.translate(self.fold) if self.fold else t).split() for t in texts]
         self._learn(list({w for words in split for w in words}.difference(self.known)))
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
-def coder(tokenizer_file: str) -> WordCoder:
+def coder(tokenizer_file: str, fold_case: bool) -> WordCoder:
     """The coder of this process."""
-    return WordCoder(tokenizer_file)
+    return WordCoder(tokenizer_file, fold_case)
+
+
+def id_type(tokenizer_file: str) -> str:
+    """The narrowest type that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else "<u4"
+
 
+def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, fold_case: bool = False) -> DataFrame:
+    """doc_id and ids with the end id (binary, in the type of `id_type`) of every document.
 
-def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id and ids with the end id (binary, little-endian unsigned 32-bit) of every document."""
-    end = np.array([end_id], "<u4").tobytes()
+    `fold_case` says that the tokenizer lower-cases, so that words may be met in lower case.
+    """
+    unit, wide = id_type(tokenizer_file), id_type(tokenizer_file) == "<u4"
+    end = np.array([end_id], unit).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = coder(tokenizer_file)
+        words = coder(tokenizer_file, fold_case)
         for chunk in text_chunks(batches):
-            ids = [i + end for i in words.encode(bytes_of(chunk))]
+            ids = [(i if wide else np.frombuffer(i, "<u4").astype(unit).tobytes()) + end for i in words.encode(bytes_of(chunk))]
             yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(coded: DataFrame) -> DataFrame:
+def id_counts(coded: DataFrame, unit: str) -> DataFrame:
     """How often each id occurs: (id, n), counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                ids = np.frombuffer(b"".join(batch.column("ids").slice(k, 500).to_pylist()), "<u4")
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(k, 500).to_pylist()), unit)
                 here = np.bincount(ids, minlength=len(total))
                 here[: len(total)] += total
                 total = here
@@ -138,11 +152,11 @@ def id_counts(coded: DataFrame) -> DataFrame:
     return coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, fold_case: bool = False) -> None:
     """Write all documents' ids under `path`. The rank table is as large as the vocabulary."""
-    spark = docs.sparkSession
-    coded = staged(tokenized(docs, tokenizer_file, end_id), path, "tokenized")
-    ranked = id_counts(coded).orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy()
+    spark, unit = docs.sparkSession, id_type(tokenizer_file)
+    coded = staged(tokenized(docs, tokenizer_file, end_id, fold_case), path, "tokenized")
+    ranked = id_counts(coded, unit).orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy()
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ranked)], "rank int, id long").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/ranks")
@@ -150,38 +164,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -
     rank_of[ranked] = np.arange(len(ranked))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                ids = [np.frombuffer(i, "<u4") for i in part.column("ids").to_pylist()]
+                ids = [np.frombuffer(i, unit) for i in part.column("ids").to_pylist()]
+                n = np.array([len(i) for i in ids])
+                ends = start + np.cumsum(n)
                 coded = [pack(rank_of[i]) for i in ids]
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "shard": pa.array(np.full(len(n), shard), pa.int32()),
                         "doc_id": part.column("doc_id"),
-                        "n_ids": pa.array([len(i) for i in ids], pa.int64()),
+                        "start": pa.array(ends - n, pa.int64()),
+                        "n_ids": pa.array(n, pa.int64()),
                         "control": pa.array([c for c, _ in coded], pa.binary()),
                         "data": pa.array([d for _, d in coded], pa.binary()),
                     }
                 )
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.column("n_ids").to_numpy()
-            ends = start + np.cumsum(n)
-            columns = [
-                pa.array(np.full(len(n), shard), pa.int32()),
-                batch.column("doc_id"),
-                pa.array(ends - n, pa.int64()),
-                *(batch.column(c) for c in ("n_ids", "control", "data")),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "start", "n_ids", "control", "data"])
-            start = int(ends[-1]) if len(n) else start
+                start = int(ends[-1])
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = coded.mapInArrow(packed, "doc_id long, n_ids long, control binary, data binary")
-    ordered = rows.repartitionByRange(shards, "doc_id", F.xxhash64("data")).sortWithinPartitions("doc_id", "data")
-    ordered.mapInArrow(placed, DOCS).write.mode("overwrite").parquet(f"{path}/docs")
+    ordered = coded.repartitionByRange(shards, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(packed, DOCS).write.mode("overwrite").parquet(f"{path}/docs")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
