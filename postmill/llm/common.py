@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task handles at a time (a longer single text is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: The white space of the word rule: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
