@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -18,11 +19,9 @@ API_LIMIT = 100
 
 
 def parse_limit(value: str | int | None, default: int = API_LIMIT) -> int:
-    """Missing, unreadable or zero gives the default; negative limits are refused."""
-    try:
-        limit = int(str(value).strip().split(".")[0]) if value is not None else 0
-    except ValueError:
-        limit = 0
+    """The leading whole number; missing, unreadable or zero gives the default, negative limits are refused."""
+    leading = re.match(r"\s*([+-]?[0-9]+)", str(value))
+    limit = int(leading[1]) if leading else 0
     if limit < 0:
         raise ValueError("limit must not be negative")
     return limit or default

@@ -242,3 +242,9 @@ def test_success_rule(spark):
     df = spark.createDataFrame([("Wuzzuf", 0, False), ("Wuzzuf", 1, False), ("Bayt", 0, False), ("Bayt", 0, True)], "s string, n long, f boolean")
     got = [r.v for r in df.select(stats.run_success(F.col("s"), F.col("n"), F.col("f")).alias("v")).collect()]
     assert got == [False, True, True, False]
+
+
+def test_limit_takes_the_leading_number():
+    from postmill.operators.search import parse_limit
+
+    assert [parse_limit(v) for v in ("12abc", "12.7", None, "x", "0", 5, " 7 ")] == [12, 12, 100, 100, 100, 5, 7]
