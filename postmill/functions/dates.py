@@ -15,8 +15,8 @@ DAY = 24 * HOUR
 WEEK = 7 * DAY
 MONTH = 30 * DAY
 
-# Counts beyond this are older than any age limit whatever the unit; the bound keeps instants representable.
-MAX_COUNT = 20_000
+# The first of January of the year 1: a count that reaches behind it names no date.
+EARLIEST = -62_135_596_800_000_000
 
 
 @dataclass(frozen=True)
@@ -39,32 +39,33 @@ POLICIES = {
 
 
 def _back(as_of: Column, micros: Column | int) -> Column:
-    return F.timestamp_micros(F.unix_micros(as_of) - micros)
+    then = F.try_subtract(F.unix_micros(as_of), F.lit(micros))
+    return F.when(then >= EARLIEST, F.timestamp_micros(then))
 
 
 def _count(text: Column, regex: str, group: int = 1) -> Column:
-    """The number a regex captures, null when it does not match. `least` skips a null, so a
-    number too long for a bigint becomes the bound as well."""
-    digits = F.regexp_extract(text, regex, group)
-    return F.when(digits != "", F.least(digits.try_cast("bigint"), F.lit(MAX_COUNT)))
+    """The number a regex captures, null when it does not match or has more digits than a bigint."""
+    return F.regexp_extract(text, regex, group).try_cast("bigint")
 
 
 def _ago(text: Column, as_of: Column, regex: str, unit: int) -> Column:
     """`as_of` minus the count the regex captures, null when it does not match."""
-    return _back(as_of, _count(text, regex) * unit)
+    return _back(as_of, F.try_multiply(_count(text, regex), F.lit(unit)))
 
 
 def _unit_ago(text: Column, as_of: Column, regex: str, units: dict[str, int]) -> Column:
     """As `_ago`, the second group of the regex naming the unit."""
     name = F.regexp_extract(text, regex, 2)
     micros = F.coalesce(*[F.when(name == word, F.lit(size).cast("bigint")) for word, size in units.items()])
-    return _back(as_of, _count(text, regex) * micros)
+    return _back(as_of, F.try_multiply(_count(text, regex), micros))
 
 
 def _months_ago(text: Column, as_of: Column, regex: str) -> Column:
     """Calendar months back; a day the target month lacks runs over into the next month."""
     start = F.date_trunc("month", as_of)
-    target = F.add_months(start.cast("date"), -_count(text, regex).cast("int")).cast("timestamp")
+    count = _count(text, regex)
+    months = F.when(count < 12 * F.year(as_of) - 12, count).try_cast("int")
+    target = F.add_months(start.cast("date"), -months).cast("timestamp")
     return F.timestamp_micros(F.unix_micros(target) + F.unix_micros(as_of) - F.unix_micros(start))
 
 

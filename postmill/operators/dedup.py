@@ -55,11 +55,8 @@ def dedup_run(
     keyed = postings.withColumn("_signature", signature(F.col("title"), F.col("company"), unicode))
     # First of each signature, then first of each url among those: both keep one partial row per
     # key and task, so hot signatures and urls cost nothing extra.
-    leaders = (
-        keyed.groupBy("_signature")
-        .agg(F.min(order).alias(order), F.min_by("url", order).alias("url"))
-        .select(order, "url")
-    )
+    heads = first_per_key(keyed.select("_signature", order), "_signature", order).select(order)
+    leaders = keyed.select(order, "url").join(heads, order, "left_semi")
     firsts = first_per_key(leaders, "url", order)
     saved = firsts.join(stored_urls.select("url"), "url", "left_anti").select(order)
     marks = (

@@ -48,7 +48,7 @@ def implied_skills(df: DataFrame, role_skills: DataFrame, role: str = "role", le
         pairs.join(names, role)
         .filter(F.col("level_rank") <= F.col("_rank"))
         .groupBy(role, level, "skill")
-        .agg(F.min(F.col("level_rank") * 1000 + F.col("pos")).alias("skill_pos"))
+        .agg(F.min(F.struct("level_rank", "pos")).alias("skill_pos"))
     )
     return df.join(lists, [role, level])
 

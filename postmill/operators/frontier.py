@@ -77,8 +77,10 @@ def search_frontier(
     head = shuffled_head(terms, "term", n_terms, seed)
     # The window only ever sees the n_terms rows of the head.
     ranked = head.withColumn("term_rank", F.row_number().over(W.orderBy(order("term"), "term")))
-    pairs = ranked.select("term", "term_rank", F.posexplode(places.scalar()).alias("place_rank", "location"))
-    position = (F.col("term_rank") - 1) * per_term + F.col("place_rank")
+    placed = ranked.withColumn("places", places.scalar())
+    pairs = placed.select("term", "term_rank", F.size("places").alias("n"), F.posexplode("places").alias("place_rank", "location"))
+    # Every term has the same places, fewer than `per_term` where there are not as many: no gaps.
+    position = (F.col("term_rank") - 1) * F.col("n") + F.col("place_rank")
     return (
         pairs.select(position.alias("position"), "term", "location")
         .filter(F.col("position") < total)

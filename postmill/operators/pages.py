@@ -27,6 +27,7 @@ from postmill.functions.text import (
 )
 from postmill.functions.urls import canonical_url
 from postmill.operators.common import compute_once, explode_once, filter_here
+from postmill.operators.dedup import dedup_urls
 
 Tables = Mapping[str, Mapping[str, Sequence[str]]]
 
@@ -54,14 +55,17 @@ def _has(text: Column, needles: Sequence[str]) -> Column:
     return F.greatest(*[F.contains(text, F.lit(n)) for n in needles], F.lit(False))
 
 
-def is_blocked(html: Column, title: Column | None = None) -> Column:
-    """Verification, "not found" and access-denied pages."""
-    blocked = _has(F.lower(html), BLOCKED_HTML) | _has(html, BLOCKED_GLASSDOOR)
-    return blocked if title is None else blocked | _has(F.lower(title), BLOCKED_TITLE)
+def is_blocked(html: Column, source: Column, title: Column | None = None) -> Column:
+    """Verification, "not found" and access-denied pages, by the texts of the page's own board."""
+    indeed = _has(F.lower(html), BLOCKED_HTML)
+    if title is not None:
+        indeed = indeed | _has(F.lower(title), BLOCKED_TITLE)
+    blocked = F.when(source == "Indeed", indeed).when(source == "Glassdoor", _has(html, BLOCKED_GLASSDOOR))
+    return F.coalesce(blocked, F.lit(False))
 
 
 def drop_blocked(pages: DataFrame) -> DataFrame:
-    return pages.filter(~is_blocked(F.col("html")))
+    return pages.filter(F.col("html").isNotNull() & ~is_blocked(F.col("html"), F.col("source")))
 
 
 def valid_title(title: Column) -> Column:
@@ -434,7 +438,7 @@ def listing_to_postings(pages: DataFrame, as_of: Column, tables: Tables = SELECT
     return (
         rows.filter(F.col("c.link").isNotNull())
         .select(
-            (F.col("page_id") * 10000 + F.col("pos")).alias("arrival"),
+            F.struct("page_id", "pos").alias("arrival"),
             source.alias("source"),
             canonical_url(F.col("c.link"), source).alias("url"),
             "c.title",
@@ -449,9 +453,19 @@ def listing_to_postings(pages: DataFrame, as_of: Column, tables: Tables = SELECT
     )
 
 
-def detail_or_listing(listing: DataFrame, detail: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The detail row's fields where a detail row exists, else the listing row's."""
-    found = detail.select("url", F.lit(True).alias("_found"), *[F.col(f).alias(f"_d_{f}") for f in fields])
+def detail_or_listing(
+    listing: DataFrame, detail: DataFrame, fields: Sequence[str], order: str | None = None
+) -> DataFrame:
+    """The detail row's fields where a detail row exists, else the listing row's.
+
+    Of several detail rows of a url the lowest in `order` (unique) counts; without one, the
+    least by the fields.
+    """
+    if order is None:
+        one = detail.groupBy("url").agg(F.min(F.struct(*fields)).alias("_least")).select("url", "_least.*")
+    else:
+        one = dedup_urls(detail, order=order)
+    found = one.select("url", F.lit(True).alias("_found"), *[F.col(f).alias(f"_d_{f}") for f in fields])
     joined = listing.join(found, "url", "left")
     pick = {f: F.when(F.col("_found"), F.col(f"_d_{f}")).otherwise(F.col(f)) for f in fields}
     return joined.withColumns(pick).withColumn("from_detail", F.coalesce("_found", F.lit(False))).drop(

@@ -39,18 +39,25 @@ def run_success(source: Column, found: Column, failed: Column) -> Column:
     return F.when(source.isin(*NEEDS_RESULTS), found > 0).otherwise(~failed)
 
 
-def run_counters(df: DataFrame) -> DataFrame:
-    """A5: per source fetched, saved and duplicates of a `dedup_run` result."""
-    failed = F.lit(False)
-    return (
-        df.groupBy("source")
-        .agg(
-            F.count("*").alias("fetched"),
-            F.count_if(F.col("status") == "saved").alias("saved"),
-            F.count_if(F.col("status") == "duplicate").alias("duplicates"),
-        )
-        .withColumn("success", run_success(F.col("source"), F.col("fetched"), failed))
+def run_counters(df: DataFrame, sources: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """Per source fetched, saved and duplicates of a `dedup_run` result, and the run's success.
+
+    `sources` (source) lists the boards of the run, so that one without a row is reported with
+    zeros; `failed` (source) lists those whose fetching ended in an error.
+    """
+    counts = ("fetched", "saved", "duplicates")
+    counted = df.groupBy("source").agg(
+        F.count("*").alias("fetched"),
+        F.count_if(F.col("status") == "saved").alias("saved"),
+        F.count_if(F.col("status") == "duplicate").alias("duplicates"),
     )
+    if sources is not None:
+        counted = sources.select("source").distinct().join(counted, "source", "left").na.fill(0, list(counts))
+    if failed is None:
+        return counted.withColumn("success", run_success(F.col("source"), F.col("fetched"), F.lit(False)))
+    marked = counted.join(failed.select("source").distinct().withColumn("_failed", F.lit(True)), "source", "left")
+    error = F.coalesce("_failed", F.lit(False))
+    return marked.withColumn("success", run_success(F.col("source"), F.col("fetched"), error)).drop("_failed")
 
 
 def run_totals(df: DataFrame) -> DataFrame:

@@ -36,8 +36,9 @@ def completion_rate_by_user(df: DataFrame) -> DataFrame:
 
 
 def completion_rate_overall(df: DataFrame) -> DataFrame:
-    """M2: completed observations over all of them (users x tasks when each is seen once)."""
-    counted = df.agg(F.count("*").alias("total"), _completed().alias("completed"))
+    """M2: completed observations over users x tasks, whether or not each pair was observed."""
+    pairs = (F.count_distinct("user") * F.count_distinct("task")).alias("total")
+    counted = df.agg(pairs, _completed().alias("completed"))
     return counted.withColumn("rate", percent(F.col("completed"), F.col("total")))
 
 

@@ -28,7 +28,7 @@ from postmill.plans import posting_view as P
 from postmill.sources import postings as flat
 from postmill.sources import store as S
 from postmill.sources.dictionaries import alias_table, role_skills_table
-from postmill.sources.tables import read_table, spread_small
+from postmill.sources.tables import read_table
 from postmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,11 +50,11 @@ def _ts(at: str | Column) -> Column:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small(read_table(spark, f"{sf}/documents.parquet"))
+    return read_table(spark, f"{sf}/documents.parquet")
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small(read_table(spark, f"{sf}/pages.parquet"))
+    return read_table(spark, f"{sf}/pages.parquet")
 
 
 def _pages_of_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +236,8 @@ def implied_skills(spark: SparkSession, sf: str) -> DataFrame:
     titled = P.raw_postings(spark, sf).select("posting_no", "title", K.detect_seniority(title).alias("level"))
     detected = explode_once(titled, ["posting_no", "level"], K.detect_roles(title), "role")
     dictionary = role_skills_table(spark)
-    return enrich.implied_skills(enrich.known_roles_only(detected, dictionary), dictionary)
+    implied = enrich.implied_skills(enrich.known_roles_only(detected, dictionary), dictionary)
+    return implied.select("posting_no", "role", "level", "skill", "skill_pos.level_rank", "skill_pos.pos")
 
 
 def _enhanced(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +297,8 @@ def dedup_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.run_counters(_judged(spark, sf))
+    boards = spark.createDataFrame([(name,) for name in P.SOURCES], "source string")
+    return stats.run_counters(_judged(spark, sf), boards)
 
 
 @query
@@ -567,7 +569,8 @@ def page_longest_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, f"{sf}/pages.parquet").select("page_id", pages.is_blocked(F.col("html")).alias("blocked"))
+    blocked = pages.is_blocked(F.col("html"), F.col("source"))
+    return _pages_of_sources(spark, sf).select("page_id", "source", blocked.alias("blocked"))
 
 
 @query
@@ -596,10 +599,8 @@ def listing_links(spark: SparkSession, sf: str) -> DataFrame:
 def listing_detail_fallback(spark: SparkSession, sf: str) -> DataFrame:
     listing = P.raw_postings(spark, sf).select("posting_no", "url", "title")
     heading = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
-    detail = read_table(spark, f"{sf}/pages.parquet").filter(F.startswith("url", F.lit("https:"))).select(
-        "url", heading.alias("title")
-    )
-    merged = pages.detail_or_listing(listing, detail, ["title"])
+    detail = read_table(spark, f"{sf}/pages.parquet").select("page_id", "url", heading.alias("title"))
+    merged = pages.detail_or_listing(listing, detail, ["title"], order="page_id")
     return merged.select("posting_no", "url", F.md5("title").alias("title"), "from_detail")
 
 
@@ -673,15 +674,8 @@ def likert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _posting_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    """The posting view replayed as files that arrive."""
-    table = P.raw_postings(spark, sf).select(
-        "arrival", "title", "company", "location", "url", "salary", "source",
-        F.lit("").alias("description"),
-        F.array().cast("array<string>").alias("skills"),
-        F.lit("full-time").alias("job_type"),
-        P.as_of().alias("posted_at"),
-        P.as_of().alias("extracted_at"),
-    )
+    """The tagged posting view replayed as files that arrive, whole texts and skills included."""
+    table = P.tagged_postings(spark, sf).drop("posting_no", "feed", "posting_id")
     table.write.parquet(f"{folder}/arrivals")
     return spark.readStream.schema(table.schema).parquet(f"{folder}/arrivals")
 
@@ -702,6 +696,32 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return saved.select("posting_id", "url", "source", F.col("company_name").alias("company"))
 
 
+@query
+def stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A store filled by a batch, then by a stream of four micro-batches; the run whose window holds each row."""
+    folder = ingest.shared_folder(spark)
+    tagged = P.tagged_postings(spark, sf)
+    store = S.SnapshotStore(spark, f"{folder}/star")
+    store.upsert(_stored(tagged), _run_time(1))
+    arrivals = _arriving(tagged).drop("feed", "posting_id", "posting_no")
+    stream = spark.readStream.schema(arrivals.schema).parquet(f"{folder}/arrivals/part=*")
+    for k in range(4):  # each slice arrives, and is drained, after the one before
+        arrivals.filter(F.col("arrival") % 4 == k).write.parquet(f"{folder}/arrivals/part={k}")
+        ingest.stream_ingest(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    store.compact()
+    state = store.read()
+    # A window ends a microsecond after the instant of its rows.
+    created = F.timestamp_micros(F.unix_micros("until") - 1).alias("created_at")
+    runs = ingest.read_runs(spark, folder).select(created, (F.col("run_id").cast("int") + 1).alias("run"), "since")
+    n_skills = state.links.groupBy("posting_id").agg(F.count("*").alias("n_skills"))
+    rows = state.postings.join(runs, "created_at", "left").join(n_skills, "posting_id", "left")
+    in_run = F.when(F.col("created_at") >= F.col("since"), F.col("run"))
+    return rows.select(
+        "posting_id", "url", F.coalesce(in_run, F.lit(0)).alias("run"),
+        F.md5("description").alias("description"), F.coalesce("n_skills", F.lit(0)).alias("n_skills"),
+    )
+
+
 @query
 def stream_hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = ingest.shared_folder(spark)

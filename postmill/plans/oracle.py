@@ -435,7 +435,7 @@ SELECT posting_no, source, {ts('posted')} AS posted FROM x WHERE {fresh('posted'
     values = ", ".join(f"({q(r)}, {q(lv)}, {k}, {p}, {q(s)})" for r, lv, k, p, s in V.role_skill_rows())
     out["implied_skills"] = f"""WITH {VIEW}, dict(role, level, level_rank, pos, skill) AS (VALUES {values}),
 t AS (SELECT posting_no, {seniority(low)} AS level, unnest({roles(low)}) AS role FROM raw)
-SELECT posting_no, t.role, t.level, d.skill, min(d.level_rank * 1000 + d.pos) AS skill_pos FROM t JOIN dict d ON d.role = t.role
+SELECT posting_no, t.role, t.level, d.skill, min(d.level_rank) AS level_rank, arg_min(d.pos, d.level_rank * 1000000 + d.pos) AS pos FROM t JOIN dict d ON d.role = t.role
  AND d.level_rank <= CASE t.level WHEN 'junior' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END GROUP BY ALL"""
     out["enhanced_skills"] = f"""WITH {ENHANCED} SELECT posting_no, {joined('roles')} AS roles, level AS seniority,
   {joined('ext')} AS extracted, {joined(ordered_distinct('every'))} AS final FROM enhanced"""
@@ -457,8 +457,10 @@ SELECT posting_no, source, {joined(f'''CASE source WHEN 'LinkedIn' THEN whole
 w AS (SELECT posting_no, unnest(string_split({norm('title')}, ' ')) AS word FROM raw)
 SELECT posting_no, word, coalesce(d.canonical, word) AS canonical, count(*) AS n FROM w LEFT JOIN dict d ON d.alias = lower(word) GROUP BY ALL"""
     out["dedup_run"] = f"WITH {RUN} SELECT posting_no, signature, url, status, coalesce(reason, '') AS reason FROM status"
-    out["run_counters"] = f"""WITH {RUN} SELECT source, count(*) AS fetched, count(*) FILTER (status = 'saved') AS saved,
-  count(*) FILTER (status = 'duplicate') AS duplicates, true AS success FROM status GROUP BY source"""
+    out["run_counters"] = f"""WITH {RUN}, b AS (SELECT unnest({array(P.SOURCES)}) AS source) SELECT b.source, count(status) AS fetched,
+  count(*) FILTER (status = 'saved') AS saved, count(*) FILTER (status = 'duplicate') AS duplicates,
+  CASE WHEN b.source IN ('Wuzzuf', 'Indeed', 'Glassdoor') THEN count(status) > 0 ELSE true END AS success
+FROM b LEFT JOIN status ON status.source = b.source GROUP BY b.source"""
     out["run_totals"] = f"""WITH {RUN} SELECT count(*) AS fetched, count(*) FILTER (status = 'saved') AS saved,
   count(*) FILTER (status = 'duplicate') AS duplicates FROM status"""
     out["new_and_known_urls"] = f"""WITH {VIEW}, stored AS (SELECT DISTINCT url FROM raw WHERE feed < 'src15')
@@ -553,14 +555,16 @@ SELECT md5(url) AS posting_id, url, source, title, company, {ts('posted')} AS po
     out["listing_links"] = f"""WITH l AS (SELECT page_id, {board} AS source, {nav} AS href FROM pages),
 u AS (SELECT page_id, source, {canonical(decoded('href'), 'source')} AS url FROM l WHERE source <> 'Bayt' AND href <> '')
 SELECT source, url, min(page_id) AS page_id, '' AS date_text FROM u WHERE url IS NOT NULL GROUP BY source, url"""
-    out["blocked_pages"] = """SELECT page_id, regexp_matches(lower(html), 'captcha|verification required|additional verification')
-  OR contains(html, 'Job is OOO') OR contains(html, 'Access Denied') AS blocked FROM pages"""
-    out["listing_detail_fallback"] = f"""WITH {VIEW}, detail AS (SELECT page_id, url, {TITLE_SQL} AS title FROM pages WHERE url LIKE 'https:%')
+    out["blocked_pages"] = f"""SELECT page_id, {board} AS source, CASE {board}
+  WHEN 'Indeed' THEN regexp_matches(lower(html), 'captcha|verification required|additional verification')
+  WHEN 'Glassdoor' THEN contains(html, 'Job is OOO') OR contains(html, 'Access Denied') ELSE false END AS blocked FROM pages"""
+    out["listing_detail_fallback"] = f"""WITH {VIEW}, detail AS (SELECT page_id, url, {TITLE_SQL} AS title FROM pages
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)
 SELECT posting_no, raw.url, CASE WHEN d.page_id IS NOT NULL THEN md5(d.title) ELSE md5(raw.title) END AS title, d.page_id IS NOT NULL AS from_detail
 FROM raw LEFT JOIN detail d ON d.url = raw.url"""
     out["completion_rate_by_user"] = f"""WITH {OBS}, c AS (SELECT "user", count(*) AS total, count(*) FILTER (status = 'C') AS completed FROM obs GROUP BY 1),
 r AS (SELECT *, {RATE} AS rate FROM c) SELECT *, {_band()} AS band FROM r"""
-    out["completion_rate_overall"] = f"""WITH {OBS}, c AS (SELECT count(*) AS total, count(*) FILTER (status = 'C') AS completed FROM obs)
+    out["completion_rate_overall"] = f"""WITH {OBS}, c AS (SELECT count(DISTINCT "user") * count(DISTINCT task) AS total, count(*) FILTER (status = 'C') AS completed FROM obs)
 SELECT *, {RATE} AS rate FROM c"""
     out["completion_rate_by_task"] = f"""WITH {OBS}, c AS (SELECT task, count(*) AS total, count(*) FILTER (status = 'C') AS completed FROM obs GROUP BY 1),
 r AS (SELECT *, {RATE} AS rate FROM c) SELECT *, {_band(('Pass', 'Marginal', 'Fail'))} AS verdict FROM r"""
@@ -584,5 +588,18 @@ SELECT g.task, g.score, coalesce(n.n, 0) AS n, CAST(floor(100.0 * coalesce(n.n,
     out["stream_upsert"] = f"""WITH {VIEW}, run AS (SELECT *, {signature('title', 'company')} AS signature FROM raw),
 stored AS (SELECT url FROM raw WHERE false),{DEDUP}
 SELECT md5(url) AS posting_id, url, source, company FROM status WHERE status = 'saved'"""
+    steps, known = [], "SELECT url FROM tagged WHERE feed < 'src15'"
+    for k in range(4):
+        steps.append(f"""sig{k} AS (SELECT *, row_number() OVER (PARTITION BY {signature('title', 'company')} ORDER BY arrival) AS sig_rn
+  FROM tagged WHERE feed >= 'src15' AND arrival % 4 = {k}),
+lead{k} AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrival) AS url_rn FROM sig{k} WHERE sig_rn = 1),
+run{k} AS (SELECT {k + 1} AS run, url, description, skills FROM lead{k} WHERE url_rn = 1 AND url NOT IN ({known}))""")
+        known += f" UNION ALL SELECT url FROM run{k}"
+    runs = " UNION ALL ".join(f"SELECT * FROM run{k}" for k in range(4))
+    out["stream_after_batch"] = f"""WITH {TAGGED}, {", ".join(steps)},
+old AS (SELECT 0 AS run, url, arg_max(description, arrival) AS description, flatten(list(skills)) AS skills FROM tagged WHERE feed < 'src15' GROUP BY url),
+every AS (SELECT * FROM old UNION ALL {runs})
+SELECT md5(url) AS posting_id, url, run, md5(description) AS description,
+  len(list_distinct(list_filter(list_transform(skills, lambda x: trim(x)), lambda x: x <> ''))) AS n_skills FROM every"""
     out["stream_hourly_counts"] = out["hourly_counts"]
     return {name: re.sub(r"[ \n]*\n[ \n]*", "\n", text.strip()) for name, text in out.items()}

@@ -11,7 +11,7 @@ from postmill.functions.vocabulary import ROLE_SKILLS, RoleSkills
 from postmill.operators.dedup import dedup_run
 from postmill.operators.enrich import fresh_only, make_postings
 from postmill.operators.pages import detail_to_raw
-from postmill.sources.store import SnapshotStore, Star
+from postmill.sources.store import SnapshotStore
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,9 @@ def pages_to_postings(pages: DataFrame, as_of: Column, options: PipelineOptions
     return make_postings(fresh_only(raw, as_of), as_of, options.uniform, options.dictionary())
 
 
-def judge(postings: DataFrame, store: Star, options: PipelineOptions = PipelineOptions()) -> DataFrame:
-    """Run deduplication against the store: rows with `status` and `reason`."""
-    return dedup_run(postings, store.postings.select("url"), unicode=options.unicode)
+def judge(postings: DataFrame, stored_urls: DataFrame, options: PipelineOptions = PipelineOptions()) -> DataFrame:
+    """Run deduplication against the store's urls: rows with `status` and `reason`."""
+    return dedup_run(postings, stored_urls, unicode=options.unicode)
 
 
 def saved_rows(judged: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def run(pages: DataFrame, store: SnapshotStore, now: Column, options: PipelineOp
     Deduplication looks at the postings several times, so they are staged first: pages are
     parsed and texts tagged once.
     """
-    version = store.next_version()
+    version = store.begin()
     postings = store.stage(pages_to_postings(pages, now, options), version, "incoming")
-    judged = judge(postings, store.read(), options)
-    store.upsert(saved_rows(judged), now, version)
+    judged = judge(postings, store.urls(), options)
+    store.upsert(saved_rows(judged), now, version=version)
     return judged

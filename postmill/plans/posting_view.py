@@ -15,7 +15,7 @@ from postmill.functions import skills as K
 from postmill.functions.jobtype import clean_location, job_type
 from postmill.functions.text import clean_text, salary_if_numeric
 from postmill.functions.urls import posting_id
-from postmill.sources.tables import read_table, spread_small
+from postmill.sources.tables import read_table
 
 AS_OF = "2024-03-31 12:00:00"
 
@@ -98,7 +98,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
     """Raw postings: one per document."""
-    docs = spread_small(read_table(spark, f"{sf}/documents.parquet"))
+    docs = read_table(spark, f"{sf}/documents.parquet")
     pages = read_table(spark, f"{sf}/pages.parquet").select("page_id", "url")
     customers = read_table(spark, f"{sf}/customer.parquet").select("c_custkey", "c_name")
     nations = read_table(spark, f"{sf}/nation.parquet").select("n_nationkey", "n_name")

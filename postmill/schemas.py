@@ -105,5 +105,18 @@ RUNS = T.StructType(
         T.StructField("fetched", T.LongType()),
         T.StructField("saved", T.LongType()),
         T.StructField("duplicates", T.LongType()),
+        T.StructField("rejected", T.LongType()),
+        T.StructField("stream", T.StringType()),
+    ]
+)
+
+# Rows the store did not take.
+REJECTED = T.StructType(
+    [
+        *RAW_POSTING.fields,
+        T.StructField("skills", T.ArrayType(T.StringType())),
+        T.StructField("job_type", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("rejected_at", T.TimestampType()),
     ]
 )

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Inputs up to this size are worth a shuffle when too few scan tasks could share the work.
-SPREAD_LIMIT = 512 * 1024 * 1024
-
 
 def _zoned(df: DataFrame) -> DataFrame:
     """Zone-less instants as UTC instants (watermarks and age arithmetic need those)."""
@@ -18,20 +15,3 @@ def _zoned(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _zoned(spark.read.parquet(path))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input of few files over all cores before heavy expressions.
-
-    One row group is one task, so a small single-file table would keep all other cores idle.
-    Inputs beyond `SPREAD_LIMIT`, or with enough files, keep their scan partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or _estimated_bytes(df) > SPREAD_LIMIT:
-        return df
-    return df.repartition(cores)
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))

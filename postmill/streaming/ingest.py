@@ -13,42 +13,77 @@ from pyspark.sql.streaming import StreamingQuery
 from postmill.functions.text import signature
 from postmill.operators.dedup import dedup_run
 from postmill.schemas import RUNS
-from postmill.sources.store import SnapshotStore
+from postmill.sources.store import SnapshotStore, bind_instant, validate
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder where every executor can write: under `spark.checkpoint.dir` where the
-    cluster names one, a temporary folder otherwise (local sessions only)."""
+    """A fresh folder where every executor can write: under `spark.checkpoint.dir`. A temporary
+    folder only stands in for it in a single-JVM session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/postmill-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="postmill-")
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="postmill-")
+    return f"{base.rstrip('/')}/postmill-{uuid.uuid4().hex}"
 
 
-def ingest_batch(store: SnapshotStore, runs_path: str, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` body - deduplicate, upsert, note the run.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The lasting id of the query a checkpoint belongs to; a new checkpoint is a new stream."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
-    A micro-batch is a run. It is staged first, so its source is read once. The store version
-    is the batch id: a replayed batch finds its version complete and changes nothing, and the
-    run's row is written before the version is marked.
+
+def _run_path(runs_path: str, stream: str, batch_id: int) -> str:
+    return f"{runs_path}/run={stream}-{batch_id}"
+
+
+def _window_start(spark: SparkSession, runs_path: str, stream: str, batch_id: int, at: int) -> int:
+    """Where the stream's last window ended, so that windows meet; its own instant for the first one."""
+    before = spark._jvm.org.apache.hadoop.fs.Path(_run_path(runs_path, stream, batch_id - 1))
+    if not before.getFileSystem(spark._jsc.hadoopConfiguration()).exists(before):
+        return at
+    row = spark.read.schema(RUNS).parquet(before.toString()).select(F.unix_micros("until").alias("t")).first()
+    return min(row["t"], at) if row else at
+
+
+def ingest_batch(
+    store: SnapshotStore, runs_path: str, now: Callable[[], Column], stream: Callable[[], str]
+) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body - deduplicate, append, note the run.
+
+    A micro-batch is a run. It is staged first, so its source is read once. Stream and batch id
+    together are the batch's tag in the store: a replayed batch finds its tag and changes
+    nothing, whatever other writers have added. The run's row is written before the version is
+    marked, at a path of its tag, so a retry replaces it.
+
+    The window of a run is half open and ends a microsecond after the instant its rows carry
+    as `created_at`; it starts where the stream's last window ended.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in store.versions():
+        spark, name = batch.sparkSession, stream()
+        tag = f"{name}-{batch_id}"
+        if store.find(tag) is not None:
             return
-        at = now()
-        incoming = store.stage(batch, batch_id, "incoming")
-        judged = dedup_run(incoming, store.read().postings.select("url"))
-        saved = store.stage(judged.filter(F.col("status") == "saved").drop("status", "reason"), batch_id, "saved")
-        n_saved = saved.agg(F.count("*")).scalar()
-        counts = incoming.agg(
+        at = bind_instant(spark, now())
+        version = store.begin()
+        incoming = store.stage(batch, version, "incoming")
+        judged = dedup_run(incoming, store.urls())
+        saved = store.stage(judged.filter(F.col("status") == "saved").drop("status", "reason"), version, "saved")
+        taken, rest = (df.count() for df in validate(saved))
+        since = _window_start(spark, runs_path, name, batch_id, at)
+        counts = incoming.agg(F.count("*").alias("fetched")).select(
             F.lit(str(batch_id)).alias("run_id"),
-            F.min("extracted_at").alias("since"),
-            at.alias("until"),
-            F.count("*").alias("fetched"),
-        ).select("*", n_saved.alias("saved"), (F.col("fetched") - n_saved).alias("duplicates"))
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
-        store.upsert(saved, at, version=batch_id)
+            F.timestamp_micros(F.lit(since)).alias("since"),
+            F.timestamp_micros(F.lit(at + 1)).alias("until"),
+            "fetched",
+            F.lit(taken).cast("long").alias("saved"),
+            (F.col("fetched") - taken - rest).alias("duplicates"),
+            F.lit(rest).cast("long").alias("rejected"),
+            F.lit(name).alias("stream"),
+        )
+        counts.coalesce(1).write.mode("overwrite").parquet(_run_path(runs_path, name, batch_id))
+        store.upsert(saved, F.timestamp_micros(F.lit(at)), tag, version)
 
     return save
 
@@ -60,8 +95,9 @@ def stream_ingest(
     starts the next increment is outside."""
     spark = postings.sparkSession
     store = SnapshotStore(spark, f"{store_root}/star")
+    save = ingest_batch(store, f"{store_root}/runs", now, lambda: stream_id(spark, checkpoint))
     return (
-        postings.writeStream.foreachBatch(ingest_batch(store, f"{store_root}/runs", now))
+        postings.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -70,7 +106,7 @@ def stream_ingest(
 
 def read_runs(spark: SparkSession, store_root: str) -> DataFrame:
     """run windows noted by the ingest, for `operators.search.in_window`."""
-    return spark.read.schema(RUNS).parquet(f"{store_root}/runs/batch=*")
+    return spark.read.schema(RUNS).parquet(f"{store_root}/runs/run=*")
 
 
 def stream_dedup(postings: DataFrame, time: str = "extracted_at", delay: str = "1 hour", unicode: bool = False) -> DataFrame:

@@ -112,17 +112,49 @@ def test_snapshot_store(spark, tmp_path):
     disk = store.SnapshotStore(spark, str(tmp_path / "star"))
     assert disk.read().postings.count() == 0
     assert disk.upsert(batch(spark, (1, "A", "u1", "t", ["X"])), at(1)) == 0
-    assert disk.upsert(batch(spark, (2, "A", "u2", "t", ["X"])), at(2)) == 1
-    assert disk.upsert(batch(spark, (9, "A", "u9", "t", ["X"])), at(3), version=1) == 1  # replayed batch
+    assert disk.upsert(batch(spark, (2, "A", "u2", "t", ["X"])), at(2), tag="s-1") == 1
+    assert disk.upsert(batch(spark, (9, "A", "u9", "t", ["X"])), at(3), tag="s-1") == 1  # replayed batch
     assert disk.versions() == [0, 1]
-    assert {r.url for r in disk.read().postings.collect()} == {"u1", "u2"}
-    assert {r.url for r in disk.read(0).postings.collect()} == {"u1"}
-    (tmp_path / "star" / "v=2").mkdir()  # a run lost half way
-    assert disk.read().postings.count() == 2
+    assert {r.url for r in disk.read().postings.collect()} == {"u1", "u2"} == {r.url for r in disk.urls().collect()}
+    lost = disk.begin()  # a run lost half way
+    assert lost == 2 and disk.begin() == 3 and disk.read().postings.count() == 2
     found = store.search_star(disk.read(), ["x"], at(3), limit=1).collect()
     assert len(found) == 1 and found[0].skills == ["X"]
 
 
+def test_compaction_keeps_the_state_and_the_tags(spark, tmp_path):
+    disk, state = store.SnapshotStore(spark, str(tmp_path / "star")), store.empty_star(spark)
+    batches = [
+        ((1, "A", "u1", "t", ["X"]), (2, "A", "u2", "t", ["X", "Y"])),
+        ((3, "B", "u1", "new", ["Z"]), (4, "A", "", "t", [])),
+        ((5, "A", "u3", "t", ["Y"]), (6, "A", "u2", "new", [])),
+    ]
+    assert disk.compact() is None
+    for day, items in enumerate(batches, 1):
+        state = store.upsert_star(state, batch(spark, *items), at(day))
+        disk.upsert(batch(spark, *items), at(day), tag=f"s-{day}")
+        for name in ("postings", "skills", "links"):
+            a, b = getattr(state, name), getattr(disk.read(), name)
+            assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
+        disk.compact()
+        a, b = state.postings, disk.read().postings
+        assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
+    assert not (tmp_path / "star" / "v=0").exists()  # folded two compactions ago
+    assert disk.find("s-1") == 0 and disk.find("s-9") is None
+    n = len(disk.versions())
+    disk.upsert(batch(spark, (9, "A", "u9", "t", [])), at(9), tag="s-1")
+    assert len(disk.versions()) == n and disk.read().postings.count() == 3
+    assert [(r.arrival, r.reason) for r in disk.rejected().collect()] == [(4, "no url")]
+
+
+def test_run_counters_of_silent_and_failed_boards(spark):
+    df = spark.createDataFrame([("Bayt", "saved"), ("Bayt", "duplicate"), ("LinkedIn", "saved")], "source string, status string")
+    boards = spark.createDataFrame([("Bayt",), ("Indeed",), ("LinkedIn",)], "source string")
+    failed = spark.createDataFrame([("LinkedIn",)], "source string")
+    got = {r.source: (r.fetched, r.saved, r.duplicates, r.success) for r in stats.run_counters(df, boards, failed).collect()}
+    assert got == {"Bayt": (2, 1, 1, True), "Indeed": (0, 0, 0, False), "LinkedIn": (1, 1, 0, False)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_replace_flat_against_loop(spark, seed):
     rng = random.Random(seed)
@@ -212,6 +244,8 @@ def test_frontier_caps(spark):
     assert [r.position for r in rows] == list(range(11))
     assert len({r.location for r in rows}) == 2 and len({r.term for r in rows}) == 6
     assert rows[0].url == f"https://www.indeed.com/jobs?q={rows[0].term.replace(' ', '%20')}&l={rows[0].location.replace(' ', '%20')}&fromage=7&sort=date"
+    few = frontier.search_frontier(terms, places.limit(1), "Indeed", n_terms=5, per_term=2, total=5)
+    assert sorted(r.position for r in few.collect()) == [0, 1, 2, 3, 4]
     bayt = frontier.search_frontier(terms, places, "Bayt", seed=1).first()
     assert bayt.url == f"https://www.bayt.com/en/{bayt.location.replace(' ', '-')}/jobs/{bayt.term.replace(' ', '-')}-jobs/"
 

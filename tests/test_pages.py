@@ -132,9 +132,20 @@ def test_listing_postings(spark):
 
 def test_detail_wins_over_listing(spark):
     listing = spark.createDataFrame([("u1", "a"), ("u2", "b")], "url string, title string")
-    detail = spark.createDataFrame([("u2", "B")], "url string, title string")
-    got = {(r.url, r.title, r.from_detail) for r in pages.detail_or_listing(listing, detail, ["title"]).collect()}
-    assert got == {("u1", "a", False), ("u2", "B", True)}
+    detail = spark.createDataFrame([(2, "u2", "A"), (1, "u2", "B")], "page_id long, url string, title string")
+    got = [(r.url, r.title, r.from_detail) for r in pages.detail_or_listing(listing, detail, ["title"], "page_id").collect()]
+    assert sorted(got) == [("u1", "a", False), ("u2", "B", True)]
+    got = [(r.url, r.title) for r in pages.detail_or_listing(listing, detail, ["title"]).collect()]
+    assert sorted(got) == [("u1", "a"), ("u2", "A")]
+
+
+def test_blocked_pages_by_board(spark):
+    texts = ["a CAPTCHA service", "Access Denied", "fine"]
+    df = spark.createDataFrame([(s, t) for s in ("LinkedIn", "Indeed", "Glassdoor") for t in texts], "source string, html string")
+    kept = {(r.source, r.html) for r in pages.drop_blocked(df).collect()}
+    assert {s for s, t in kept if t == texts[0]} == {"LinkedIn", "Glassdoor"}
+    assert {s for s, t in kept if t == texts[1]} == {"LinkedIn", "Indeed"}
+    assert len(kept) == 7
 
 
 @pytest.mark.parametrize(

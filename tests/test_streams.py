@@ -43,13 +43,38 @@ def test_ingest_in_increments(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "star"))
-    save = ingest.ingest_batch(store, str(tmp_path / "runs"), P.as_of)
+    save = ingest.ingest_batch(store, str(tmp_path / "runs"), P.as_of, lambda: "s")
     df = spark.createDataFrame(rows((1, "Alpha", "u1")), COLUMNS)
     save(df, 0)
     save(df, 0)
     assert store.versions() == [0] and store.read().postings.count() == 1
 
 
+def test_streams_add_to_a_store_that_others_fill(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "star"))
+    make = lambda *items: spark.createDataFrame(rows(*items), COLUMNS)
+    store.upsert(make((1, "Zeta", "u0")), P.as_of())
+    clock = iter(range(1, 9))
+    now = lambda: P.as_of() + F.make_interval(hours=F.lit(next(clock)))
+    for stream in ("a", "b"):  # a new checkpoint starts again at batch 0
+        save = ingest.ingest_batch(store, str(tmp_path / "runs"), now, lambda s=stream: s)
+        for k in range(2):
+            save(make((k, f"Alpha {stream}", f"{stream}{k}"), (9, "", f"{stream}{k}-bad")), k)
+            save(make((k, "Other", "never")), k)  # replayed
+    state = store.read().postings
+    assert {r.url for r in state.collect()} == {"u0", "a0", "a1", "b0", "b1"}
+    assert store.rejected().count() == 4
+    runs = ingest.read_runs(spark, str(tmp_path)).collect()
+    assert {(r.stream, r.run_id, r.fetched, r.saved, r.rejected) for r in runs} == {
+        (s, k, 2, 1, 1) for s in "ab" for k in "01"
+    }
+    for r in runs:
+        held = in_window(state, F.lit(r.since), F.lit(r.until)).collect()
+        assert f"{r.stream}{r.run_id}" in {x.url for x in held}
+    ends = {(r.stream, r.run_id): r for r in runs}
+    assert ends["a", "0"].until == ends["a", "1"].since
+
+
 def test_stream_dedup_keeps_first_of_signature(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame(rows((1, "Alpha", "u1"), (2, "Alpha", "u2"), (3, "Beta", "u3")), COLUMNS).write.parquet(src)
