@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import dates
 from postmill.functions import vocabulary as V
 from postmill.functions.urls import BASE_URLS
 from postmill.operators import dedup, enrich, frontier, search, stats
@@ -250,6 +251,16 @@ def test_frontier_caps(spark):
     assert bayt.url == f"https://www.bayt.com/en/{bayt.location.replace(' ', '-')}/jobs/{bayt.term.replace(' ', '-')}-jobs/"
 
 
+def test_long_counts_of_relative_dates(spark):
+    df = spark.createDataFrame([("30000 minutes ago",), ("99999999999999999999 minutes ago",), ("9" * 15 + " weeks ago",)], "t string")
+    at = F.lit("2024-03-31 12:00:00").cast("timestamp")
+    got = df.select(F.date_format(dates.parse_linkedin(F.col("t"), at), "yyyy-MM-dd HH:mm").alias("d")).collect()
+    assert [r.d for r in got] == ["2024-03-10 16:00", None, None]
+    months = spark.createDataFrame([("30000 months ago",), ("24 months ago",)], "t string")
+    got = months.select(F.date_format(dates.parse_bayt(F.col("t"), at), "yyyy-MM-dd").alias("d")).collect()
+    assert [r.d for r in got] == [None, "2022-03-31"]
+
+
 # --- metrics --------------------------------------------------------------------------------
 
 
