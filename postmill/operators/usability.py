@@ -74,11 +74,11 @@ def matrix(df: DataFrame, rows: str, columns: str, names: Sequence[object], valu
     return df.groupBy(rows).pivot(columns, list(names)).agg(F.min(value))
 
 
-def click_matrix(df: DataFrame, rows: str, columns: str, names: Sequence[object]) -> DataFrame:
-    """M5: clicks per cell and the mean of the row."""
-    cells = matrix(df, rows, columns, names, "clicks")
-    mean = df.groupBy(rows).agg(one_decimal(F.avg("clicks")).alias("mean_clicks"))
-    return cells.join(mean, rows)
+def click_matrix(df: DataFrame, users: Sequence[object], expected: DataFrame) -> DataFrame:
+    """M5: task x user clicks, the mean of the task and its expected clicks (null where `expected` lacks the task)."""
+    cells = matrix(df, "task", "user", users, "clicks")
+    mean = df.groupBy("task").agg(one_decimal(F.avg("clicks")).alias("mean_clicks"))
+    return cells.join(mean, "task").join(expected, "task", "left")
 
 
 def completion_rate_by_task(df: DataFrame) -> DataFrame:

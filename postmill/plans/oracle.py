@@ -292,7 +292,7 @@ raw AS (
     CASE doc_id % 3 WHEN 1 THEN 'Competitive' WHEN 2 THEN '$' || (50 + doc_id % 100) || 'k' END AS salary,
     {_pick(P.TYPE_TEXTS, 'doc_id')} AS type_text
   FROM documents d
-  JOIN customer c ON c.c_custkey = (doc_id * 7) % 150
+  JOIN customer c ON c.c_custkey = (doc_id * 7) % (SELECT count(*) FROM customer)
   JOIN nation n ON n.n_nationkey = doc_id % 25
   JOIN pages p ON p.page_id = doc_id % (SELECT count(*) FROM pages)
 )"""
@@ -575,8 +575,9 @@ a AS (SELECT task, floor(avg(clicks) * 10 + 0.5) / 10 AS actual FROM obs GROUP B
 SELECT a.task, expected, actual, round(actual - expected, 1) AS difference,
   CASE WHEN actual - expected <= 1 THEN 'top' WHEN actual - expected <= 2 THEN 'middle' ELSE 'low' END AS band FROM a JOIN e USING (task)"""
     tasks = ("click", "view", "purchase", "error", "signup")
-    cells = ", ".join(f"min(clicks) FILTER (task = '{t}') AS \"{t}\"" for t in tasks)
-    out["pivot_clicks"] = f"""WITH {OBS} SELECT "user", {cells}, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks FROM obs GROUP BY 1"""
+    cells = ", ".join(f"min(clicks) FILTER (\"user\" % 8 = {k}) AS \"panel {k}\"" for k in range(8))
+    out["pivot_clicks"] = f"""WITH {OBS} SELECT task, {cells}, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks,
+  max(clicks) FILTER (status = 'C') - 1 AS expected FROM obs GROUP BY 1"""
     marks = ", ".join(f"min(status) FILTER (task = '{t}') AS \"{t}\"" for t in tasks)
     out["pivot_status"] = f"""WITH {OBS} SELECT "user", {marks} FROM obs GROUP BY 1"""
     out["likert"] = f"""WITH {OBS}, c AS (SELECT task, count(*) AS all_n, avg(score) AS m FROM obs GROUP BY 1),

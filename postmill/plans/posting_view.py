@@ -103,13 +103,14 @@ def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
     customers = read_table(spark, f"{sf}/customer.parquet").select("c_custkey", "c_name")
     nations = read_table(spark, f"{sf}/nation.parquet").select("n_nationkey", "n_name")
     n_pages = pages.agg(F.count("*")).scalar()
+    n_customers = customers.agg(F.count("*")).scalar()
     d = F.col("doc_id")
     keyed = docs.select(
         d.alias("posting_no"),
         d.alias("arrival"),
         "text",
         F.col("source").alias("feed"),
-        ((d * 7) % 150).alias("c_custkey"),
+        ((d * 7) % n_customers).alias("c_custkey"),
         (d % 25).cast("int").alias("n_nationkey"),
         (d % n_pages).alias("page_id"),
     )

@@ -48,10 +48,13 @@ def replace_flat(stored: DataFrame, arrivals: DataFrame, order: str = "arrival")
 
 
 def result_envelope(df: DataFrame, limit: int, name: str = "jobs") -> DataFrame:
-    """{success, count, <name>} as one JSON text, for answers of at most `limit` rows."""
-    rows = df.limit(limit).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
-    return rows.select(
-        F.to_json(
-            F.struct(F.lit(True).alias("success"), F.size("rows").alias("count"), F.col("rows").alias(name))
-        ).alias("body")
+    """{success, count, <name>} as one JSON text, for answers of at most `limit` rows.
+
+    A longer answer is refused with an error rather than cut; no more than `limit` + 1 rows are gathered.
+    """
+    rows = df.limit(limit + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    body = F.to_json(
+        F.struct(F.lit(True).alias("success"), F.size("rows").alias("count"), F.col("rows").alias(name))
     )
+    refused = F.raise_error(F.lit(f"the answer has more than {limit} rows")).cast("string")
+    return rows.select(F.when(F.size("rows") <= limit, body).otherwise(refused).alias("body"))

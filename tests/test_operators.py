@@ -276,13 +276,21 @@ def test_usability_metrics(spark):
     clicks = spark.createDataFrame([("t", c) for c in (9, 10, 11, 9, 10, 9, 8, 10, 8, 10)], "task string, clicks long")
     e = U.task_efficiency(clicks, spark.createDataFrame([("t", 8)], "task string, expected long")).first()
     assert (e.actual, e.difference, e.band) == (9.4, 1.4, "middle")
-    m = U.click_matrix(df, "task", "user", ["u"]).filter("task = 't0'").first()
-    assert (m["u"], m.mean_clicks) == (9, 9.0)
+    expected = spark.createDataFrame([("t0", 8)], "task string, expected long")
+    m = {r.task: (r["u"], r.mean_clicks, r.expected) for r in U.click_matrix(df, ["u"], expected).collect()}
+    assert m["t0"] == (9, 9.0, 8) and m["t1"] == (8, 8.0, None)
     scores = spark.createDataFrame([(s,) for s in (5, 5, 5, 4, 4, 4, 4, 3, 3, 3)], "score int")
     got = {r.score: (r.n, r.percent, r["mean"]) for r in U.likert_summary(scores).collect()}
     assert got == {1: (0, 0, 4.0), 2: (0, 0, 4.0), 3: (3, 30, 4.0), 4: (4, 40, 4.0), 5: (3, 30, 4.0)}
 
 
+def test_envelope_refuses_longer_answers(spark):
+    df = spark.range(3)
+    assert postings.result_envelope(df, 3, "rows").first().body == '{"success":true,"count":3,"rows":[{"id":0},{"id":1},{"id":2}]}'
+    with pytest.raises(Exception, match="more than 2 rows"):
+        postings.result_envelope(df, 2).collect()
+
+
 def test_success_rule(spark):
     df = spark.createDataFrame([("Wuzzuf", 0, False), ("Wuzzuf", 1, False), ("Bayt", 0, False), ("Bayt", 0, True)], "s string, n long, f boolean")
     got = [r.v for r in df.select(stats.run_success(F.col("s"), F.col("n"), F.col("f")).alias("v")).collect()]
