@@ -46,11 +46,12 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "n r s nd l rt", "cyrillic": "н р с нд л рт"}
 
+# Runs are possessive: what follows one is never part of it, so a failed try need not go back.
 _TITLES = "|".join(w for words in HONORIFICS.values() for w in words.split())
-_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"
 MENTION = "|".join(
     (
-        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
         r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
