@@ -67,8 +67,8 @@ def _bit(key: Column, level: int, j: int, bits: Column) -> Column:
 
 
 def _passes(key: Column, level: int, words: Column) -> Column:
-    """Whether the key passes a filter of 64-bit words; an absent filter lets nothing pass."""
-    bits = F.size(words).cast("long") * 64
+    """Whether the key passes a filter of 64-bit words; an absent or empty filter lets nothing pass."""
+    bits = F.nullif(F.size(words).cast("long") * 64, F.lit(0).cast("long"))
     at = F.array(*[F.xxhash64(F.lit(level), F.lit(j), key) for j in range(HASHES)])
 
     def is_set(h: Column) -> Column:

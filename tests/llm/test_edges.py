@@ -225,6 +225,16 @@ def test_url_filter_by_join_is_the_same(spark, monkeypatch):
     assert cascade.flag(keys, "key").filter("listed <> (length(key) < 4)").count() == 0
 
 
+def test_url_filter_of_several_segments(spark, monkeypatch):
+    """Segments run out of keys at different levels: the shipped filters of the others stay exact."""
+    monkeypatch.setattr(url_filter, "SEGMENT_KEYS", 50)
+    keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_filter.build_cascade(keys, keys.filter("length(key) < 5"))
+    assert cascade.literal and cascade.segments == 20 and cascade.levels > 2
+    assert cascade.filters.groupBy("level").count().filter(f"count < {cascade.segments}").count() > 0
+    assert cascade.flag(keys, "key").filter("listed <> (length(key) < 5)").count() == 0
+
+
 def test_rollup_commits_once(spark, docs):
     rollup = token_rollup.TokenRollup(spark, shared_folder(spark))
     counts = token_rollup.counted(docs, "words-1")
