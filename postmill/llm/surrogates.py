@@ -7,7 +7,8 @@ country code, email domains alike for alike domains, given names of the same gen
 entity, not its spelling, is the key (`+1 (555) 010-9999` and `+1 555 010 9999` are one number; a family name
 is replaced alike with and without a given name), so coreference survives. Within a kind no two
 entities share a surrogate and none equals an entity of the corpus: whoever draws a taken one
-draws again, until all are apart.
+draws again, until all are apart. What `MAX_ATTEMPTS` rounds leave over, as its format is full or has nothing
+to draw (`--@-.--`), draws in a longer one: a letter more in an address, a digit more in a number with each round.
 
 Entities are made distinct before anything is joined; texts are keyed by a digest, so copies are decided
 once; texts without personal data never leave their scan.
@@ -27,6 +28,9 @@ from postmill.llm.common import shared_folder, staged
 
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 
+#: Rounds in the mention's own format. Of a format with half its values free, one entity in 10^9 is left after them.
+MAX_ATTEMPTS = 30
+
 # Honorifics by gender.
 HONORIFICS = {
     "m": "Mr Sir Herr Monsieur Señor Sr Don Signor Господин",
@@ -152,20 +156,21 @@ def _pick(words: str, n: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in every]), F.pmod(n, F.lit(len(every))))
 
 
-def _drawn(secret: str, kind: Column, canon: Column, attempt: int) -> Column:
-    """The surrogate of an entity at one attempt."""
-    stream = _stream(secret, F.concat_ws("\x1f", kind, canon, F.lit(str(attempt))), F.length(canon))
+def _drawn(secret: str, kind: Column, canon: Column, attempt: int, longer: int = 0) -> Column:
+    """The surrogate of an entity at one attempt, `longer` letters or digits longer than the entity."""
+    stream = _stream(secret, F.concat_ws("\x1f", kind, canon, F.lit(str(attempt))), F.length(canon) + longer)
     domain = F.substring_index(canon, "@", -1)
     host, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.regexp_extract(domain, r"(\.[^.]+)$", 1)
     local = F.substring_index(canon, "@", 1)
-    email = F.concat(_alike(local, stream), F.lit("@"), _alike(host, _stream(secret, F.concat(F.lit("domain"), domain), F.length(host))), top)
+    email = F.concat(_alike(F.concat(local, F.lit("a" * longer)), stream), F.lit("@"), _alike(host, _stream(secret, F.concat(F.lit("domain"), domain), F.length(host))), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(stream, i) % 254 + 1).cast("string")), ".")
+    number = F.concat(canon, F.lit("0" * longer))
     code = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     out = (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "card", _checked(_alike(canon, stream, F.lit(1))))
-        .when(kind == "phone", _alike(canon, stream, code))
+        .when(kind == "card", _checked(_alike(number, stream, F.lit(1))))
+        .when(kind == "phone", _alike(number, stream, code))
     )
     for (gender, script), names in GIVEN.items():
         parts = [_pick(names, _number(stream, F.lit(i + 1))) for i in range(1 + attempt // 2)]
@@ -173,32 +178,35 @@ def _drawn(secret: str, kind: Column, canon: Column, attempt: int) -> Column:
     for script, syllables in SYLLABLES.items():
         parts = [_pick(syllables, _number(stream, F.lit(i + 1))) for i in range(3 + attempt // 2)]
         out = out.when(kind == f"family.{script}", F.initcap(F.concat(*parts, _pick(ENDINGS[script], _number(stream, F.lit(20))))))
-    return out.otherwise(_alike(canon, stream))
+    return out.otherwise(_alike(number, stream))
 
 
-def surrogate_table(entities: DataFrame, secret: str, folder: str, max_attempts: int = 30) -> DataFrame:
+def surrogate_table(entities: DataFrame, secret: str, folder: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon), all surrogates apart and new to the corpus.
 
-    In each attempt the smallest entity that draws a free surrogate keeps it, the others draw again.
+    In each attempt the smallest entity that draws a free surrogate keeps it, the others draw again; after
+    `max_attempts` in formats that grow with each further attempt, so that all find a free one.
     """
     entities = staged(entities.distinct(), folder, "entities")
-    pending, done = entities, None
-    for attempt in range(max_attempts):
-        drawn = staged(pending.withColumn("surrogate", _drawn(secret, F.col("kind"), F.col("canon"), attempt)), folder, f"drawn-{attempt}")
+    pending, done, attempt = entities, None, 0
+    while done is None or not pending.isEmpty():
+        longer = max(0, attempt - max_attempts + 1)
+        drawn = pending.withColumn("surrogate", _drawn(secret, F.col("kind"), F.col("canon"), attempt, longer))
+        drawn = staged(drawn, folder, f"drawn-{attempt}")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         taken = entities.select("kind", F.col("canon").alias("surrogate"))
         taken = taken if done is None else taken.union(done.select("kind", "surrogate"))
         kept = staged(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate"), folder, f"kept-{attempt}")
         done = kept if done is None else done.union(kept)
         pending = staged(pending.join(kept, ["kind", "canon"], "left_anti"), folder, f"pending-{attempt}")
-        if pending.isEmpty():
-            return done
-    raise ValueError("a kind has more entities than its format has surrogates")
+        attempt += 1
+    return done
 
 
 def _written(mention: Column, kind: Column, surrogates: Column) -> Column:
-    """The mention in its own format with the surrogates of its entities."""
+    """The mention in its own format with the surrogates of its entities; what a longer number has more comes last."""
     digits = F.regexp_replace(F.get(surrogates, F.lit(0)), r"\D", "")
+    held = F.length(F.regexp_replace(mention, r"\D", ""))
 
     def put(i: Column) -> Column:
         c = F.substr(mention, i, F.lit(1))
@@ -206,6 +214,7 @@ def _written(mention: Column, kind: Column, surrogates: Column) -> Column:
         return F.when(c.rlike("[0-9]"), F.substr(digits, nth, F.lit(1))).otherwise(c)
 
     formatted = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), put), "")
+    formatted = F.concat(formatted, F.substr(digits, held + 1, F.length(digits)))
     return (
         F.when(kind == "name", F.concat_ws(" ", F.get(F.split(mention, " "), F.lit(0)), F.array_join(surrogates, " ")))
         .when(kind.isin("email", "ip"), F.get(surrogates, F.lit(0)))

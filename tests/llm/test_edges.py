@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -191,6 +193,19 @@ def test_surrogates_stay_apart(spark):
         assert len(out) == 800 and out.isdisjoint(r["text"] for r in df.collect())
 
 
+def test_surrogates_of_full_formats(spark, monkeypatch):
+    """More entities than a format has values, and addresses in which nothing can be drawn."""
+    monkeypatch.setattr(surrogates, "surrogate_table", partial(surrogates.surrogate_table, max_attempts=3))
+    said = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["--@-.--", "__@a.com", "__@b.com"]
+    said += [f"+23{i}" for i in range(100, 800)]
+    docs = spark.createDataFrame([(i, f"at {m} ok") for i, m in enumerate(said)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs, "k").collect()}
+    new = [out[i][3:-3] for i in range(len(said))]
+    assert len(set(new)) == len(said) and set(new).isdisjoint(said)
+    assert all(re.fullmatch(r"[a-z]{1,8}@[a-z]\.com", n) for n in new[:26]) and len({n.split("@")[1] for n in new[:26]}) == 1
+    assert re.fullmatch(r"--[a-z]+@-\.--", new[26]) and all(re.fullmatch(r"\+23\d{3,9}", n) for n in new[29:])
+
+
 def test_swapped_identity_terms_do_not_move_a_score():
     rng = random.Random(2)
     words = [f"word{i}" for i in range(200)]
