@@ -2,9 +2,11 @@
 
 The patterns are taken leftmost and non-overlapping, kind by kind. Besides, every value that follows
 a credential word (`pwd`, `login`, `private key` and the like) is cut into dictionary words, dates,
-repeats, keyboard walks and brute-force characters by dynamic programming so that the product of the
+repeats, keyboard walks and brute-force runs by dynamic programming so that the product of the
 parts' guesses is least; a value that still costs 10^8 guesses or more is a secret, kind `guess`.
-Placeholders such as `changeme` or `aaaaaaaa` cost little and are left alone.
+Placeholders such as `changeme` or `aaaaaaaa` and ordinary words cost little and are left alone. The search
+goes on from the start of a value left alone, as it may be a credential word itself. The words
+are those of two public tokenizers, in the order of their merges, which is about that of frequency.
 
 A span is kind:start:end over the whole match, in code points, end exclusive.
 
@@ -15,11 +17,15 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +41,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Words that announce a credential beyond those of ASSIGN, then the value.
+#: Words that announce a credential beyond those of ASSIGN, then the value. Those that end ordinary words
+#: (`spin`, `compass`) start after no letter, or with a capital after a small one.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|login|auth)"""
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|api[_-]?key|credentials?|private[_-]?key|access[_-]?key"""
+    r"""|(?:(?<![A-Za-z\u00C0-\u024F])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|pin|secret|token|login|auth))"""
     r"""["']?[ \t]*(?:[:=]|\bis\b)[ \t]*["']?([^\s"'<>]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
@@ -60,19 +68,46 @@ LEET = str.maketrans("4@310!$57+", "aaeioisstt")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 STEPS = {(a, b) for row in ROWS for a, b in (*zip(row, row[1:]), *zip(row[1:], row))}
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 
+#: Letters of the least word taken from the tokenizers; shorter ones are found in any random value.
+LEAST_WORD = 4
 
-def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+#: Alphabets a guesser tries: small and capital letters, digits, symbols, and all else.
+ALPHABETS = (26, 26, 10, 33, 100)
+
+
+@lru_cache(maxsize=1)
+def word_ranks() -> tuple[dict[str, int], int]:
+    """Rank by word, WORDS first, and the length of the longest. At most as many as both vocabularies hold."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    found = [(i, w.removesuffix("</w>")) for w, i in vocab.items() if w.endswith("</w>")]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        pieces = [(int(i), base64.b64decode(w)) for w, i in map(bytes.split, f)]
+    found += [(i, w[1:].decode(errors="replace").lower()) for i, w in pieces if w.startswith(b" ")]
+    words = [*WORDS, *(w for _, w in sorted(found) if len(w) >= LEAST_WORD and w.isalpha())]
+    ranks = {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+    return ranks, max(map(len, ranks))
+
+
+def _class(c: str) -> int:
+    """The bit of the character's alphabet."""
+    if not c.isascii():
+        return 16
+    return 1 if c.islower() else 2 if c.isupper() else 4 if c.isdigit() else 8
+
+
+def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation.
 
     A word costs its rank (twice that when in capitals or with swapped letters), a date the
-    days of 150 years, a repeat or a keyboard walk its start and length, any other character ten guesses
-    (alphabet sizes are left out, as a guesser tries likely characters first). Repeats
-    and walks reach as far as they can from where they start; each further part doubles the cost.
+    days of 150 years, a repeat or a keyboard walk its start and length, a run of other characters the size of
+    the alphabets it is drawn from for each. Repeats
+    and walks reach as far as they can from where they start; each part doubles the cost.
     """
-    low = value.lower()
-    plain, n, longest = low.translate(LEET), len(value), max(map(len, ranks), default=0)
+    ranks, longest = word_ranks()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain, n = low.translate(LEET), len(value)
     part = math.log10(2)
     repeat, walk = [1] * (n + 1), [1] * (n + 1)
     for i in range(n - 2, -1, -1):
@@ -80,10 +115,19 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
             repeat[i] = repeat[i + 1] + 1
         if (low[i], low[i + 1]) in STEPS:
             walk[i] = walk[i + 1] + 1
+    classes = [_class(c) for c in value]
+    sizes = {0: 0}
+    for c in set(classes):
+        sizes |= {m | c: s + ALPHABETS[c.bit_length() - 1] for m, s in sizes.items()}
+    # The cost of a run that is open, by the alphabets it is drawn from.
+    runs = [(m, math.log10(s)) for m, s in sizes.items() if m]
+    opened = {m: math.inf for m, _ in runs}
     best = [0.0] + [math.inf] * n
     for i in range(n):
-        here = best[i]
-        moves = [(i + 1, 1.0)]
+        here = best[i] = min(best[i], *opened.values())
+        for m, cost in runs:
+            opened[m] = min(opened[m], here + part) + cost if m & classes[i] else math.inf
+        moves = []
         for run in (repeat[i], walk[i]):
             if run > 2:
                 moves.append((i + run, math.log10(50 * run) + part))
@@ -96,7 +140,7 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
                     moves.append((j, math.log10(ranks[form] * turns) + part))
         for j, cost in moves:
             best[j] = min(best[j], here + cost)
-    return best[n]
+    return min(best[n], *opened.values()) if n else 0.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -109,7 +153,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def guessed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of costly values after credential words."""
-    return [(m.start(), 3, m.end()) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= LEAST_COST]
+    found, at = [], 0
+    while m := CONTEXT.search(text, at):
+        secret = guess_cost(m[1]) >= LEAST_COST
+        if secret:
+            found.append((m.start(), 3, m.end()))
+        at = m.end() if secret else m.start(1)
+    return found
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

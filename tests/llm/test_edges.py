@@ -273,6 +273,17 @@ def test_guess_costs():
     assert [(a, b) for a, _, b in spans] == [(0, 17)]
 
 
+def test_guessed_values():
+    """Ordinary words are no secrets, short values of many alphabets are, and no value hides the next context word."""
+    found = lambda t: [t[a:b] for a, _, b in secret_scan.guessed_spans(t)]
+    for prose in ("Your password is incorrect.", "The secret is patience", "spin: clockwise", "spin: x7Kq9zRt2m", "the compass is Zk8v!Qx21mW"):
+        assert found(prose) == [], prose
+    assert found("pwd: k#9V!xq") == ["pwd: k#9V!xq"] and found("userPin=x7Kq9zRt2m") == ["Pin=x7Kq9zRt2m"]
+    assert found("auth: token: Zk8v!Qx21mW") == ["token: Zk8v!Qx21mW"]
+    assert found("mypassword: Zk8v!Qx21mW DB_PASS=Zk8v!Qx21mW")[1:] == ["PASS=Zk8v!Qx21mW"]
+    assert len(found("pin: " * 2000 + "token: " * 2000)) == 0
+
+
 def test_masking(docs):
     got = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
     assert got[2] is None and got[3] == "" and "hunter2" not in got[None] and got[5] == LONG
