@@ -9,6 +9,7 @@ Layout: `<path>/ranks` (rank, id) and `<path>/docs`: shard (a range of doc_ids,
 start (ids before it in its shard), n_ids, control, data. Documents decode independently of each other.
 
 The tokenizer splits at white space, so a worker tokenizes each distinct word once while it remembers it.
+A special token's name within a text (`<|endoftext|>`) is text and gets the ids of its characters.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; repeated doc_ids are
 kept as they are, ordered by their ids; an empty table gives no rows. Other columns are ignored.
@@ -36,6 +37,10 @@ WORDS_KEPT = 1_500_000
 #: New words tokenized in one call.
 CALL_WORDS = 5_000
 
+# The tokenizer composes marks before it lower-cases, and some compose with small letters alone (T + U+0308
+# does not, t + U+0308 does). All marks that compose with A-Z lie in U+0300 to U+036F, and have these first bytes.
+MARKS = (b"\xcc", b"\xcd")
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 DOCS = "shard int, doc_id long, start long, n_ids long, control binary, data binary"
@@ -95,11 +100,19 @@ class WordCoder:
                 self.known[w] = flat[4 * at : 4 * end]
                 at = end + 1
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """The words as they are looked up: in lower case where the tokenizer would come to the same ids."""
+        if not self.fold:
+            return text.split()
+        if any(m in text for m in MARKS):
+            return [w.translate(self.fold) if w.isascii() else w for w in text.split()]
+        return text.translate(self.fold).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        split = [(t.translate(self.fold) if self.fold else t).split() for t in texts]
+        split = [self._words(t) for t in texts]
         self._learn(list({w for words in split for w in words}.difference(self.known)))
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]

@@ -91,6 +91,16 @@ def test_tokens(spark, docs):
         assert [(i, bytes(b)) for i, b in got] == want
 
 
+def test_folded_words_compose_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_BPE)
+    t.encode_special_tokens = True
+    texts = ["T\u0308 AND T\u0308A", "H\u0331J\u030cW\u030aY\u030a Plain", "A\u0300B \u00c0B ABC", "\u0130X STRASSE", "T\u0323\u0308"]
+    want = [brute.u4(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_output.WordCoder(WORD_BPE, True).encode([x.encode() for x in texts]) == want
+
+
 def test_pack_round_trip():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], "<u4")
     for n in range(len(values) + 1):
