@@ -29,9 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(COLUMNS)
+    """Documents without a passage of the benchmark. A row goes by its id and text: ids may be null or repeated."""
+    keyed = docs.withColumn("_key", F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2("text", 256)))
+    probed = keyed.select(F.col("_key").alias("doc_id"), "text")
+    hit = decontaminate.contaminated(probed, table(spark, sf_dir, "benchmark"), "string").select(F.col("doc_id").alias("_key"))
+    return keyed.join(hit, "_key", "left_anti").select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

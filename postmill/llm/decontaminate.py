@@ -39,7 +39,7 @@ BAND = 16
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 GAP = 0x110000  # between two documents: no character
-FOUND = "doc_id long, item_id long, distance int, start long, end long, n_probes long"
+FOUND = "doc_id {}, item_id long, distance int, start long, end long, n_probes long"
 
 
 @lru_cache(maxsize=1)
@@ -172,7 +172,7 @@ class Probes:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
 
 
-def _matches(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _matches(docs: DataFrame, items: list[tuple[int, str]], id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = Probes(items)
         owner, length = np.array(probes.item, np.int64), np.array([len(t) for t in probes.text], np.int64)
@@ -196,7 +196,7 @@ def _matches(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 known[3].add(p)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([ids[d] for d, _ in best], pa.int64()),
+                    "doc_id": pa.array([ids[d] for d, _ in best], pa.int64() if id_type == "long" else pa.string()),
                     "item_id": pa.array([i for _, i in best], pa.int64()),
                     "distance": pa.array([v[0] for v in best.values()], pa.int32()),
                     "start": pa.array([v[1] for v in best.values()], pa.int64()),
@@ -205,7 +205,7 @@ def _matches(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast(id_type), "text").mapInArrow(run, FOUND.format(id_type))
 
 
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -223,7 +223,10 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text")
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item it holds: least distance, start and end in the text, probes found."""
-    found = [_matches(docs, block) for block in item_blocks(benchmark)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_type: str = "long") -> DataFrame:
+    """One row per document and item it holds: least distance, start and end in the text, probes found.
+
+    `id_type` is the type of the documents' ids, long or string.
+    """
+    found = [_matches(docs, block, id_type) for block in item_blocks(benchmark)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], FOUND.format(id_type))

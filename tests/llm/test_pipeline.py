@@ -87,3 +87,12 @@ def test_tokens(stages):
         ids = enc.encode_ordinary(text or "")
         want.append((d, len(ids), *(hashlib.sha256(b).hexdigest() for b in (brute.u4(ids), (text or "").encode()))))
     assert sorted(tuple(r)[:4] for r in stages["byte_bpe"]) == sorted(want)
+
+
+def test_contaminated_rows_go_whatever_their_ids(spark, tmp_path):
+    passage = " ".join(f"benchmark{i} passage{i % 7}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, f"x {passage} y"), (None, "clean"), (None, None), (1, f"x {passage} y"), (1, "clean"), (1, "clean"), (2, passage), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(i, t) for i, t in texts if passage not in (t or "")], key=str)
