@@ -81,6 +81,13 @@ def click_matrix(df: DataFrame, users: Sequence[object], expected: DataFrame) ->
     return cells.join(mean, "task").join(expected, "task", "left")
 
 
+def click_cells(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """M5 in long form, for any number of users: task, user, clicks (the first by value), the task's mean and expected clicks."""
+    cells = df.groupBy("task", "user").agg(F.min("clicks").alias("clicks"))
+    mean = df.groupBy("task").agg(one_decimal(F.avg("clicks")).alias("mean_clicks"))
+    return cells.join(mean, "task").join(expected, "task", "left")
+
+
 def completion_rate_by_task(df: DataFrame) -> DataFrame:
     """M6."""
     counted = df.groupBy("task").agg(F.count("*").alias("total"), _completed().alias("completed"))

@@ -668,6 +668,13 @@ def pivot_clicks(spark: SparkSession, sf: str) -> DataFrame:
     return U.click_matrix(seen.withColumn("user", panel), PANELS, _expected_clicks(seen))
 
 
+@query
+def clicks_by_task_user(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's clicks, which `pivot_clicks` folds into panels."""
+    seen = P.observations(spark, sf)
+    return U.click_cells(seen, _expected_clicks(seen))
+
+
 @query
 def pivot_status(spark: SparkSession, sf: str) -> DataFrame:
     return U.matrix(P.observations(spark, sf), "user", "task", TASKS, "status")

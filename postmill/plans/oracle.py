@@ -578,6 +578,9 @@ SELECT a.task, expected, actual, round(actual - expected, 1) AS difference,
     cells = ", ".join(f"min(clicks) FILTER (\"user\" % 8 = {k}) AS \"panel {k}\"" for k in range(8))
     out["pivot_clicks"] = f"""WITH {OBS} SELECT task, {cells}, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks,
   max(clicks) FILTER (status = 'C') - 1 AS expected FROM obs GROUP BY 1"""
+    out["clicks_by_task_user"] = f"""WITH {OBS}, t AS (SELECT task, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks,
+  max(clicks) FILTER (status = 'C') - 1 AS expected FROM obs GROUP BY 1)
+SELECT task, "user", min(clicks) AS clicks, mean_clicks, expected FROM obs JOIN t USING (task) GROUP BY ALL"""
     marks = ", ".join(f"min(status) FILTER (task = '{t}') AS \"{t}\"" for t in tasks)
     out["pivot_status"] = f"""WITH {OBS} SELECT "user", {marks} FROM obs GROUP BY 1"""
     out["likert"] = f"""WITH {OBS}, c AS (SELECT task, count(*) AS all_n, avg(score) AS m FROM obs GROUP BY 1),

@@ -284,6 +284,14 @@ def test_usability_metrics(spark):
     assert got == {1: (0, 0, 4.0), 2: (0, 0, 4.0), 3: (3, 30, 4.0), 4: (4, 40, 4.0), 5: (3, 30, 4.0)}
 
 
+def test_click_cells_hold_every_user(spark):
+    rows = [("t", u, c) for u, c in ((0, 5), (0, 3), (8, 9), (16, 4))] + [("s", 8, 1)]
+    df = spark.createDataFrame(rows, "task string, user long, clicks long")
+    got = U.click_cells(df, spark.createDataFrame([("t", 8)], "task string, expected long"))
+    assert sorted(map(tuple, got.select("task", "user", "clicks", "mean_clicks", "expected").collect())) == [
+        ("s", 8, 1, 1.0, None), ("t", 0, 3, 5.3, 8), ("t", 8, 9, 5.3, 8), ("t", 16, 4, 5.3, 8)]
+
+
 def test_envelope_refuses_longer_answers(spark):
     df = spark.range(3)
     assert postings.result_envelope(df, 3, "rows").first().body == '{"success":true,"count":3,"rows":[{"id":0},{"id":1},{"id":2}]}'
