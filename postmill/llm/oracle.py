@@ -83,4 +83,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed f JOIN shrunk s ON f.source IS NOT DISTINCT FROM s.source
 """
 
-STATEMENTS = {"op2_url_filter": OP2, "op3_token_rollup": OP3, "op8_quality_rules": OP8}
+OP13 = r"""
+WITH lists AS (
+  SELECT doc_id, list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents
+), size AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM lists
+), wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(list_transform(
+      regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+      lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+    FROM benchmark) GROUP BY item_id, term
+), pairs AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row_number() OVER () AS row, doc_id, len(w) AS n, unnest(w) AS term FROM lists)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY row, doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM pairs, size GROUP BY term, n_docs
+), impacts AS (
+  SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS impact
+  FROM pairs, size
+), scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, row, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0
+) WHERE rank <= 20
+"""
+
+STATEMENTS = {"op2_url_filter": OP2, "op3_token_rollup": OP3, "op8_quality_rules": OP8, "op13_ranked_search": OP13}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import byte_bpe, decontaminate, near_duplicates, quality_rules, secret_scan, surrogates
-from postmill.llm import token_output, token_rollup, toxicity, url_filter
+from postmill.llm import byte_bpe, decontaminate, license_scan, near_duplicates, quality_rules, ranked_search
+from postmill.llm import secret_scan, surrogates, token_output, token_rollup, toxicity, url_filter, whitening
 from postmill.llm.common import shared_folder, table
 
 URL_RULES = [
@@ -85,6 +85,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans are written as label:start:end:edits, comma-joined."""
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"]))
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(spans, ","))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -98,5 +112,8 @@ QUERIES = {
         op8_quality_rules,
         op9_secret_scan,
         op10_near_duplicates,
+        op11_license_scan,
+        op12_whitening,
+        op13_ranked_search,
     )
 }
