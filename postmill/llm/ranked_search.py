@@ -37,7 +37,7 @@ from postmill.llm.common import ascii_lower, shared_folder, small_batches, stage
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Bytes of text in a shard (a longer single text is a shard of its own).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 #: Bytes of terms that a block of items may hold.
 BLOCK_BYTES = 4 << 20
@@ -50,14 +50,11 @@ FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
-ONES = np.array([bin(m).count("1") for m in range(16)], np.int64)
-
 #: Stands for a null doc_id, which comes first.
 NO_ID = -(1 << 63)
 
 INDEX = (
-    "ids array<long>, terms array<binary>, df binary, height int, masks binary, maxima binary, "
-    "end_rows binary, end_columns binary"
+    "ids array<long>, terms binary, df binary, height int, masks binary, maxima binary, end_rows binary, end_columns binary"
 )
 
 
@@ -132,13 +129,11 @@ class Treap:
     def __post_init__(self) -> None:
         n, at_end = len(self.masks), self.masks == 0
         self.empty = n  # a last cell stands for an empty quarter
-        first = 1 + np.cumsum(ONES[self.masks]) - ONES[self.masks]
-        self.down = np.full((n + 1, 4), n, np.int32)  # the cells of the four quarters
-        for quarter in range(4):
-            found = np.flatnonzero(self.masks & (1 << quarter))
-            self.down[found, quarter] = first[found] + ONES[self.masks[found] & ((1 << quarter) - 1)]
-        self.down = self.down.reshape(-1)
-        self.most = np.append(self.maxima, 0).astype(np.int64)
+        # The cells of the four quarters: children are numbered as their parents are.
+        self.down = np.full(4 * (n + 1), n, np.int32)
+        quarters = np.flatnonzero((self.masks[:, None] >> np.arange(4, dtype=np.uint8)) & 1)
+        self.down[quarters] = np.arange(1, len(quarters) + 1, dtype=np.int32)
+        self.most = np.append(self.maxima, 0).astype(np.int32)
         self.row, self.column = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)  # of the ends
         self.row[:-1][at_end], self.column[:-1][at_end] = self.end_rows, self.end_columns
 
@@ -227,20 +222,20 @@ def shard(ids: list[int | None], texts: pa.Array, n_docs: int, n_terms: int) ->
     tree = Treap.build(row_of[terms], columns, impact)
     return {
         "ids": [ids[i] for i in order],
-        "terms": spelt.take(pa.array(by_df)).cast(pa.large_binary()).to_pylist(),
+        "terms": b"\n".join(spelt.take(pa.array(by_df)).cast(pa.large_binary()).to_pylist()),
         "df": df[by_df].astype("<u4").tobytes(),
         "height": tree.height,
         "masks": tree.masks.tobytes(),
-        "maxima": tree.maxima.astype("<u4").tobytes(),
-        "end_rows": tree.end_rows.astype("<u4").tobytes(),
-        "end_columns": tree.end_columns.astype("<u4").tobytes(),
+        "maxima": tree.maxima.astype("<i4").tobytes(),  # an impact is at most a million
+        "end_rows": tree.end_rows.astype("<i4").tobytes(),
+        "end_columns": tree.end_columns.astype("<i4").tobytes(),
     }
 
 
 INDEX_ARROW = pa.schema(
     [
         ("ids", pa.list_(pa.int64())),
-        ("terms", pa.list_(pa.binary())),
+        ("terms", pa.binary()),  # one after the other, by lines
         ("df", pa.binary()),
         ("height", pa.int32()),
         *[(c, pa.binary()) for c in ("masks", "maxima", "end_rows", "end_columns")],
@@ -286,9 +281,10 @@ def document_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, df in zip(batch.column("terms"), batch.column("df").to_pylist(), strict=True):
+            for words, df in zip(batch.column("terms").to_pylist(), batch.column("df").to_pylist(), strict=True):
                 counted = pa.array(np.frombuffer(df, "<u4").astype(np.int64))
-                yield pa.RecordBatch.from_arrays([words.values.cast(pa.string()), counted], ["term", "df"])
+                spelt = pa.array(words.split(b"\n") if words else [], pa.binary())
+                yield pa.RecordBatch.from_arrays([spelt.cast(pa.string()), counted], ["term", "df"])
 
     local = index.select("terms", "df").mapInArrow(counts, "term string, df long")
     return local.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
@@ -320,11 +316,11 @@ def search(index: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 if queries is None:  # every row of a task carries the same block
                     queries = part.column("items")[0].as_py()
                     best = [[] for _ in queries]
-                row = {c: part.column(c)[0].as_py() for c in part.schema.names if c not in ("items", "terms", "ids")}
+                row = {c: part.column(c)[0].as_py() for c in part.schema.names if c not in ("items", "ids")}
                 ids = np.asarray(pc.fill_null(part.column("ids").flatten(), NO_ID))
-                number = {t: r for r, t in enumerate(part.column("terms")[0].as_py())}
-                four = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("maxima", "end_rows", "end_columns"))
-                tree = Treap(row["height"], np.frombuffer(row["masks"], np.uint8), *four)
+                number = {t: r for r, t in enumerate(row["terms"].split(b"\n"))}
+                three = (np.frombuffer(row[c], "<i4") for c in ("maxima", "end_rows", "end_columns"))
+                tree = Treap(row["height"], np.frombuffer(row["masks"], np.uint8), *three)
                 for q, item in enumerate(queries):
                     here = [(r, t["w"]) for t in item["terms"] if t["w"] > 0 and (r := number.get(t["term"].encode())) is not None]
                     if here:
