@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.functions.text import let, or_else, trim_all
+from postmill.functions.text import SPACES
 
 # The helper travels with the UDF, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -279,110 +279,151 @@ def page_udf(selectors: Mapping[str, Iterable[str]]) -> Callable[[Column, Column
 
 
 # --- expressions over a page ---------------------------------------------------------------
+#
+# These build SQL text, for `F.expr`: a rule with nested lambdas is one call to the JVM, not hundreds.
+# `page`, `card`, `selectors` and the like are SQL expressions too.
 
+_depth = 0
 
-def hits(page: Column, selector: Column | str) -> Column:
-    """Numbers of the elements a selector matches, in document order."""
-    key = F.lit(selector) if isinstance(selector, str) else selector
-    return F.coalesce(F.try_element_at(page["hits"], key), F.array().cast("array<int>"))
 
+def lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def within(found: Column, card: Column | None) -> Column:
+
+def lits(texts: Iterable[str]) -> str:
+    """An array of string literals."""
+    return f"cast(array({', '.join(map(lit, texts))}) AS array<string>)"
+
+
+def fn(body: Callable[[str], str]) -> str:
+    """A SQL lambda; variables are named by nesting, so equal rules have equal text."""
+    global _depth
+    _depth += 1
+    try:
+        return f"x{_depth} -> {body(f'x{_depth}')}"
+    finally:
+        _depth -= 1
+
+
+def bound(value: str, body: Callable[[str], str]) -> str:
+    """`body` of a value that is computed once."""
+    return f"get(transform(array({value}), {fn(body)}), 0)"
+
+
+def mapped(values: str, body: Callable[[str], str]) -> str:
+    return f"transform({values}, {fn(body)})"
+
+
+def kept(values: str, test: Callable[[str], str]) -> str:
+    return f"filter({values}, {fn(test)})"
+
+
+def trimmed(text: str) -> str:
+    return f"btrim({text}, {lit(SPACES)})"
+
+
+def either(*texts: str) -> str:
+    """The first text that is neither null nor empty; empty if none is."""
+    return f"coalesce({', '.join(f'nullif({t}, {lit("")})' for t in texts)}, '')"
+
+
+def hits(page: str, selector: str) -> str:
+    """Numbers of the elements a selector (an expression) matches, in document order."""
+    return f"coalesce(try_element_at({page}.hits, {selector}), cast(array() AS array<int>))"
+
+
+def within(found: str, card: str | None) -> str:
     """Of the found elements those inside `card`."""
-    return found if card is None else F.filter(found, lambda i: (i > card["idx"]) & (i <= card["last"]))
+    return found if card is None else kept(found, lambda i: f"({i} > {card}.idx AND {i} <= {card}.last)")
+
+
+def _span(page: str, part: str) -> str:
+    return f"substring({page}.text, {part}.start + 1, {part}.stop - {part}.start)"
 
 
-def _span(page: Column, part: Column) -> Column:
-    return F.substring(page["text"], part["start"] + 1, part["stop"] - part["start"])
+def element(page: str, idx: str) -> str:
+    return f"get({page}.els, {idx})"
 
 
-def text_of(page: Column, idx: Column) -> Column:
+def text_of(page: str, idx: str) -> str:
     """All text inside an element."""
-    return let(F.get(page["els"], idx), lambda e: _span(page, e))
+    return bound(element(page, idx), lambda e: _span(page, e))
 
 
-def own_text_of(page: Column, idx: Column) -> Column:
+def own_text_of(page: str, idx: str) -> str:
     """Text directly in an element, without that of its child elements."""
-    runs = F.filter(page["runs"], lambda r: r["owner"] == idx)
-    return F.when(idx.isNotNull(), F.array_join(F.transform(runs, lambda r: _span(page, r)), ""))
+    runs = kept(f"{page}.runs", lambda r: f"{r}.owner = {idx}")
+    return f"CASE WHEN {idx} IS NOT NULL THEN array_join({mapped(runs, lambda r: _span(page, r))}, '') END"
 
 
-def _first(values: Column) -> Column:
-    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), 0)
+def first_of(values: str) -> str:
+    """The first value that is neither null nor empty."""
+    return f"get({kept(values, lambda v: f'({v} IS NOT NULL AND {v} <> {lit("")})')}, 0)"
 
 
-def first_text(page: Column, selectors: Column, card: Column | None = None) -> Column:
+def first_text(page: str, selectors: str, card: str | None = None) -> str:
     """Trimmed text of the first match of the first selector that has any; else empty."""
-    texts = F.transform(selectors, lambda s: trim_all(text_of(page, F.get(within(hits(page, s), card), 0))))
-    return F.coalesce(_first(texts), F.lit(""))
+    one = lambda s: trimmed(text_of(page, f"get({within(hits(page, s), card)}, 0)"))
+    return f"coalesce({first_of(mapped(selectors, one))}, '')"
 
 
-def first_own_text(page: Column, selectors: Column) -> Column:
+def first_own_text(page: str, selectors: str) -> str:
     """As `first_text`, own text preferred and style-sheet debris refused."""
 
-    def one(idx: Column) -> Column:
-        raw = or_else(trim_all(own_text_of(page, idx)), trim_all(text_of(page, idx)))
-        bare = lambda r: trim_all(
-            F.regexp_replace(trim_all(F.regexp_replace(r, r"\{[^}]*\}", "")), r"@media[^}]*\}", "")
-        )
-        return let(
-            F.struct(raw.alias("raw"), bare(raw).alias("bare")),
-            lambda t: F.when(
-                ~F.contains(t["raw"], F.lit(".css-"))
-                & ~t["bare"].rlike(r"[{}]|@media")
-                & F.length(t["bare"]).between(1, 499),
-                t["bare"],
-            ),
-        )
+    def bare(raw: str) -> str:
+        ruled = trimmed(f"regexp_replace({raw}, {lit(r'\{[^}]*\}')}, '')")
+        return trimmed(f"regexp_replace({ruled}, {lit(r'@media[^}]*\}')}, '')")
 
-    return F.coalesce(_first(F.transform(selectors, lambda s: one(F.get(hits(page, s), 0)))), F.lit(""))
+    def judged(t: str) -> str:
+        clean = f"NOT contains({t}.raw, '.css-') AND NOT {t}.bare RLIKE {lit('[{}]|@media')}"
+        return f"CASE WHEN {clean} AND length({t}.bare) BETWEEN 1 AND 499 THEN {t}.bare END"
 
+    def one(idx: str) -> str:
+        raw = either(trimmed(own_text_of(page, idx)), trimmed(text_of(page, idx)))
+        both = bound(raw, lambda r: f"named_struct('raw', {r}, 'bare', {bare(r)})")
+        return bound(both, judged)
 
-def texts_of(page: Column, found: Column) -> Column:
+    return f"coalesce({first_of(mapped(selectors, lambda s: bound(f'get({hits(page, s)}, 0)', one)))}, '')"
+
+
+def texts_of(page: str, found: str) -> str:
     """Trimmed texts of the found elements."""
-    return F.transform(found, lambda i: trim_all(text_of(page, i)))
+    return mapped(found, lambda i: trimmed(text_of(page, i)))
 
 
-def all_texts(page: Column, selectors: Column) -> Column:
+def all_texts(page: str, selectors: str) -> str:
     """All non-empty texts of the first selector that has any."""
-    lists = F.transform(selectors, lambda s: F.filter(texts_of(page, hits(page, s)), lambda t: t != ""))
-    return F.coalesce(F.get(F.filter(lists, lambda a: F.size(a) > 0), 0), F.array().cast("array<string>"))
+    lists = mapped(selectors, lambda s: kept(texts_of(page, hits(page, s)), lambda t: f"{t} <> ''"))
+    return f"coalesce(get({kept(lists, lambda a: f'size({a}) > 0')}, 0), cast(array() AS array<string>))"
 
 
-def first_attr(page: Column, selectors: Column, attr: str, card: Column | None = None) -> Column:
+def first_attr(page: str, selectors: str, attr: str, card: str | None = None) -> str:
     """Href or content of the first match of the first selector that has it; null if none."""
-    values = F.transform(
-        selectors, lambda s: trim_all(F.get(page["els"], F.get(within(hits(page, s), card), 0))[attr])
-    )
-    return _first(values)
+    one = lambda s: trimmed(f"{element(page, f'get({within(hits(page, s), card)}, 0)')}.{attr}")
+    return first_of(mapped(selectors, one))
 
 
-def joined_text(page: Column, selector: Column | str) -> Column:
+def joined_text(page: str, selector: str) -> str:
     """Texts of all matches one after the other, trimmed."""
-    return trim_all(F.array_join(F.transform(hits(page, selector), lambda i: text_of(page, i)), ""))
+    return trimmed(f"array_join({mapped(hits(page, selector), lambda i: text_of(page, i))}, '')")
 
 
-def longest_text(page: Column, start: Column, containers: Column) -> Column:
+def longest_text(page: str, start: str, containers: str) -> str:
     """The longest of `start` and the container texts, the first one on ties."""
-    return F.aggregate(
-        F.transform(containers, lambda s: joined_text(page, s)),
-        start,
-        lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best),
-    )
+    texts = mapped(containers, lambda s: joined_text(page, s))
+    return f"aggregate({texts}, {start}, (best, t) -> CASE WHEN length(t) > length(best) THEN t ELSE best END)"
 
 
-def text_without(page: Column, outer: str, removed: str) -> Column:
+def text_without(page: str, outer: str, removed: str) -> str:
     """Text of the first `outer` element without that of the removed elements, trimmed."""
 
-    def cut(b: Column) -> Column:
-        runs = F.filter(
-            page["runs"],
-            lambda r: (r["owner"] >= b["outer"]["idx"])
-            & (r["owner"] <= b["outer"]["last"])
-            & ~F.exists(b["gone"], lambda g: (r["owner"] >= g["idx"]) & (r["owner"] <= g["last"])),
-        )
-        return F.array_join(F.transform(runs, lambda r: _span(page, r)), "")
+    def cut(b: str) -> str:
+        inside = lambda r, e: f"({r}.owner >= {e}.idx AND {r}.owner <= {e}.last)"
+        gone = lambda r: f"exists({b}.gone, {fn(lambda g: inside(r, g))})"
+        runs = kept(f"{page}.runs", lambda r: f"({inside(r, f'{b}.outer')} AND NOT {gone(r)})")
+        return f"array_join({mapped(runs, lambda r: _span(page, r))}, '')"
 
-    gone = F.transform(hits(page, removed), lambda i: F.get(page["els"], i))
-    whole = F.get(page["els"], F.get(hits(page, outer), 0))
-    return trim_all(let(F.struct(whole.alias("outer"), gone.alias("gone")), cut))
+    gone = mapped(hits(page, removed), lambda i: element(page, i))
+    whole = element(page, f"get({hits(page, outer)}, 0)")
+    return trimmed(bound(f"named_struct('outer', {whole}, 'gone', {gone})", cut))

@@ -8,6 +8,7 @@ spreads evenly, and only narrow key columns are shuffled for the decision.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,11 +39,29 @@ def known_urls(df: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
     return df.join(seen.select(url).distinct(), url, "left_semi")
 
 
+def new_pages(
+    pages: DataFrame,
+    known: DataFrame,
+    url: str = "url",
+    order: str = "page_id",
+    watch: Callable[[DataFrame], DataFrame] = lambda names: names,
+) -> DataFrame:
+    """W2/J3 before extraction: the first page of each url, of urls that are not known.
+
+    Decided on (url, order) alone, so pages that go are never parsed. `order` must be unique. `watch` may
+    observe all (url, order) on their way.
+    """
+    firsts = first_per_key(watch(pages.select(url, order)), url, order)
+    fresh = firsts.join(known.select(F.col("url").alias(url)), url, "left_anti").select(order)
+    return pages.join(fresh, order, "left_semi")
+
+
 def dedup_run(
     postings: DataFrame,
     stored_urls: DataFrame,
     order: str = "arrival",
     unicode: bool = False,
+    key: Column | None = None,
 ) -> DataFrame:
     """`status` and `reason` of every posting of a run.
 
@@ -50,25 +69,23 @@ def dedup_run(
     its url is not stored, and it is the first such survivor for its url. The first of a
     signature blocks the rest even when its own url was already stored.
     `reason` says whether a duplicate fell to its signature or its url.
-    `stored_urls` has a column `url`; `order` must be unique.
+    `stored_urls` has a column `url`; `order` must be unique; `key` is another identity than the signature.
     """
-    keyed = postings.withColumn("_signature", signature(F.col("title"), F.col("company"), unicode))
-    # First of each signature, then first of each url among those: both keep one partial row per
-    # key and task, so hot signatures and urls cost nothing extra.
-    heads = first_per_key(keyed.select("_signature", order), "_signature", order).select(order)
-    leaders = keyed.select(order, "url").join(heads, order, "left_semi")
-    firsts = first_per_key(leaders, "url", order)
-    saved = firsts.join(stored_urls.select("url"), "url", "left_anti").select(order)
+    identity = signature(F.col("title"), F.col("company"), unicode) if key is None else key
+    # First of each signature with its url, then first of each url among those: both keep one partial
+    # row per key and task, so hot signatures and urls cost nothing extra.
+    first = F.min(F.struct(order, "url")).alias("_first")
+    heads = postings.select(order, "url", identity.alias("_key")).groupBy("_key").agg(first).select("_first.*")
+    saved = first_per_key(heads, "url", order).join(stored_urls.select("url"), "url", "left_anti")
     marks = (
-        leaders.select(order, F.lit(1).alias("_mark"))
+        heads.select(order, F.lit(1).alias("_mark"))
         .unionByName(saved.select(order, F.lit(2).alias("_mark")))
         .groupBy(order)
         .agg(F.max("_mark").alias("_mark"))
     )
     reason = F.when(F.col("_mark").isNull(), "signature").when(F.col("_mark") == 1, "url")
     return (
-        keyed.drop("_signature")
-        .join(marks, order, "left")
+        postings.join(marks, order, "left")
         .withColumn("reason", reason)
         .withColumn("status", F.when(F.col("_mark") == 2, "saved").otherwise("duplicate"))
         .drop("_mark")

@@ -130,6 +130,11 @@ def with_source_skills(
     )
 
 
+def cleaned(name: str) -> Column:
+    """N1 on a text field, which one board's rows skip."""
+    return F.when(F.col("source") == "Bayt", F.col(name)).otherwise(clean_text(F.col(name)))
+
+
 def make_postings(
     raw: DataFrame,
     as_of: Column,
@@ -142,8 +147,7 @@ def make_postings(
     `raw` has the `schemas.RAW_POSTING` columns; `posted_at` defaults to `as_of`.
     """
     tagged = with_source_skills(raw, uniform, role_skills, aliases)
-    as_is = F.col("source") == "Bayt"  # this board's rows skip the text clean-up
-    cleaned = lambda name: F.when(as_is, F.col(name)).otherwise(clean_text(F.col(name)))
+    as_is = F.col("source") == "Bayt"
     kind = F.when(as_is, "full-time").otherwise(job_type(F.concat_ws(" ", "title", "description")))
     typed = tagged.withColumn("job_type", kind)
     shaped = typed.select(

@@ -23,7 +23,6 @@ from postmill.functions.text import (
     location_from_parts,
     location_strip_headcount,
     or_else,
-    trim_all,
 )
 from postmill.functions.urls import canonical_url
 from postmill.operators.common import compute_once, explode_once, filter_here
@@ -44,10 +43,10 @@ _FOOTER = "div.jobsearch-JobMetadataFooter, div[class*='metadata'], footer"
 _SKILLS_LABEL = "b:contains('Skills:')"
 _JOB_LINK = "a[href*='/viewjob?jk='], a[href*='/rc/clk?jk=']"
 _PLACE_LINK = "a[href*='/jobs/'][href*='-in-']"
+_HEADER_COMPANY = "[data-testid='inlineHeader-companyName']"
 _OWN = (
     "h1", "h2", "body", "a", _MAIN, _CHROME, _FOOTER, _SKILLS_LABEL, _JOB_LINK, _PLACE_LINK, "div.t-break",
-    ".card-content", "meta[property='og:title']", "div[class*='location']",
-    "[data-testid='inlineHeader-companyName']",
+    ".card-content", "meta[property='og:title']", "div[class*='location']", _HEADER_COMPANY,
 )
 
 
@@ -92,8 +91,7 @@ def with_page(pages: DataFrame, tables: Tables = SELECTORS) -> DataFrame:
     return pages.withColumn("page", H.page_udf({n: _keys(t) for n, t in tables.items()})(F.col("html"), F.col("source")))
 
 
-def _texts(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+PAGE = "page"
 
 
 def _per_source(values: Mapping[str, Column], default: Column) -> Column:
@@ -103,38 +101,38 @@ def _per_source(values: Mapping[str, Column], default: Column) -> Column:
     return out
 
 
-def _selectors(tables: Tables, field: str, also: Mapping[str, Sequence[str]] | None = None) -> Column:
+def _selectors(tables: Tables, field: str, also: Mapping[str, Sequence[str]] | None = None) -> str:
     """The selectors each board uses for a field, looked up by `source`."""
-    lists = {n: [*t.get(field, ()), *(also or {}).get(n, ())] for n, t in tables.items()}
-    return _by_source(lists)
+    return _by_source({n: [*t.get(field, ()), *(also or {}).get(n, ())] for n, t in tables.items()})
 
 
-def _by_source(lists: Mapping[str, Sequence[str]]) -> Column:
+def _by_source(lists: Mapping[str, Sequence[str]]) -> str:
     # One literal, folded once, instead of a branch per board.
-    table = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "map<string,array<string>>")
-    return F.coalesce(F.try_element_at(table, F.col("source")), _texts(()))
+    table = f"from_json({H.lit(json.dumps(lists, ensure_ascii=False))}, 'map<string,array<string>>')"
+    return f"coalesce(try_element_at({table}, source), {H.lits(())})"
 
 
-def company_from_links(page: Column, pattern: str, min_len: int = 1, refuse: Sequence[str] = ()) -> Column:
+def company_from_links(pattern: str, min_len: int = 1, refuse: Sequence[str] = ()) -> Column:
     """X11: text of the first link to a company page; null when there is none."""
-    links = F.filter(page["els"], lambda e: (e["tag"] == "a") & F.coalesce(e["href"].rlike(pattern), F.lit(False)))
-    named = F.transform(links, lambda a: trim_all(H.text_of(page, a["idx"])))
-    good = lambda t: F.length(t).between(min_len, 99) & ~t.isin("", *refuse) & ~F.contains(t, F.lit("{"))
-    return F.get(F.filter(named, good), 0)
+    links = H.kept(f"{PAGE}.els", lambda e: f"({e}.tag = 'a' AND coalesce({e}.href RLIKE {H.lit(pattern)}, false))")
+    named = H.mapped(links, lambda a: H.trimmed(H.text_of(PAGE, f"{a}.idx")))
+    refused = H.lits(["", *refuse])
+    good = lambda t: f"(length({t}) BETWEEN {min_len} AND 99 AND NOT array_contains({refused}, {t}) AND NOT contains({t}, '{{'))"
+    return F.expr(f"get({H.kept(named, good)}, 0)")
 
 
-def skill_tags(page: Column, table: Mapping[str, Sequence[str]]) -> Column:
+def skill_tags(table: Mapping[str, Sequence[str]]) -> str:
     """Texts of tag elements and of short items in skill sections, as written."""
 
-    def short(selectors: Sequence[str], low: int) -> Column:
-        found = F.flatten(F.transform(_texts(selectors), lambda s: H.hits(page, s)))
-        return F.filter(H.texts_of(page, found), lambda t: F.length(t).between(low, 29))
+    def short(selectors: Sequence[str], low: int) -> str:
+        found = f"flatten({H.mapped(H.lits(selectors), lambda s: H.hits(PAGE, s))})"
+        return H.kept(H.texts_of(PAGE, found), lambda t: f"length({t}) BETWEEN {low} AND 29")
 
     items = [_section_items(s) for s in table["skillSections"]]
-    return F.concat(short(table["detailSkills"], 1), short(items, 3))
+    return f"concat({short(table['detailSkills'], 1)}, {short(items, 3)})"
 
 
-def date_text_from_page(page: Column) -> Column:
+def date_text_from_page() -> str:
     """The first relative date the page's text names, posting lines before others."""
     unit = rf"[0-9]+\+?{SPACE}*(?:day|hour|week)s?{SPACE}*ago"
     patterns = [
@@ -143,8 +141,9 @@ def date_text_from_page(page: Column) -> Column:
         rf"(?i){unit}",
         r"(?i)today|just posted",
     ]
-    found = [F.regexp_extract(page["text"], p, 0) for p in patterns]
-    return or_else(*found, F.regexp_extract(H.joined_text(page, _FOOTER), rf"(?i){unit}|today|just posted", 0))
+    found = lambda text, p: f"regexp_extract({text}, {H.lit(p)}, 0)"
+    footer = found(H.joined_text(PAGE, H.lit(_FOOTER)), rf"(?i){unit}|today|just posted")
+    return H.either(*[found(f"{PAGE}.text", p) for p in patterns], footer)
 
 
 def _noise(title: Column) -> Column:
@@ -152,22 +151,18 @@ def _noise(title: Column) -> Column:
 
 
 def _with_title(df: DataFrame, tables: Tables) -> DataFrame:
-    page, source = F.col("page"), F.col("source")
     more = {
         "Wuzzuf": ["h1"],
         "Glassdoor": tables.get("Glassdoor", {}).get("otherTitle", ()),
     }
-    meta = F.coalesce(H.first_attr(page, _texts(["meta[property='og:title']"]), "content"), F.lit(""))
-    bayt = F.array(H.first_text(page, _texts(["h1"])), H.first_text(page, _selectors(tables, "titleText")))
-    title = (
-        F.when(
-            source == "Indeed",
-            or_else(H.first_own_text(page, _selectors(tables, "detailTitle")), H.first_text(page, _texts(["h1"]))),
-        )
-        .when(source == "Bayt", F.coalesce(F.get(F.filter(bayt, lambda t: ~_noise(t)), 0), meta))
-        .otherwise(H.first_text(page, _selectors(tables, "detailTitle", more)))
-    )
-    return df.withColumn("title", title)
+    h1 = H.first_text(PAGE, H.lits(["h1"]))
+    own = H.either(H.first_own_text(PAGE, _selectors(tables, "detailTitle")), h1)
+    meta = H.first_attr(PAGE, H.lits(["meta[property='og:title']"]), "content")
+    noise = lambda t: f"NOT ({t} = '' OR contains({t}, 'Get contacted'))"
+    bayt = H.kept(f"array({h1}, {H.first_text(PAGE, _selectors(tables, 'titleText'))})", noise)
+    title = f"""CASE source WHEN 'Indeed' THEN {own} WHEN 'Bayt' THEN coalesce(get({bayt}, 0), {meta}, '')
+      ELSE {H.first_text(PAGE, _selectors(tables, "detailTitle", more))} END"""
+    return df.withColumn("title", F.expr(title))
 
 
 def _titled(row: Column) -> Column:
@@ -178,18 +173,16 @@ def _titled(row: Column) -> Column:
 
 
 def _with_company(df: DataFrame, tables: Tables) -> DataFrame:
-    page, source = F.col("page"), F.col("source")
-    listed = F.when(source == "Indeed", H.first_own_text(page, _selectors(tables, "detailCompany"))).when(
-        source == "Bayt", H.first_text(page, _selectors(tables, "companyText"))
-    ).otherwise(H.first_text(page, _selectors(tables, "detailCompany")))
-    linked = F.when(source == "Indeed", company_from_links(page, "/cmp/")).when(
-        source == "Bayt",
-        company_from_links(page, r"/company/.+-[0-9]+/$", 3, ("Companies", "See company details")),
-    )
-    tested = F.when(
-        source == "Indeed",
-        trim_all(H.own_text_of(page, F.get(H.hits(page, "[data-testid='inlineHeader-companyName']"), 0))),
+    source = F.col("source")
+    listed = f"""CASE source WHEN 'Indeed' THEN {H.first_own_text(PAGE, _selectors(tables, "detailCompany"))}
+      WHEN 'Bayt' THEN {H.first_text(PAGE, _selectors(tables, "companyText"))}
+      ELSE {H.first_text(PAGE, _selectors(tables, "detailCompany"))} END"""
+    listed = F.expr(listed)
+    linked = F.when(source == "Indeed", company_from_links("/cmp/")).when(
+        source == "Bayt", company_from_links(r"/company/.+-[0-9]+/$", 3, ("Companies", "See company details"))
     )
+    header = f"get({H.hits(PAGE, H.lit(_HEADER_COMPANY))}, 0)"
+    tested = F.expr(f"CASE WHEN source = 'Indeed' THEN {H.trimmed(H.own_text_of(PAGE, header))} END")
     found = df.withColumns({"_listed": listed, "_linked": linked, "_tested": tested})
     name = F.col("_listed")
     indeed = or_else(name, F.col("_linked"), F.col("_tested"))
@@ -210,23 +203,14 @@ def _with_company(df: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _with_location(df: DataFrame, tables: Tables) -> DataFrame:
-    page, source = F.col("page"), F.col("source")
-    found = (
-        F.when(
-            source == "Indeed",
-            or_else(
-                H.first_own_text(page, _selectors(tables, "detailLocation")),
-                H.first_text(page, _texts(["div[class*='location']"])),
-            ),
-        )
-        .when(
-            source == "Bayt",
-            location_from_parts(
-                H.all_texts(page, _selectors(tables, "location")), H.texts_of(page, H.hits(page, _PLACE_LINK))
-            ),
-        )
-        .otherwise(H.first_text(page, _selectors(tables, "detailLocation")))
+    source = F.col("source")
+    own = H.either(
+        H.first_own_text(PAGE, _selectors(tables, "detailLocation")), H.first_text(PAGE, H.lits(["div[class*='location']"]))
     )
+    parts = F.expr(H.all_texts(PAGE, _selectors(tables, "location")))
+    links = F.expr(H.texts_of(PAGE, H.hits(PAGE, H.lit(_PLACE_LINK))))
+    listed = f"CASE WHEN source = 'Indeed' THEN {own} ELSE {H.first_text(PAGE, _selectors(tables, 'detailLocation'))} END"
+    found = F.when(source == "Bayt", location_from_parts(parts, links)).otherwise(F.expr(listed))
     name = F.col("_found")
     location = (
         F.when(source == "Wuzzuf", location_strip_headcount(or_else(name, F.lit("Egypt"))))
@@ -242,40 +226,29 @@ _FLOORS = {"Wuzzuf": 100, "Bayt": 100, "Indeed": 200, "Glassdoor": 200}
 
 
 def _with_description(df: DataFrame, tables: Tables) -> DataFrame:
-    page, source, text = F.col("page"), F.col("source"), F.col("_text")
+    source, text = F.col("source"), F.col("_text")
     short = F.length(text) < _per_source({n: F.lit(v) for n, v in _FLOORS.items()}, F.lit(0))
     preferred = _selectors(tables, "detailDescription")
-    long_enough = F.get(
-        F.filter(F.transform(preferred, lambda s: H.joined_text(page, s)), lambda t: F.length(t) > 200), 0
-    )
+    long_enough = f"get({H.kept(H.mapped(preferred, lambda s: H.joined_text(PAGE, s)), lambda t: f'length({t}) > 200')}, 0)"
     # Bayt: the block right after the heading that announces the description.
-    heads = F.filter(
-        F.transform(H.hits(page, "h2"), lambda i: F.get(page["els"], i)),
-        lambda h: F.lower(H.text_of(page, h["idx"])).rlike("job description|responsibilities"),
-    )
-    announced = F.filter(
-        H.hits(page, "div.t-break"),
-        lambda i: F.exists(
-            heads, lambda h: (i == h["last"] + 1) & (F.get(page["els"], i)["parent"] == h["parent"])
-        ),
-    )
-    start = (
-        F.when(source.isin("Indeed", "Glassdoor"), F.coalesce(long_enough, F.lit("")))
-        .when(source == "Bayt", F.coalesce(trim_all(H.text_of(page, F.get(announced, 0))), F.lit("")))
-        .otherwise(H.first_text(page, preferred))
-    )
-    broken = H.first_text(page, _texts(["div.t-break"]))
-    second = F.when(
-        short,
-        F.when(source == "Bayt", or_else(broken, text)).otherwise(
-            H.longest_text(page, text, _selectors(tables, "containers"))
-        ),
-    ).otherwise(text)
-    card = H.joined_text(page, ".card-content")
+    headings = H.mapped(H.hits(PAGE, "'h2'"), lambda i: H.element(PAGE, i))
+    heads = H.kept(headings, lambda h: f"lower({H.text_of(PAGE, f'{h}.idx')}) RLIKE 'job description|responsibilities'")
+    after = lambda i, h: f"({i} = {h}.last + 1 AND {H.element(PAGE, i)}.parent = {h}.parent)"
+    announced = H.kept(H.hits(PAGE, "'div.t-break'"), lambda i: f"exists({heads}, {H.fn(lambda h: after(i, h))})")
+    start = f"""CASE WHEN source IN ('Indeed', 'Glassdoor') THEN coalesce({long_enough}, '')
+      WHEN source = 'Bayt' THEN coalesce({H.trimmed(H.text_of(PAGE, f"get({announced}, 0)"))}, '')
+      ELSE {H.first_text(PAGE, preferred)} END"""
+    start = F.expr(start)
+    broken = H.first_text(PAGE, H.lits(["div.t-break"]))
+    longest = H.longest_text(PAGE, "_text", _selectors(tables, "containers"))
+    other = f"CASE WHEN source = 'Bayt' THEN {H.either(broken, '_text')} ELSE {longest} END"
+    second = F.when(short, F.expr(other)).otherwise(text)
+    card = F.expr(H.joined_text(PAGE, "'.card-content'"))
+    page_text = H.either(H.joined_text(PAGE, H.lit(_MAIN)), H.joined_text(PAGE, "'body'"))
     third = F.when(
         short,
-        F.when(source == "Wuzzuf", or_else(H.joined_text(page, _MAIN), H.joined_text(page, "body")))
-        .when(source == "Glassdoor", H.text_without(page, "body", _CHROME))
+        F.when(source == "Wuzzuf", F.expr(page_text))
+        .when(source == "Glassdoor", F.expr(H.text_without(PAGE, "'body'", H.lit(_CHROME))))
         .when((source == "Bayt") & (F.length(card) > 200), description_cut(card, True))
         .otherwise(text),
     ).otherwise(text)
@@ -300,25 +273,22 @@ def _with_description(df: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _with_rest(df: DataFrame, tables: Tables) -> DataFrame:
-    page, source = F.col("page"), F.col("source")
-    guesses = F.filter(
-        F.transform(_selectors(tables, "otherDate"), lambda s: H.first_text(page, F.array(s))),
-        lambda t: _has(t, ["ago", "Posted"]),
-    )
-    date_text = F.when(source == "Indeed", date_text_from_page(page)).when(source == "Bayt", "").otherwise(
-        or_else(H.first_text(page, _selectors(tables, "detailDate")), F.get(guesses, 0))
-    )
-    salary = (
-        F.when(source == "Indeed", H.first_own_text(page, _selectors(tables, "detailSalary")))
-        .when(source == "Bayt", H.first_text(page, _selectors(tables, "salary")))
-        .otherwise(H.first_text(page, _selectors(tables, "detailSalary")))
+    guesses = H.kept(
+        H.mapped(_selectors(tables, "otherDate"), lambda s: H.first_text(PAGE, f"array({s})")),
+        lambda t: f"(contains({t}, 'ago') OR contains({t}, 'Posted'))",
     )
-    tags = F.when(source == "Wuzzuf", skill_tags(page, tables["Wuzzuf"])) if "Wuzzuf" in tables else F.lit(None)
+    listed = H.either(H.first_text(PAGE, _selectors(tables, "detailDate")), f"get({guesses}, 0)")
+    date_text = F.expr(f"CASE source WHEN 'Indeed' THEN {date_text_from_page()} WHEN 'Bayt' THEN '' ELSE {listed} END")
+    salary = f"""CASE source WHEN 'Indeed' THEN {H.first_own_text(PAGE, _selectors(tables, "detailSalary"))}
+      WHEN 'Bayt' THEN {H.first_text(PAGE, _selectors(tables, "salary"))}
+      ELSE {H.first_text(PAGE, _selectors(tables, "detailSalary"))} END"""
+    salary = F.expr(salary)
+    tags = f"CASE WHEN source = 'Wuzzuf' THEN {skill_tags(tables['Wuzzuf'])} END" if "Wuzzuf" in tables else "NULL"
     return df.withColumns(
         {
             "date_text": date_text,
             "salary": salary,
-            "page_tags": F.coalesce(tags, _texts(())),
+            "page_tags": F.expr(f"coalesce({tags}, {H.lits(())})"),
         }
     ).withColumn("salary", F.when(F.col("salary").rlike("[0-9]"), F.col("salary")))
 
@@ -357,13 +327,13 @@ def listing_to_links(pages: DataFrame, as_of: Column, tables: Tables = SELECTORS
     Links whose listing date is already too old for their board are dropped here, before
     any detail page is read.
     """
-    page, source = F.col("page"), F.col("source")
+    source = F.col("source")
     groups = {
         n: [", ".join(t["jobCard"])] if "jobCard" in t else list(t.get("jobCards", ())) for n, t in tables.items()
     }
     # The first selector that matches anything; boards with a union of selectors have one group.
-    lists = F.transform(_by_source(groups), lambda s: H.hits(page, s))
-    cards = F.get(F.filter(lists, lambda a: F.size(a) > 0), 0)
+    lists = H.mapped(_by_source(groups), lambda s: H.hits(PAGE, s))
+    cards = f"get({H.kept(lists, lambda a: f'size({a}) > 0')}, 0)"
     urls = {n: list(t["url"]) for n, t in tables.items()}
     for name in ("LinkedIn", "Wuzzuf"):
         if name in urls:
@@ -375,22 +345,20 @@ def listing_to_links(pages: DataFrame, as_of: Column, tables: Tables = SELECTORS
         "page_id",
         "source",
         "page",
-        _by_source(urls).alias("_urls"),
-        _by_source({n: tables[n][f] for n, f in dates.items() if n in tables}).alias("_dates"),
-        cards.alias("_cards"),
+        F.expr(_by_source(urls)).alias("_urls"),
+        F.expr(_by_source({n: tables[n][f] for n, f in dates.items() if n in tables})).alias("_dates"),
+        F.expr(cards).alias("_cards"),
     )
 
-    def link(i: Column) -> Column:
-        card = F.get(page["els"], i)
-        found = F.transform(F.col("_dates"), lambda s: H.first_text(page, F.array(s), card))
-        named = F.filter(found, lambda t: F.when(source == "Wuzzuf", _has(t, ["ago", "منذ"])).otherwise(t != ""))
-        return F.struct(
-            H.first_attr(page, F.col("_urls"), "href", card).alias("link"),
-            F.coalesce(F.get(named, 0), F.lit("")).alias("date_text"),
-        )
+    def link(card: str) -> str:
+        found = H.mapped("_dates", lambda s: H.first_text(PAGE, f"array({s})", card))
+        told = lambda t: f"CASE WHEN source = 'Wuzzuf' THEN contains({t}, 'ago') OR contains({t}, 'منذ') ELSE {t} <> '' END"
+        date = f"coalesce(get({H.kept(found, told)}, 0), '')"
+        return f"named_struct('link', {H.first_attr(PAGE, '_urls', 'href', card)}, 'date_text', {date})"
 
+    links = F.expr(H.mapped("_cards", lambda i: H.bound(H.element(PAGE, i), link)))
     rows = (
-        explode_once(ready, ["page_id", "source"], F.transform("_cards", link), "card")
+        explode_once(ready, ["page_id", "source"], links, "card")
         .filter(F.col("card.link").isNotNull())
         .select("page_id", "source", canonical_url(F.col("card.link"), source).alias("url"), "card.date_text")
     )
@@ -408,29 +376,27 @@ def listing_to_links(pages: DataFrame, as_of: Column, tables: Tables = SELECTORS
 
 def listing_to_postings(pages: DataFrame, as_of: Column, tables: Tables = SELECTORS) -> DataFrame:
     """Whole raw postings from the cards of the board that prints them in its listing (Glassdoor)."""
-    table = tables["Glassdoor"]
-    page, source = F.col("page"), F.lit("Glassdoor")
-
-    def one(i: Column) -> Column:
-        card = F.get(page["els"], i)
-        text = lambda field: H.first_text(page, _texts(table[field]), card)
-        label = F.get(page["els"], F.get(H.within(H.hits(page, _SKILLS_LABEL), card), 0))
-        skills = trim_all(F.regexp_replace(H.text_of(page, label["parent"]), "^(?s)(.*?)Skills:", "$1"))
-        return F.struct(
-            H.first_attr(page, _texts([*table["url"], "a"]), "href", card).alias("link"),
-            or_else(text("cardTitle"), F.lit("Unknown Title")).alias("title"),
-            or_else(text("cardCompany"), F.lit("Unknown Company")).alias("company"),
-            or_else(text("cardLocation"), F.lit("Not Specified")).alias("location"),
-            text("cardSalary").alias("salary"),
-            text("cardSnippet").alias("snippet"),
-            F.coalesce(skills, F.lit("")).alias("skills_line"),
-            text("cardAge").alias("date_text"),
-        )
+    table, source = tables["Glassdoor"], F.lit("Glassdoor")
+
+    def one(card: str) -> str:
+        text = lambda field: H.first_text(PAGE, H.lits(table[field]), card)
+        label = H.element(PAGE, f"get({H.within(H.hits(PAGE, H.lit(_SKILLS_LABEL)), card)}, 0)")
+        line = f"regexp_replace({H.text_of(PAGE, f'{label}.parent')}, {H.lit('^(?s)(.*?)Skills:')}, '$1')"
+        fields = {
+            "link": H.first_attr(PAGE, H.lits([*table["url"], "a"]), "href", card),
+            "title": H.either(text("cardTitle"), "'Unknown Title'"),
+            "company": H.either(text("cardCompany"), "'Unknown Company'"),
+            "location": H.either(text("cardLocation"), "'Not Specified'"),
+            "salary": text("cardSalary"),
+            "snippet": text("cardSnippet"),
+            "skills_line": f"coalesce({H.trimmed(line)}, '')",
+            "date_text": text("cardAge"),
+        }
+        return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
     listings = pages.withColumn("source", source)
-    rows = with_page(drop_blocked(listings), {"Glassdoor": table}).select(
-        "page_id", F.posexplode(F.transform(H.hits(page, ", ".join(table["jobCard"])), one)).alias("pos", "c")
-    )
+    found = F.expr(H.mapped(H.hits(PAGE, H.lit(", ".join(table["jobCard"]))), lambda i: H.bound(H.element(PAGE, i), one)))
+    rows = with_page(drop_blocked(listings), {"Glassdoor": table}).select("page_id", F.posexplode(found).alias("pos", "c"))
     required = F.when(
         F.col("c.skills_line") != "", F.concat(F.lit("\n\nRequired Skills: "), F.col("c.skills_line"))
     ).otherwise("")

@@ -157,6 +157,28 @@ def in_window(df: DataFrame, since: Column | datetime, until: Column | datetime,
     return df.filter((at >= since) & (at < until))
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, column: str = "created_at", since: str = "since", until: str = "until") -> DataFrame:
+    """P5/F6 for a table of windows: every pair of a row and a window [since, until) that holds it.
+
+    An interval join on time buckets: a window is dealt to the buckets, of the power of two next to its
+    own length, that it touches - two at most, however long it is. A row looks into one bucket per length in
+    use (a timestamp has no more than 63), so all joining is by equality. Both sides' columns are kept; windows
+    that are empty or lack a bound hold nothing. Where one bucket holds much of the rows, adaptive execution
+    splits it: the pair of length and bucket is an ordinary join key.
+    """
+    start, end, at = (F.unix_micros(c) for c in (since, until, column))
+    bits = F.ceil(F.log2((end - start).cast("double"))).cast("int")
+    sized = windows.filter(F.col(since) < F.col(until)).withColumn("_bits", bits)
+    bucket = lambda micros, n: F.call_function("shiftright", micros, n)
+    cells = F.sequence(bucket(start, F.col("_bits")), bucket(end - 1, F.col("_bits")))
+    dealt = sized.withColumn("_cell", F.explode(cells))
+    lengths = [r["_bits"] for r in sized.select("_bits").distinct().collect()]
+    keyed = rows.withColumn("_bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    keyed = keyed.withColumn("_cell", bucket(at, F.col("_bits")))
+    inside = (F.col(column) >= F.col(since)) & (F.col(column) < F.col(until))
+    return keyed.join(dealt, ["_bits", "_cell"]).filter(inside).drop("_bits", "_cell")
+
+
 def recent_window(until: datetime, minutes: float = 60) -> tuple[datetime, datetime]:
     """P5: the window of the last minutes."""
     if not 0 < minutes < float("inf"):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators.common import explode_once
@@ -67,3 +69,41 @@ def run_totals(df: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "saved").alias("saved"),
         F.count_if(F.col("status") == "duplicate").alias("duplicates"),
     )
+
+
+COUNTERS = ("fetched", "saved", "duplicates", "rejected")
+
+
+class RunMetrics:
+    """The counters of a run, observed while its rows are written, without a job of their own.
+
+    `watch` goes around a `dedup_run` result that one action then consumes; the counters are there when
+    that action ends. `refused` says why the store does not take a row (null: it does). Boards that are
+    not named count in the totals alone.
+    """
+
+    def __init__(self, boards: Iterable[str]):
+        self.boards = tuple(boards)
+        self.observation = Observation()
+
+    def watch(self, judged: DataFrame, refused: Column | None = None) -> DataFrame:
+        saved = F.col("status") == "saved"
+        bad = saved & (F.lit(False) if refused is None else refused.isNotNull())
+        kinds = dict(zip(COUNTERS, (F.lit(True), saved & ~bad, F.col("status") == "duplicate", bad), strict=True))
+        counts = [F.count_if(test).alias(name) for name, test in kinds.items()]
+        for k, board in enumerate(self.boards):
+            here = F.col("source") == board
+            counts += [F.count_if(here & test).alias(f"{name}_{k}") for name, test in kinds.items()]
+        return judged.observe(self.observation, *counts)
+
+    def totals(self) -> dict[str, int]:
+        return {name: self.observation.get[name] for name in COUNTERS}
+
+    def by_source(self, spark: SparkSession, failed: Iterable[str] = ()) -> DataFrame:
+        """As `run_counters`, with the rejected rows; silent boards are there with zeros."""
+        seen = self.observation.get
+        rows = [(b, *[seen[f"{name}_{k}"] for name in COUNTERS], b in set(failed)) for k, b in enumerate(self.boards)]
+        columns = ", ".join(f"{name} long" for name in COUNTERS)
+        counted = spark.createDataFrame(rows, f"source string, {columns}, _failed boolean")
+        success = run_success(F.col("source"), F.col("fetched"), F.col("_failed"))
+        return counted.withColumn("success", success).drop("_failed")

@@ -18,16 +18,18 @@ from postmill.functions import skills as K
 from postmill.functions import text as N
 from postmill.functions import vocabulary as V
 from postmill.functions.jobtype import clean_location, job_type, job_type_from_store, job_type_to_store
-from postmill.functions.selectors import SELECTORS
 from postmill.functions.urls import BASE_URLS, canonical_url, posting_id
-from postmill.operators import dedup, enrich, frontier, pages, search, stats
+from postmill.operators import dedup, enrich, frontier, matching, pages, search, stats
+from postmill.operators import dictionary as D2
 from postmill.operators import usability as U
 from postmill.operators.common import compute_once, explode_once
+from postmill.plans import board_pages as B
 from postmill.plans import pipeline
 from postmill.plans import posting_view as P
 from postmill.sources import postings as flat
 from postmill.sources import store as S
 from postmill.sources.dictionaries import alias_table, role_skills_table
+from postmill.sources.pages import read_pages, stream_pages
 from postmill.sources.tables import read_table
 from postmill.streaming import ingest
 
@@ -276,6 +278,59 @@ def alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return named.groupBy("posting_no", "word", "canonical").agg(F.count("*").alias("n"))
 
 
+def _big_dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A role dictionary with hundreds of roles besides the known ones, and aliases for half of its skills."""
+    part = read_table(spark, f"{sf}/part.parquet")
+    number = (F.col("p_partkey") % 400).cast("int")
+    known = F.array(*[F.lit(r.name) for r in V.ROLES])
+    skill = F.concat_ws("-", "p_brand", (F.col("p_size") % 7).cast("string"))
+    rows = part.select(
+        F.coalesce(F.get(known, number), F.concat(F.lit("role "), number.cast("string"))).alias("role"),
+        (F.col("p_size") % 3).alias("level_rank"), F.col("p_partkey").alias("pos"), skill.alias("skill"),
+    )
+    named = part.filter("p_size % 2 = 0").groupBy(F.lower(skill).alias("alias")).agg(F.min("p_type").alias("canonical"))
+    return rows, named.unionByName(alias_table(spark))
+
+
+@query
+def enhanced_by_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """K7 with dictionaries that are tables."""
+    tagged = P.tagged_postings(spark, sf).select("posting_no", "title", F.col("skills").alias("extracted"))
+    e = F.col("enhanced")
+    return D2.enhance_by_tables(tagged, *_big_dictionary(spark, sf), key="posting_no").select(
+        "posting_no", _joined(e["roles"]).alias("roles"), e["seniority"].alias("seniority"),
+        _joined(e["extracted"]).alias("extracted"), _joined(e["implied"]).alias("implied"), _joined(e["final"]).alias("final"),
+    )
+
+
+@query
+def skills_by_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 with the built-in phrases and the places as one dictionary table."""
+    nations = read_table(spark, f"{sf}/nation.parquet").select(
+        F.concat(F.lit("Place "), "n_name").alias("skill"), (F.col("n_nationkey") + 1000).cast("int").alias("rank"), F.lower("n_name").alias("phrase")
+    )
+    text = F.concat_ws("\n", "title", "location", "description").alias("text")
+    view = P.raw_postings(spark, sf).select("posting_no", text)
+    found = D2.tag_by_phrases(view, D2.phrase_table(spark).unionByName(nations), "posting_no")
+    return found.select("posting_no", _joined("skills").alias("skills"))
+
+
+SEEKER_SKILLS = ("React", "SQL", "AWS", "Docker", "Node.js", "Java", "C++", "Kubernetes", "REST API", "GraphQL", "Machine Learning", "TypeScript", "Big Data")
+
+
+@query
+def match_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as seekers of the postings; rarer trades weigh more."""
+    n, c = len(SEEKER_SKILLS), F.col("c_custkey")
+    names = F.array(*map(F.lit, SEEKER_SKILLS))
+    has = F.transform(F.sequence(F.lit(0), (c % 6 + 2).cast("int")), lambda i: F.get(names, ((c * 5 + i * (c % 3 + 1)) % n).cast("int")))
+    seekers = read_table(spark, f"{sf}/customer.parquet").select(c.alias("seeker"), has.alias("skills"))
+    weights = spark.createDataFrame([(name, 1 + i % 4) for i, name in enumerate(SEEKER_SKILLS)], "skill string, w int")
+    postings = P.tagged_postings(spark, sf).select("posting_no", "skills")
+    found = matching.match_topk(postings, seekers, k=5, min_score=60, weights=weights, split_rows=200)
+    return found.withColumn("score", F.col("score").cast("string"))
+
+
 # --- deduplication --------------------------------------------------------------------------
 
 
@@ -297,8 +352,24 @@ def dedup_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
-    boards = spark.createDataFrame([(name,) for name in P.SOURCES], "source string")
-    return stats.run_counters(_judged(spark, sf), boards)
+    """A board that found nothing and one whose fetching failed are among the run's boards."""
+    boards = spark.createDataFrame([(name,) for name in (*P.SOURCES, "Silent")], "source string")
+    failed = spark.createDataFrame([("Bayt",)], "source string")
+    found = _judged(spark, sf).filter(F.col("source") != "Glassdoor")
+    return stats.run_counters(found, boards, failed)
+
+
+@query
+def observed_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counters and the refused rows, observed while the run is written; one board's fetching failed,
+    another one found nothing."""
+    raw = P.tagged_postings(spark, sf).withColumn("url", F.when(F.col("posting_no") % 11 != 4, F.col("url")).otherwise(""))
+    some = raw.filter(F.col("source") != "Indeed")
+    metrics = stats.RunMetrics(P.SOURCES)
+    judged = metrics.watch(dedup.dedup_run(_arriving(some), _stored(some).filter("url <> ''").select("url")), S.refusal())
+    store = S.PostingStore(spark, f"{ingest.shared_folder(spark)}/star")
+    store.append(judged.filter(F.col("status") == "saved"), _run_time(1), "1")
+    return metrics.by_source(spark, failed=["LinkedIn"])
 
 
 @query
@@ -324,10 +395,10 @@ def _run_time(day: int) -> Column:
 
 def _star(spark: SparkSession, sf: str) -> S.Star:
     """The store on disk after two batches."""
-    store = S.SnapshotStore(spark, f"{ingest.shared_folder(spark)}/star")
+    store = S.PostingStore(spark, f"{ingest.shared_folder(spark)}/star")
     tagged = P.tagged_postings(spark, sf)
-    store.upsert(_stored(tagged), _run_time(1))
-    store.upsert(_arriving(tagged), _run_time(2))
+    store.append(_stored(tagged), _run_time(1), "1")
+    store.append(_arriving(tagged), _run_time(2), "2")
     return store.read()
 
 
@@ -502,6 +573,26 @@ def window_handoff(spark: SparkSession, sf: str) -> DataFrame:
     return search.in_window(events, F.lit(since), F.lit(until), column="ts").select("event_id", "event_type")
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Run windows of every length, many overlapping, some empty: one per part."""
+    part = read_table(spark, f"{sf}/part.parquet")
+    since = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("p_partkey") % 1000 * 3000)
+    minutes = F.when(F.col("p_partkey") % 50 == 0, 20_000).otherwise((F.col("p_size") - 5) * 7)
+    until = F.timestamp_seconds(F.unix_seconds(since) + minutes * 60)
+    return part.select(F.col("p_partkey").alias("run_id"), since.alias("since"), until.alias("until"))
+
+
+@query
+def windows_handoff(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of many runs hands over: the events inside its window."""
+    events = read_table(spark, f"{sf}/events.parquet").select("event_id", "event_type", "ts")
+    held = search.in_windows(events, _runs(spark, sf), column="ts")
+    return held.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
+        F.sum("event_id").alias("id_sum"), F.count_distinct("event_type").alias("types"),
+    )
+
+
 def _hourly(counts: DataFrame) -> DataFrame:
     return counts.select(_ts("window_start").alias("window_start"), "event_type", "n")
 
@@ -548,7 +639,7 @@ QUERIES["frontier"] = QUERIES.pop("frontier_linkedin")
 @query
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     flattened = pages.with_page(_pages_of_sources(spark, sf))
-    return flattened.select("page_id", H.first_text(F.col("page"), F.array(F.lit("h1"))).alias("title"))
+    return flattened.select("page_id", F.expr(H.first_text("page", H.lits(["h1"]))).alias("title"))
 
 
 @query
@@ -556,43 +647,71 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     links = F.filter("page.els", lambda e: e["href"].isNotNull())
     rows = pages.with_page(_pages_of_sources(spark, sf)).select("page_id", "page", F.explode(links).alias("a"))
     return rows.select(
-        "page_id", F.col("a.href").alias("href"), N.trim_all(H.text_of(F.col("page"), F.col("a.idx"))).alias("text")
+        "page_id", F.col("a.href").alias("href"), F.expr(H.trimmed(H.text_of("page", "a.idx"))).alias("text")
     )
 
 
-@query
-def page_longest_text(spark: SparkSession, sf: str) -> DataFrame:
-    containers = F.array(F.lit("main"), F.lit("article"), F.lit("body"))
-    longest = H.longest_text(F.col("page"), F.lit(""), containers)
-    return pages.with_page(_pages_of_sources(spark, sf)).select("page_id", longest.alias("text"))
-
-
 @query
 def blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
     blocked = pages.is_blocked(F.col("html"), F.col("source"))
     return _pages_of_sources(spark, sf).select("page_id", "source", blocked.alias("blocked"))
 
 
+def _crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """The detail pages of the posting view, stored as a crawl and read back."""
+    path = f"{ingest.shared_folder(spark)}/crawl"
+    B.detail_pages(spark, sf).select("page_id", "url", "html").write.parquet(path)
+    return _with_board(read_pages(spark, path))
+
+
+def _with_board(pages_: DataFrame) -> DataFrame:
+    boards = F.array(*map(F.lit, P.SOURCES))
+    return pages_.withColumn("source", F.get(boards, (F.col("page_id") % len(P.SOURCES)).cast("int")))
+
+
 @query
 def page_details(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.detail_fields(_pages_of_sources(spark, sf)).drop("page_tags")
+    found = pages.detail_fields(_crawl(spark, sf))
+    return found.withColumns({"page_tags": _joined("page_tags"), "description": F.md5("description")})
 
 
 @query
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw web pages, which hold no markup of a board: the rules' last answers."""
     found = pages.detail_fields(_pages_of_sources(spark, sf))
     return found.select("page_id", "source", "url", "title", "company", "location")
 
 
-# The test pages are articles: their navigation stands in for the cards of a listing.
-NAV_CARDS = {
-    name: {**table, "jobCard": ["nav li"], "jobCards": ["nav li"], "url": ["a"]} for name, table in SELECTORS.items()
-}
+@query
+def page_longest_text(spark: SparkSession, sf: str) -> DataFrame:
+    """X8 and the rules around it, on the elements that hold a description."""
+    flattened = pages.with_page(_crawl(spark, sf), {name: {"any": CONTAINERS} for name in P.SOURCES})
+    return flattened.select("page_id", F.md5(F.expr(H.longest_text("page", "''", H.lits(CONTAINERS)))).alias("text"))
+
+
+CONTAINERS = ["main", "article", "#job-details", "div[class*='job-']", "div.t-break"]
 
 
 @query
 def listing_links(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.listing_to_links(_pages_of_sources(spark, sf), P.as_of(), NAV_CARDS)
+    return pages.listing_to_links(_stored_listings(spark, sf), P.as_of())
+
+
+def _stored_listings(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{ingest.shared_folder(spark)}/listings"
+    B.listing_pages(spark, sf).select("page_id", "url", "html").write.parquet(path)
+    return _with_board(read_pages(spark, path))
+
+
+@query
+def listing_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Glassdoor's cards as whole postings."""
+    cards = _stored_listings(spark, sf).filter(F.col("source") == "Glassdoor")
+    found = pages.listing_to_postings(cards, P.as_of())
+    return found.select(
+        "arrival.page_id", "arrival.pos", "url", "title", "company", "location", "description", "salary", "skills_line",
+        _ts("posted_at").alias("posted_at"),
+    )
 
 
 @query
@@ -604,22 +723,41 @@ def listing_detail_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("posting_no", "url", F.md5("title").alias("title"), "from_detail")
 
 
-@query
-def pages_to_postings(spark: SparkSession, sf: str) -> DataFrame:
-    found = pipeline.pages_to_postings(_pages_of_sources(spark, sf), P.as_of())
+def _whole(found: DataFrame, *more: Column | str) -> DataFrame:
     return found.select(
-        "arrival", "posting_id", "title", "company", "location", "url", "salary", _joined("skills").alias("skills"),
-        "job_type", "source", _ts("posted_at").alias("posted_at"),
+        "posting_id", "title", "company", "location", F.md5("description").alias("description"), "url", "salary",
+        _joined("skills").alias("skills"), "job_type", "source", _ts("posted_at").alias("posted_at"), *more,
     )
 
 
+@query
+def pages_to_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(pipeline.pages_to_postings(_crawl(spark, sf), P.as_of()), "arrival")
+
+
+def _state(store: S.PostingStore) -> DataFrame:
+    """The store read back, every field."""
+    return _whole(S.assemble(store.read(), P.as_of()))
+
+
 @query
 def pages_to_store(spark: SparkSession, sf: str) -> DataFrame:
-    store = S.SnapshotStore(spark, f"{ingest.shared_folder(spark)}/star")
-    pipeline.run(_pages_of_sources(spark, sf), store, P.as_of())
-    return store.read().postings.select(
-        "posting_id", "url", "source", "title", F.col("company_name").alias("company"), _ts("posted_at").alias("posted_at")
+    """A batch of all pages into an empty store."""
+    store = S.PostingStore(spark, f"{ingest.shared_folder(spark)}/star")
+    pipeline.run(_crawl(spark, sf), store, P.as_of(), "all")
+    return _state(store)
+
+
+@query
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a url or a title are kept apart, with the reason."""
+    store = S.PostingStore(spark, f"{ingest.shared_folder(spark)}/star")
+    no = F.col("posting_no")
+    broken = P.tagged_postings(spark, sf).withColumns(
+        {"url": F.when(no % 10 != 3, F.col("url")), "title": F.when(no % 10 != 5, F.col("title")).otherwise("")}
     )
+    store.append(broken, _run_time(1), "1")
+    return store.rejected().select("arrival", "title", "company", "url", "reason", _joined("skills").alias("skills"))
 
 
 # --- usability metrics ----------------------------------------------------------------------
@@ -704,11 +842,17 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished postings as a stream; all columns of the store."""
     folder = ingest.shared_folder(spark)
     arrivals = _posting_stream(spark, sf, folder)
     ingest.stream_ingest(arrivals, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
-    saved = S.SnapshotStore(spark, f"{folder}/star").read().postings
-    return saved.select("posting_id", "url", "source", F.col("company_name").alias("company"))
+    state = S.PostingStore(spark, f"{folder}/star").read()
+    n_skills = state.links.groupBy("posting_id").agg(F.count("*").alias("n_skills"))
+    return state.postings.join(n_skills, "posting_id", "left").select(
+        "posting_id", "url", "source", "title", F.col("company_name").alias("company"), "location", "salary", "job_type",
+        F.md5("description").alias("description"), _ts("posted_at").alias("posted_at"),
+        F.coalesce("n_skills", F.lit(0)).alias("n_skills"),
+    )
 
 
 @query
@@ -716,27 +860,56 @@ def stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
     """A store filled by a batch, then by a stream of four micro-batches; the run whose window holds each row."""
     folder = ingest.shared_folder(spark)
     tagged = P.tagged_postings(spark, sf)
-    store = S.SnapshotStore(spark, f"{folder}/star")
-    store.upsert(_stored(tagged), _run_time(1))
+    store = S.PostingStore(spark, f"{folder}/star")
+    store.append(_stored(tagged), _run_time(1), "first")
     arrivals = _arriving(tagged).drop("feed", "posting_id", "posting_no")
     stream = spark.readStream.schema(arrivals.schema).parquet(f"{folder}/arrivals/part=*")
     for k in range(4):  # each slice arrives, and is drained, after the one before
         arrivals.filter(F.col("arrival") % 4 == k).write.parquet(f"{folder}/arrivals/part={k}")
         ingest.stream_ingest(stream, folder, f"{folder}/checkpoint").awaitTermination()
-    store.compact()
     state = store.read()
-    # A window ends a microsecond after the instant of its rows.
-    created = F.timestamp_micros(F.unix_micros("until") - 1).alias("created_at")
-    runs = ingest.read_runs(spark, folder).select(created, (F.col("run_id").cast("int") + 1).alias("run"), "since")
+    runs = ingest.read_runs(spark, folder).select("since", "until", (F.col("run_id").cast("int") + 1).alias("run"))
+    held = search.in_windows(state.postings.select("posting_id", "created_at"), runs).select("posting_id", "run")
     n_skills = state.links.groupBy("posting_id").agg(F.count("*").alias("n_skills"))
-    rows = state.postings.join(runs, "created_at", "left").join(n_skills, "posting_id", "left")
-    in_run = F.when(F.col("created_at") >= F.col("since"), F.col("run"))
+    rows = state.postings.join(held, "posting_id", "left").join(n_skills, "posting_id", "left")
     return rows.select(
-        "posting_id", "url", F.coalesce(in_run, F.lit(0)).alias("run"),
+        "posting_id", "url", F.coalesce("run", F.lit(0)).alias("run"),
         F.md5("description").alias("description"), F.coalesce("n_skills", F.lit(0)).alias("n_skills"),
     )
 
 
+PAGE_BATCHES = 3
+
+
+def _streamed_pages(spark: SparkSession, sf: str, folder: str) -> S.PostingStore:
+    """The crawl arriving as three micro-batches of files over a store that earlier feeds filled."""
+    crawl = B.detail_pages(spark, sf)
+    earlier, later = crawl.filter(F.col("feed") < "src05"), crawl.filter(F.col("feed") >= "src05")
+    store = S.PostingStore(spark, f"{folder}/star")
+    pipeline.run(earlier, store, P.as_of(), "earlier")
+    arriving = ingest.staged(later, f"{folder}/later")
+    for k in range(PAGE_BATCHES):
+        part = arriving.filter(F.col("page_id") % PAGE_BATCHES == k).select("page_id", "url", "html")
+        part.write.parquet(f"{folder}/pages/part={k}")
+        stream = _with_board(stream_pages(spark, f"{folder}/pages/part=*"))
+        pipeline.stream_pages_to_store(stream, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
+    return store
+
+
+@query
+def stream_pages_to_store(spark: SparkSession, sf: str) -> DataFrame:
+    return _state(_streamed_pages(spark, sf, ingest.shared_folder(spark)))
+
+
+@query
+def stream_page_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of those micro-batches: pages that came, pages that were extracted (those of new urls), rows."""
+    folder = ingest.shared_folder(spark)
+    _streamed_pages(spark, sf, folder)
+    runs = ingest.read_runs(spark, folder)
+    return runs.select("run_id", "pages", "extracted", "fetched", "saved", "duplicates", "rejected")
+
+
 @query
 def stream_hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = ingest.shared_folder(spark)

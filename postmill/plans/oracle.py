@@ -351,6 +351,87 @@ s_skills AS (SELECT md5(name) AS skill_id, name, min(created) AS created, max(to
 
 NEWEST = "ORDER BY posted_at DESC NULLS FIRST, posting_id"
 
+# What an extraction must find on the pages of `plans.board_pages`.
+_POSITION = "title || ' position at ' || company"
+_GLASSDOOR_PAGE = trim(
+    "title || CASE WHEN odd THEN '' ELSE c_name END || place || description || pay || CASE WHEN odd THEN 'Posted ' ELSE '' END || date_shown"
+)
+_WUZZUF_PAGE = trim(
+    "'Menu' || title || c_name || place || ' · 51-200 Employees' || description || 'posted ' || date_shown || pay || 'Team workExcelx' || feed"
+)
+_BAYT_TEXT = collapse("CASE WHEN odd THEN description || ' Easy Apply now' ELSE description END")
+_BAYT_CUT = f"trim(regexp_replace({_BAYT_TEXT}, '(?is)(?:Get contacted by recruiters|Easy Apply).*$', ''))"
+BOARD = f"""{VIEW},
+shown AS (SELECT *, (posting_no // 5) % 2 = 1 AS odd, {trim('description')} AS body, coalesce(salary, '') AS pay,
+  company AS c_name, location AS place, date_text AS date_shown FROM raw),
+named AS (SELECT * EXCLUDE (company, location, salary, date_text),
+  CASE WHEN odd AND source = 'Glassdoor' THEN 'Unknown Company' WHEN odd AND source = 'Wuzzuf' THEN 'Wuzzuf Company' ELSE c_name END AS company,
+  CASE WHEN source = 'LinkedIn' THEN c_name || ' ' || place WHEN odd AND source = 'Bayt' THEN 'Maadi, Cairo' ELSE place END AS location,
+  CASE WHEN source <> 'LinkedIn' AND regexp_matches(pay, '[0-9]') THEN pay END AS salary,
+  CASE source WHEN 'LinkedIn' THEN date_shown WHEN 'Bayt' THEN '' WHEN 'Wuzzuf' THEN 'posted ' || date_shown
+    WHEN 'Glassdoor' THEN CASE WHEN odd THEN 'Posted ' ELSE '' END || date_shown
+    ELSE CASE WHEN regexp_matches(date_shown, '^[0-9]+[+]? (day|hour|week)s? ago$') OR lower(date_shown) IN ('today', 'just posted')
+      THEN 'Posted ' || date_shown ELSE '' END END AS date_text,
+  CASE WHEN source = 'Wuzzuf' THEN [feed, 'Team work', 'Excel'] ELSE []::VARCHAR[] END AS page_tags
+  FROM shown),
+texts AS (SELECT * EXCLUDE (description), CASE source
+  WHEN 'LinkedIn' THEN body
+  WHEN 'Wuzzuf' THEN CASE WHEN odd OR length(body) >= 100 THEN body ELSE {_WUZZUF_PAGE} END
+  WHEN 'Indeed' THEN trim({collapse('body')})
+  WHEN 'Glassdoor' THEN CASE WHEN length(body) >= 200 THEN trim({collapse('body')}) ELSE trim({collapse(_GLASSDOOR_PAGE)}) END
+  ELSE {_BAYT_CUT} END AS found FROM named),
+fields AS (SELECT * EXCLUDE (found), posting_no AS page_id, CASE WHEN length(found) >= 50 OR source IN ('LinkedIn', 'Wuzzuf') THEN found
+  WHEN source = 'Bayt' THEN {_POSITION} || ' in ' || location || '. Join our team!'
+  ELSE {_POSITION} || '. Tech job opportunity.' END AS description FROM texts),
+dated AS (SELECT *, CASE WHEN source = 'Bayt' THEN {AS_OF} ELSE {by_source(lambda s: with_policy(s, parsed(s, 'date_text')))} END AS posted FROM fields),
+young AS (SELECT * FROM dated WHERE posted IS NOT NULL AND {fresh('posted')})"""
+
+
+def names_cleaned(name: str) -> str:
+    return f"CASE WHEN source = 'Bayt' THEN {name} ELSE {clean(name)} END"
+
+
+def made(rows: str) -> str:
+    """The postings of extracted rows, as CTEs that end in `made`; `rows` has the columns of `young`."""
+    low = "lower(title)"
+    return f"""
+mf AS (SELECT *, {fold('title')} AS ft, {fold('description')} AS fd, {fold('company')} AS fc, {fold('salary')} AS fs,
+  {roles(low)} AS roles, {seniority(low)} AS level, CASE WHEN source = 'Bayt' THEN 'full-time' ELSE {job_type("title || ' ' || description")} END AS kind FROM {rows}),
+mk AS (SELECT *, {skills('ft')} AS kt, {skills('fd')} AS kd, {skills('fc')} AS kc, {skills('fs')} AS ks FROM mf),
+me AS (SELECT *, list_concat({normalized(ordered_distinct('list_concat(list_concat(kt, kd), kc)'))}, {normalized(implied_raw('roles', 'level'))}) AS every FROM mk),
+ma AS (SELECT *, {ordered_distinct('every')} AS whole FROM me),
+made AS (SELECT *, lower(source) || '_' || md5(url || '-' || title) AS made_id, {names_cleaned('title')} AS made_title,
+  {names_cleaned('company')} AS made_company, CASE WHEN source = 'Bayt' THEN location ELSE {location('location', 'kind')} END AS made_location,
+  {names_cleaned('description')} AS made_description, {names_cleaned('salary')} AS made_salary, kind AS made_kind, CASE source
+    WHEN 'LinkedIn' THEN whole
+    WHEN 'Indeed' THEN {merged_ci('list_concat(list_concat(list_concat(whole, kt), kd), ks)')}
+    WHEN 'Wuzzuf' THEN {ordered_distinct('list_concat(list_concat(page_tags, kt), kd)')}
+    WHEN 'Bayt' THEN {ordered_distinct('list_concat(list_concat(kt, kd), kc)')}
+    ELSE {ordered_distinct('list_concat(kt, kd)')} END AS made_skills FROM ma)"""
+
+
+_STORED_SKILLS = "list_sort(list_distinct(list_filter(list_transform(made_skills, lambda x: trim(x)), lambda x: x <> '')))"
+MADE_STATE = f"""SELECT md5(url) AS posting_id, made_title AS title, made_company AS company, coalesce(made_location, '') AS location,
+  md5(coalesce(made_description, '')) AS description, url, made_salary AS salary, {joined(_STORED_SKILLS)} AS skills,
+  {from_store(to_store('made_kind'))} AS job_type, source, {ts('posted')} AS posted_at FROM made"""
+
+
+def page_runs(batches: list[str]) -> str:
+    """CTEs of page runs one after the other: pages of new urls, then W1; `saved0`, `saved1` and so on."""
+    steps, known = [], "SELECT NULL::VARCHAR AS url WHERE false"
+    identity = signature(names_cleaned("title"), names_cleaned("company"))
+    for k, condition in enumerate(batches):
+        steps.append(f"""came{k} AS (SELECT url, min(page_id) AS page_id, count(*) AS n FROM dated WHERE {condition} GROUP BY url),
+new{k} AS (SELECT page_id FROM came{k} WHERE url NOT IN ({known})),
+rows{k} AS (SELECT * FROM young WHERE page_id IN (SELECT page_id FROM new{k})),
+head{k} AS (SELECT * FROM rows{k} QUALIFY row_number() OVER (PARTITION BY {identity} ORDER BY page_id) = 1),
+saved{k} AS (SELECT * FROM head{k} QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)""")
+        known += f" UNION ALL SELECT url FROM saved{k}"
+    return ",\n".join(steps)
+
+
+STREAMED = ["feed < 'src05'", *[f"feed >= 'src05' AND page_id % 3 = {k}" for k in range(3)]]
+
 OBS = """
 obs AS (SELECT user_id AS "user", event_type AS task, CASE WHEN value < 100 THEN 'C' WHEN value < 200 THEN 'P' ELSE 'F' END AS status,
         CAST(floor(value / 50) + 1 AS BIGINT) AS clicks, event_id % 4 AS wrong, least(CAST(floor(value / 20) + 1 AS BIGINT), 5) AS score
@@ -452,15 +533,59 @@ SELECT posting_no, source, {joined(f'''CASE source WHEN 'LinkedIn' THEN whole
   WHEN 'Indeed' THEN {merged_ci('list_concat(list_concat(list_concat(whole, kt), kd), ks)')}
   WHEN 'Bayt' THEN {ordered_distinct('list_concat(list_concat(kt, kd), kc)')}
   ELSE {ordered_distinct('list_concat(kt, kd)')} END''')} AS skills FROM a"""
+    pairs = ", ".join(f"({q(a)}, {q(c)})" for a, c in V.alias_dictionary().items())
+    known = array(r.name for r in V.ROLES)
+    spelt = "p_brand || '-' || p_size % 7"
+    out["enhanced_by_tables"] = f"""WITH {TAGGED}, t AS (SELECT posting_no, skills, {roles(low)} AS roles, {seniority(low)} AS level FROM tagged),
+dict AS (SELECT coalesce(({known})[p_partkey % 400 + 1], 'role ' || p_partkey % 400) AS role, p_size % 3 AS r, p_partkey AS pos, {spelt} AS skill FROM part),
+al(alias, canonical) AS (SELECT lower({spelt}), min(p_type) FROM part WHERE p_size % 2 = 0 GROUP BY 1 UNION ALL SELECT * FROM (VALUES {pairs})),
+lists AS (SELECT role, l.r AS upto, skill, min(row(d.r, pos)) AS place FROM dict d JOIN (VALUES (0), (1), (2)) l(r) ON d.r <= l.r GROUP BY ALL),
+ext AS (SELECT posting_no, generate_subscripts(skills, 1) AS i, unnest(skills) AS s FROM t),
+ex AS (SELECT posting_no, list(coalesce(canonical, trim(s)) ORDER BY i) AS names FROM ext LEFT JOIN al ON alias = lower(trim(s)) GROUP BY posting_no),
+rl AS (SELECT posting_no, level, generate_subscripts(roles, 1) AS i, unnest(roles) AS role FROM t),
+im AS (SELECT posting_no, list(coalesce(canonical, trim(skill)) ORDER BY i, place) AS names FROM rl JOIN lists ON lists.role = rl.role
+  AND upto = CASE level WHEN 'junior' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END LEFT JOIN al ON alias = lower(trim(skill)) GROUP BY posting_no),
+j AS (SELECT t.*, coalesce(ex.names, []) AS e, coalesce(im.names, []) AS m FROM t LEFT JOIN ex USING (posting_no) LEFT JOIN im USING (posting_no)),
+w AS (SELECT *, list_concat(e, m) AS every FROM j)
+SELECT posting_no, {joined('roles')} AS roles, level AS seniority, {joined('e')} AS extracted, {joined('m')} AS implied,
+  {joined(ordered_distinct('every'))} AS final FROM w"""
+    token = r"\.?[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*[+#]*"
+    phrases = ", ".join(
+        f"({q(s.name)}, {i}, {q(p)})" for i, s in enumerate(V.SKILLS) for p in (*s.words, *s.tags, *[w for w, _ in s.unless])
+    )
+    split = lambda e: f"regexp_extract_all(lower({e}), {q(token)})"
+    out["skills_by_phrases"] = f"""WITH {VIEW}, dict(skill, rank, phrase) AS (SELECT * FROM (VALUES {phrases})
+  UNION ALL SELECT 'Place ' || n_name, n_nationkey + 1000, lower(n_name) FROM nation),
+d AS (SELECT skill, rank, array_to_string({split('phrase')}, ' ') AS gram, len({split('phrase')}) AS n FROM dict),
+t AS (SELECT posting_no, {split("title || chr(10) || location || chr(10) || description")} AS w FROM raw),
+p AS (SELECT posting_no, unnest(range(len(w))) AS place, w FROM t),
+g AS (SELECT posting_no, place, k AS n, array_to_string(w[place + 1 : place + k], ' ') AS gram FROM p, (VALUES (1), (2), (3), (4)) x(k) WHERE place + k <= len(w)),
+m AS (SELECT posting_no, place, g.n, skill, rank FROM g JOIN d ON d.gram = g.gram AND d.n = g.n),
+free AS (SELECT DISTINCT posting_no, skill, rank FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.posting_no = m.posting_no
+  AND o.place <= m.place AND o.place + o.n >= m.place + m.n AND o.n > m.n)),
+best AS (SELECT posting_no, skill, min(rank) AS rank FROM free GROUP BY ALL)
+SELECT t.posting_no, coalesce(string_agg(skill, '|' ORDER BY rank), '') AS skills FROM t LEFT JOIN best USING (posting_no) GROUP BY t.posting_no"""
+    wanted = ("React", "SQL", "AWS", "Docker", "Node.js", "Java", "C++", "Kubernetes", "REST API", "GraphQL", "Machine Learning", "TypeScript", "Big Data")
+    heavy = ", ".join(f"({q(name)}, {1 + i % 4})" for i, name in enumerate(wanted))
+    out["match_topk"] = f"""WITH {TAGGED}, w(skill, w) AS (VALUES {heavy}),
+s AS (SELECT c_custkey AS seeker, list_distinct(list_transform(range(c_custkey % 6 + 3), lambda i: ({array(wanted)})[(c_custkey * 5 + i * (c_custkey % 3 + 1)) % {len(wanted)} + 1])) AS has FROM customer),
+q AS (SELECT posting_no, unnest(list_distinct(skills)) AS skill FROM tagged),
+v AS (SELECT q.*, coalesce(w, 1) AS w FROM q LEFT JOIN w USING (skill)),
+total AS (SELECT posting_no, sum(w) AS total FROM v GROUP BY posting_no),
+e AS (SELECT seeker, unnest(has) AS skill FROM s),
+pair AS (SELECT seeker, posting_no, sum(w) AS shared FROM e JOIN v USING (skill) GROUP BY ALL),
+r AS (SELECT seeker, posting_no, CAST(floor(10000 * shared / total) AS BIGINT) AS points FROM pair JOIN total USING (posting_no) WHERE 100 * shared >= 60 * total),
+k AS (SELECT *, row_number() OVER (PARTITION BY seeker ORDER BY points DESC, posting_no) AS rank FROM r)
+SELECT seeker, rank, posting_no, CAST(CAST(points / 100 AS DECIMAL(5, 2)) AS VARCHAR) AS score FROM k WHERE rank <= 5"""
     aliases = ", ".join(f"({q(a)}, {q(c)})" for a, c in V.alias_dictionary().items())
     out["alias_lookup"] = f"""WITH {VIEW}, dict(alias, canonical) AS (VALUES {aliases}),
 w AS (SELECT posting_no, unnest(string_split({norm('title')}, ' ')) AS word FROM raw)
 SELECT posting_no, word, coalesce(d.canonical, word) AS canonical, count(*) AS n FROM w LEFT JOIN dict d ON d.alias = lower(word) GROUP BY ALL"""
     out["dedup_run"] = f"WITH {RUN} SELECT posting_no, signature, url, status, coalesce(reason, '') AS reason FROM status"
-    out["run_counters"] = f"""WITH {RUN}, b AS (SELECT unnest({array(P.SOURCES)}) AS source) SELECT b.source, count(status) AS fetched,
+    out["run_counters"] = f"""WITH {RUN}, b AS (SELECT unnest({array((*P.SOURCES, 'Silent'))}) AS source) SELECT b.source, count(status) AS fetched,
   count(*) FILTER (status = 'saved') AS saved, count(*) FILTER (status = 'duplicate') AS duplicates,
-  CASE WHEN b.source IN ('Wuzzuf', 'Indeed', 'Glassdoor') THEN count(status) > 0 ELSE true END AS success
-FROM b LEFT JOIN status ON status.source = b.source GROUP BY b.source"""
+  CASE WHEN b.source IN ('Wuzzuf', 'Indeed', 'Glassdoor') THEN count(status) > 0 ELSE b.source <> 'Bayt' END AS success
+FROM b LEFT JOIN (SELECT * FROM status WHERE source <> 'Glassdoor') status ON status.source = b.source GROUP BY b.source"""
     out["run_totals"] = f"""WITH {RUN} SELECT count(*) AS fetched, count(*) FILTER (status = 'saved') AS saved,
   count(*) FILTER (status = 'duplicate') AS duplicates FROM status"""
     out["new_and_known_urls"] = f"""WITH {VIEW}, stored AS (SELECT DISTINCT url FROM raw WHERE feed < 'src15')
@@ -543,18 +668,59 @@ SELECT page_id, source, url, title,
   CASE source WHEN 'Wuzzuf' THEN 'Wuzzuf Company' WHEN 'Bayt' THEN 'Bayt.com' WHEN 'Indeed' THEN 'Indeed' ELSE 'Unknown Company' END AS company,
   CASE source WHEN 'Wuzzuf' THEN 'Egypt' WHEN 'Glassdoor' THEN 'Not Specified' ELSE 'Remote' END AS location
 FROM p WHERE source <> 'LinkedIn' AND title <> '' AND NOT (source = 'Bayt' AND length(title) < 3)"""
-    out["pages_to_store"] = f"""WITH p AS (SELECT page_id, url, {board} AS source, trim({decoded(TITLE_SQL)}) AS heading FROM pages),
-c AS (SELECT page_id AS arrival, url, source, CASE source WHEN 'Bayt' THEN heading ELSE {clean('heading')} END AS title,
-  CASE source WHEN 'Bayt' THEN 'Bayt.com' WHEN 'Indeed' THEN 'Indeed' ELSE 'Unknown Company' END AS company,
-  CASE source WHEN 'Indeed' THEN {AS_OF} - to_days(3) ELSE {AS_OF} END AS posted
-  FROM p WHERE source IN ('Bayt', 'Indeed', 'Glassdoor') AND heading <> '' AND NOT (source = 'Bayt' AND length(heading) < 3)),
-run AS (SELECT *, {signature('title', 'company')} AS signature FROM c),
-stored AS (SELECT url FROM run WHERE false),{DEDUP}
-SELECT md5(url) AS posting_id, url, source, title, company, {ts('posted')} AS posted_at FROM status WHERE status = 'saved'"""
-    nav = "unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"([^\"]*)\"', 1))"
-    out["listing_links"] = f"""WITH l AS (SELECT page_id, {board} AS source, {nav} AS href FROM pages),
-u AS (SELECT page_id, source, {canonical(decoded('href'), 'source')} AS url FROM l WHERE source <> 'Bayt' AND href <> '')
-SELECT source, url, min(page_id) AS page_id, '' AS date_text FROM u WHERE url IS NOT NULL GROUP BY source, url"""
+    out["page_details"] = f"""WITH {BOARD} SELECT page_id, source, url, title, company, location, md5(description) AS description, date_text, salary,
+  {joined('page_tags')} AS page_tags FROM fields"""
+    # Of the elements that hold a description the longest text; the first on ties.
+    shown = "CASE source WHEN 'Bayt' THEN CASE WHEN odd THEN description || ' Easy Apply now' ELSE description END ELSE description END"
+    below = f"CASE WHEN source = 'LinkedIn' AND NOT odd THEN '' WHEN source = 'Indeed' THEN '' ELSE {trim(shown)} END"
+    out["page_longest_text"] = f"""WITH {BOARD} SELECT posting_no AS page_id, md5({below}) AS text FROM shown"""
+    whole = """made_title AS title, made_company AS company, made_location AS location, md5(made_description) AS description, url,
+  made_salary AS salary, made_kind AS job_type, source"""
+    out["pages_to_postings"] = f"""WITH {BOARD}, {made('young')} SELECT made_id AS posting_id, page_id AS arrival, {whole},
+  {joined('made_skills')} AS skills, {ts('posted')} AS posted_at FROM made"""
+    out["pages_to_store"] = f"""WITH {BOARD}, {page_runs(['true'])}, {made('saved0')} {MADE_STATE}"""
+    every = " UNION ALL ".join(f"SELECT * FROM saved{k}" for k in range(len(STREAMED)))
+    out["stream_pages_to_store"] = f"""WITH {BOARD}, {page_runs(STREAMED)}, saved AS ({every}), {made('saved')} {MADE_STATE}"""
+    out["stream_page_runs"] = f"WITH {BOARD}, {page_runs(STREAMED)} " + " UNION ALL ".join(
+        f"""SELECT '{k - 1}' AS run_id, (SELECT CAST(sum(n) AS BIGINT) FROM came{k}) AS pages, (SELECT count(*) FROM new{k}) AS extracted,
+  (SELECT count(*) FROM rows{k}) AS fetched, (SELECT count(*) FROM saved{k}) AS saved,
+  (SELECT count(*) FROM rows{k}) - (SELECT count(*) FROM saved{k}) AS duplicates, 0 AS rejected"""
+        for k in range(1, len(STREAMED))
+    )
+    out["rejected_rows"] = f"""WITH {TAGGED} SELECT arrival, CASE WHEN posting_no % 10 = 5 THEN '' ELSE title END AS title, company,
+  CASE WHEN posting_no % 10 <> 3 THEN url END AS url, CASE WHEN posting_no % 10 = 3 THEN 'no url' ELSE 'no title' END AS reason,
+  {joined('skills')} AS skills FROM tagged WHERE posting_no % 10 IN (3, 5)"""
+    out["observed_counters"] = f"""WITH {TAGGED}, most AS (SELECT * EXCLUDE (url), CASE WHEN posting_no % 11 <> 4 THEN url ELSE '' END AS url
+  FROM tagged WHERE source <> 'Indeed'),
+run AS (SELECT *, {signature('title', 'company')} AS signature FROM most WHERE feed >= 'src15'),
+stored AS (SELECT DISTINCT url FROM most WHERE feed < 'src15' AND url <> ''),{DEDUP},
+b AS (SELECT unnest({array(P.SOURCES)}) AS source)
+SELECT b.source, count(status) AS fetched, count(*) FILTER (status = 'saved' AND url <> '') AS saved, count(*) FILTER (status = 'duplicate') AS duplicates,
+  count(*) FILTER (status = 'saved' AND url = '') AS rejected,
+  CASE WHEN b.source IN ('Wuzzuf', 'Indeed', 'Glassdoor') THEN count(status) > 0 ELSE b.source <> 'LinkedIn' END AS success
+FROM b LEFT JOIN status ON status.source = b.source GROUP BY b.source"""
+    start = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey % 1000 * 3000)"
+    out["windows_handoff"] = f"""WITH w AS (SELECT p_partkey AS run_id, {start} AS since,
+  {start} + to_minutes(CAST(CASE WHEN p_partkey % 50 = 0 THEN 20000 ELSE (p_size - 5) * 7 END AS BIGINT)) AS until FROM part)
+SELECT run_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, CAST(sum(event_id) AS BIGINT) AS id_sum,
+  count(DISTINCT event_type) AS types FROM w JOIN events ON ts >= since AND ts < until GROUP BY run_id"""
+    out["listing_links"] = f"""WITH {VIEW}, cards AS (SELECT *, posting_no // 40 AS page, CASE source
+  WHEN 'LinkedIn' THEN '/jobs/view/' || posting_no WHEN 'Indeed' THEN 'https://www.indeed.com/viewjob?jk=k' || posting_no
+  WHEN 'Glassdoor' THEN 'https://www.glassdoor.com/job-listing/j?jl=' || posting_no
+  WHEN 'Wuzzuf' THEN 'https://wuzzuf.net/jobs/p/' || posting_no || '-' || replace(type_text, ' ', '-')
+  ELSE 'https://www.bayt.com/en/jobs/' || posting_no || '/' END AS link,
+  CASE WHEN source IN ('LinkedIn', 'Indeed') OR (source = 'Wuzzuf' AND NOT regexp_matches(date_text, 'ago|منذ')) THEN '' ELSE date_text END AS named FROM raw),
+listed AS (SELECT *, CASE WHEN named <> '' THEN {by_source(lambda s: with_policy(s, parsed(s, 'named')))} END AS posted FROM cards)
+SELECT source, link AS url, page * 5 + list_position({array(P.SOURCES)}, source) - 1 AS page_id, named AS date_text FROM listed
+WHERE coalesce({fresh('posted')}, false) OR (posted IS NULL AND source <> 'Bayt')"""
+    out["listing_postings"] = f"""WITH {VIEW}, cards AS (SELECT *, (posting_no // 5) % 2 = 1 AS odd, posting_no % 4 < 2 AS listed,
+  {with_policy('Glassdoor', parsed('Glassdoor', 'date_text'))} AS posted, unnest([posting_no // 40, posting_no // 40 + 1]) AS page FROM raw WHERE source = 'Glassdoor'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY posting_no) - 1 AS pos FROM cards),
+told AS (SELECT *, CASE WHEN odd THEN '' ELSE type_text END || CASE WHEN listed THEN E'\\n\\nRequired Skills: React, SQL' ELSE '' END AS text FROM placed)
+SELECT page * 5 + 2 AS page_id, pos, 'https://www.glassdoor.com/job-listing/j?jl=' || posting_no AS url, title, company, location,
+  CASE WHEN text <> '' THEN text ELSE title || ' position at ' || company || '. Tech job opportunity.' END AS description,
+  CASE WHEN regexp_matches(salary, '[0-9]') THEN salary END AS salary, CASE WHEN listed THEN 'React, SQL' ELSE '' END AS skills_line,
+  {ts('posted')} AS posted_at FROM told WHERE {fresh('posted')}"""
     out["blocked_pages"] = f"""SELECT page_id, {board} AS source, CASE {board}
   WHEN 'Indeed' THEN regexp_matches(lower(html), 'captcha|verification required|additional verification')
   WHEN 'Glassdoor' THEN contains(html, 'Job is OOO') OR contains(html, 'Access Denied') ELSE false END AS blocked FROM pages"""
@@ -589,9 +755,11 @@ n AS (SELECT task, score, count(*) AS n FROM obs GROUP BY ALL)
 SELECT g.task, g.score, coalesce(n.n, 0) AS n, CAST(floor(100.0 * coalesce(n.n, 0) / all_n + 0.5) AS BIGINT) AS percent,
   round(m, 1) AS mean FROM g JOIN c USING (task) LEFT JOIN n ON n.task = g.task AND n.score = g.score"""
     out["stream_dedup"] = f"WITH {VIEW} SELECT DISTINCT {signature('title', 'company')} AS signature FROM raw"
-    out["stream_upsert"] = f"""WITH {VIEW}, run AS (SELECT *, {signature('title', 'company')} AS signature FROM raw),
-stored AS (SELECT url FROM raw WHERE false),{DEDUP}
-SELECT md5(url) AS posting_id, url, source, company FROM status WHERE status = 'saved'"""
+    out["stream_upsert"] = f"""WITH {TAGGED}, run AS (SELECT *, {signature('title', 'company')} AS signature FROM tagged),
+stored AS (SELECT url FROM tagged WHERE false),{DEDUP}
+SELECT md5(url) AS posting_id, url, source, title, company, location, salary, {to_store('job_type')} AS job_type, md5(description) AS description,
+  {ts('posted_at')} AS posted_at, len(list_distinct(list_filter(list_transform(skills, lambda x: trim(x)), lambda x: x <> ''))) AS n_skills
+FROM status WHERE status = 'saved'"""
     steps, known = [], "SELECT url FROM tagged WHERE feed < 'src15'"
     for k in range(4):
         steps.append(f"""sig{k} AS (SELECT *, row_number() OVER (PARTITION BY {signature('title', 'company')} ORDER BY arrival) AS sig_rn

@@ -107,16 +107,22 @@ RUNS = T.StructType(
         T.StructField("duplicates", T.LongType()),
         T.StructField("rejected", T.LongType()),
         T.StructField("stream", T.StringType()),
+        T.StructField("pages", T.LongType()),
+        T.StructField("extracted", T.LongType()),
     ]
 )
 
-# Rows the store did not take.
-REJECTED = T.StructType(
+# A posting as a batch brought it; `reason` says why the store did not take it.
+BATCH_ROW = T.StructType(
     [
         *RAW_POSTING.fields,
         T.StructField("skills", T.ArrayType(T.StringType())),
         T.StructField("job_type", T.StringType()),
         T.StructField("reason", T.StringType()),
-        T.StructField("rejected_at", T.TimestampType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
+
+# Rows the store did not take.
+REJECTED = T.StructType([*BATCH_ROW.fields[:-2], T.StructField("rejected_at", T.TimestampType())])

@@ -1,10 +1,9 @@
 """The keyed store of postings, skills and links.
 
-A batch appends its own rows as a version and then its marker file, whatever the size of the
-store; readers merge the newest base with the batches after it, and `compact` folds those
-into the next base. Numbers are given by the store, never by the caller, and a path that was
-written is never overwritten: a run lost half way leaves an unmarked folder behind. On a
-table format with `MERGE INTO` the same staged frames can feed one instead.
+On disk the store is one Parquet table of posting rows, partitioned by batch. A batch writes its own
+partition, whatever the size of the store, and replaces it when it is run again; the three tables are
+queries over the rows: the first row of a url gives id, source and creation time, the last one the rest.
+On a table format with `MERGE INTO` the same staged frames can feed one instead.
 """
 
 from __future__ import annotations
@@ -12,11 +11,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postmill import schemas
 from postmill.functions.jobtype import job_type_from_store, job_type_to_store
@@ -27,7 +24,6 @@ TABLES = {
     "skills": schemas.STORE_SKILLS,
     "links": schemas.STORE_LINKS,
 }
-FILES = {**TABLES, "rejected": schemas.REJECTED}
 
 
 @dataclass(frozen=True)
@@ -204,188 +200,73 @@ def registry_rows(postings: DataFrame, base_urls: dict[str, str]) -> DataFrame:
     )
 
 
-def merge_versions(rows: Star) -> Star:
-    """One state from the rows of several versions, told apart by the column `v`.
+def star_of(rows: DataFrame) -> Star:
+    """The star of posting rows in any number of batches (`schemas.BATCH_ROW`).
 
-    Of a url the first version gives id, source and creation time, the last one the rest. Both
-    are decided on (url, v) by map-side minima and maxima; the wide rows are only picked.
+    Rows of a url are ordered by (instant, batch, arrival). Its last fields and first identity are a
+    maximum and a minimum, combined on the map side, so a url costs a row per task however often it comes.
     """
-    p = rows.postings
-    ends = p.groupBy("url").agg(F.min("v").alias("_first"), F.max("v").alias("_last"))
-    first = p.select("url", F.col("v").alias("_first"), "posting_id", "source", "created_at").join(ends, ["url", "_first"])
-    last = p.drop("posting_id", "source", "created_at").withColumnRenamed("v", "_last")
+    order = F.struct("at", "batch", "arrival")
+    last = F.struct("title", "company", "location", "description", "salary", "job_type", "posted_at")
+    grouped = rows.groupBy("url").agg(
+        F.min_by("source", order).alias("source"),
+        F.max_by(last, order).alias("last"),
+        F.min("at").alias("created_at"),
+        F.max("at").alias("updated_at"),
+    )
+    shown = grouped.select("url", "source", "last.*", "created_at", "updated_at")
+    stored = {"posting_id": _surrogate(F.col("url")), "job_type": job_type_to_store(F.col("job_type"))}
+    postings = shown.withColumns(stored).withColumnRenamed("company", "company_name").select(*TABLES["postings"].names)
+    named = rows.select("url", "at", F.explode("skills").alias("name")).withColumn("name", trim_all(F.col("name"))).filter("name <> ''")
+    linked = named.groupBy("url", "name").agg(F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    skills = linked.groupBy("name").agg(F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    ids = {"posting_id": _surrogate(F.col("url")), "skill_id": _surrogate(F.col("name"))}
     return Star(
-        first.join(last, ["url", "_last"]).select(*TABLES["postings"].names),
-        rows.skills.groupBy("skill_id", "name").agg(
-            F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
-        ),
-        rows.links.groupBy("posting_id", "skill_id").agg(F.min("created_at").alias("created_at")),
+        postings,
+        skills.withColumn("skill_id", ids["skill_id"]).select(*TABLES["skills"].names),
+        linked.withColumns(ids).select(*TABLES["links"].names),
     )
 
 
-def bind_instant(spark: SparkSession, now: Column) -> int:
-    """An instant as microseconds, evaluated once: all tables of a version carry the same one."""
-    return spark.range(1).select(F.unix_micros(now.cast("timestamp")).alias("t")).first()["t"]
-
-
-def _rejected(bad: DataFrame, now: Column) -> DataFrame:
-    """Rows the store does not take, in a fixed shape."""
-    reason = F.when(F.coalesce(F.col("url"), F.lit("")) == "", "no url").otherwise("no title")
-    held = bad.withColumns({"reason": reason, "rejected_at": now})
-    return held.select(
-        *[(F.col(f.name) if f.name in held.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.REJECTED]
-    )
-
+def refusal() -> Column:
+    """Why the store does not take a row; null for a row it takes."""
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return F.when(missing("url"), "no url").when(missing("title"), "no title")
 
-class SnapshotStore:
-    """Versions of a star under one shared folder (any Hadoop file system).
 
-    A version is a batch or a base. `tag` names a batch for good (a stream and its batch id, say): a
-    tag that is committed is never applied again, also after its version was compacted away.
-    A batch begun before a compaction and finished after it counts as older than that base.
-    """
+class PostingStore:
+    """Posting rows under one shared folder (any Hadoop file system), a partition per batch."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _glob(self, pattern: str) -> list:
-        return [s.getPath() for s in (self._fs.globStatus(self._path(f"{self.root}/{pattern}")) or [])]
-
-    def _marked(self) -> dict[int, str | None]:
-        """Complete versions, oldest first, with their tags ('' for none); a base has None."""
-        found = {int(p.getParent().getName()[2:]): p.getName().partition("-")[2] for p in self._glob("v=*/_COMPLETE-*")}
-        found |= {int(p.getParent().getName()[2:]): None for p in self._glob("v=*/_BASE")}
-        return dict(sorted(found.items()))
-
-    def versions(self) -> list[int]:
-        """Numbers of the complete versions, oldest first."""
-        return list(self._marked())
-
-    def _held(self, base: int) -> DataFrame:
-        """(version, tag) of the batches a base holds."""
-        return self.spark.read.schema("version int, tag string").parquet(f"{self.root}/v={base}/held")
-
-    def _open(self) -> list[int]:
-        """The newest base and the batches it does not hold."""
-        marked = self._marked()
-        bases = [n for n, tag in marked.items() if tag is None]
-        batches = [n for n, tag in marked.items() if tag is not None]
-        if not bases:
-            return batches
-        folded = {r["version"] for r in self._held(bases[-1]).filter(F.col("version").isin(batches)).collect()}
-        return sorted([bases[-1], *(n for n in batches if n not in folded)])
-
-    def _rows(self, table: str, parts: list[int]) -> DataFrame:
-        schema = T.StructType([*FILES[table].fields, T.StructField("v", T.IntegerType())])
-        paths = [f"{self.root}/v={n}/{table}" for n in parts]
-        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*paths)
+        self.spark, self.path = spark, f"{root.rstrip('/')}/postings"
+
+    def append(self, postings: DataFrame, at: Column, batch: str) -> None:
+        """Write a batch, in place of an earlier try of it. Refused rows are kept with their reason."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError("batches are named by letters, digits, dots, dashes and underscores")
+        rows = postings.withColumns({"at": at.cast("timestamp"), "reason": refusal()})
+        fields = [f for f in schemas.BATCH_ROW.fields if f.name != "batch"]
+        given = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        rows.select(*given).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def rows(self, without: str | None = None) -> DataFrame:
+        """All rows, or those of the other batches."""
+        try:
+            found = self.spark.read.schema(schemas.BATCH_ROW).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schemas.BATCH_ROW)
+        return found if without is None else found.filter(F.col("batch") != without)
 
     def read(self) -> Star:
-        """The newest state."""
-        parts = self._open()
-        if not parts:
-            return empty_star(self.spark)
-        rows = Star(*[self._rows(t, parts) for t in TABLES])
-        if len(parts) > 1:
-            return merge_versions(rows)
-        return Star(rows.postings.drop("v"), rows.skills.drop("v"), rows.links.drop("v"))
-
-    def urls(self) -> DataFrame:
-        """The known urls (a url once per open version that holds it): one narrow column is read."""
-        parts = self._open()
-        return self._rows("postings", parts).select("url") if parts else empty_star(self.spark).postings.select("url")
+        """The state after all batches."""
+        return star_of(self.rows().filter("reason IS NULL"))
+
+    def urls(self, without: str | None = None) -> DataFrame:
+        """The known urls: one narrow column is read."""
+        return self.rows(without).filter("reason IS NULL").select("url")
 
     def rejected(self) -> DataFrame:
         """The rows that batches brought and the store did not take."""
-        parts = self._open()
-        return self._rows("rejected", parts).drop("v") if parts else self.spark.createDataFrame([], schemas.REJECTED)
-
-    def find(self, tag: str) -> int | None:
-        """The version that committed a tag."""
-        marked = self._marked()
-        for number, known in marked.items():
-            if known == tag:
-                return number
-        bases = [n for n, known in marked.items() if known is None]
-        row = self._held(bases[-1]).filter(F.col("tag") == tag).first() if bases else None
-        return row["version"] if row else None
-
-    def begin(self) -> int:
-        """A version number of its own for a writer; numbers only grow."""
-        taken = [int(p.getName()[2:]) for p in self._glob("v=*")]
-        number = max(taken, default=-1) + 1
-        while True:
-            try:
-                self._fs.create(self._path(f"{self.root}/v={number}/_CLAIM"), False).close()
-                return number
-            except Py4JJavaError as e:
-                if "AlreadyExists" not in e.java_exception.getClass().getName():
-                    raise
-                number += 1
-
-    def _mark(self, version: int, name: str) -> None:
-        self._fs.create(self._path(f"{self.root}/v={version}/{name}"), False).close()
-
-    def stage(self, df: DataFrame, version: int, name: str) -> DataFrame:
-        """Write a frame next to a version's tables and read it back.
-
-        What follows uses it several times; this way whatever produced it runs once, and
-        each use reads only the columns it needs.
-        """
-        path = f"{self.root}/v={version}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def upsert(
-        self, postings: DataFrame, now: Column, tag: str = "", version: int | None = None, order: str = "arrival"
-    ) -> int:
-        """S5/S6 on disk: append a batch; its version. `version` is one that `begin` gave this writer."""
-        if not re.fullmatch(r"[\w.-]*", tag):
-            raise ValueError("tags are letters, digits, dots, dashes and underscores")
-        known = self.find(tag) if tag else None
-        if known is not None:
-            return known
-        number = self.begin() if version is None else version
-        at = F.timestamp_micros(F.lit(bind_instant(self.spark, now)))
-        good, bad = validate(self.stage(postings, number, "batch"))
-        links, times = stage_links(good), {"created_at": at, "updated_at": at}
-        skill_id = _surrogate(F.col("name")).alias("skill_id")
-        tables = {
-            "postings": stage_postings(good, order).withColumns(times),
-            "skills": links.select("name").distinct().select(skill_id, "name").withColumns(times),
-            "links": links.select("posting_id", skill_id).withColumn("created_at", at),
-            "rejected": _rejected(bad, at),
-        }
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/v={number}/{name}")
-        self._mark(number, f"_COMPLETE-{tag}")
-        return number
-
-    def compact(self) -> int | None:
-        """Fold the open versions into a new base; None when there is nothing to fold.
-
-        Versions that the base before already held are removed, so readers of the last
-        state still find their files.
-        """
-        parts, marked = self._open(), self._marked()
-        bases = [n for n, tag in marked.items() if tag is None]
-        fold = [n for n in parts if marked[n] is not None]
-        if not fold:
-            return None
-        star, rejected, number = self.read(), self.rejected(), self.begin()
-        held = self.spark.createDataFrame([(n, marked[n]) for n in fold], "version int, tag string")
-        retired = set(bases[:-1])
-        if bases:
-            before = self._held(bases[-1])
-            retired |= {r["version"] for r in before.filter(F.col("version").isin(list(marked))).collect()}
-            held = before.unionByName(held)
-        for name, df in {**{t: getattr(star, t) for t in TABLES}, "rejected": rejected, "held": held}.items():
-            df.write.parquet(f"{self.root}/v={number}/{name}")
-        self._mark(number, "_BASE")
-        for n in retired:
-            self._fs.delete(self._path(f"{self.root}/v={n}"), True)
-        return number
+        return self.rows().filter("reason IS NOT NULL").withColumnRenamed("at", "rejected_at").select(*schemas.REJECTED.names)

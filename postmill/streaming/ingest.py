@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postmill.functions.text import signature
 from postmill.operators.dedup import dedup_run
+from postmill.operators.stats import RunMetrics
 from postmill.schemas import RUNS
-from postmill.sources.store import SnapshotStore, bind_instant, validate
+from postmill.sources.store import PostingStore, refusal
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,75 +35,81 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
 
-def _run_path(runs_path: str, stream: str, batch_id: int) -> str:
-    return f"{runs_path}/run={stream}-{batch_id}"
+def batch_name(stream: str, batch_id: int) -> str:
+    """The name of a stream's micro-batch in the store; names sort as the batches ran."""
+    return f"{stream}-{batch_id:09d}"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame, in place of an earlier try, and read it back: what follows uses it several times."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def instant(spark: SparkSession, now: Column) -> int:
+    """An instant as microseconds, evaluated once: all rows of a run carry the same one."""
+    return spark.range(1).select(F.unix_micros(now.cast("timestamp")).alias("t")).first()["t"]
 
 
 def _window_start(spark: SparkSession, runs_path: str, stream: str, batch_id: int, at: int) -> int:
     """Where the stream's last window ended, so that windows meet; its own instant for the first one."""
-    before = spark._jvm.org.apache.hadoop.fs.Path(_run_path(runs_path, stream, batch_id - 1))
-    if not before.getFileSystem(spark._jsc.hadoopConfiguration()).exists(before):
+    if batch_id == 0:
         return at
-    row = spark.read.schema(RUNS).parquet(before.toString()).select(F.unix_micros("until").alias("t")).first()
+    path = f"{runs_path}/run={batch_name(stream, batch_id - 1)}"
+    row = spark.read.schema(RUNS).parquet(path).select(F.unix_micros("until").alias("t")).first()
     return min(row["t"], at) if row else at
 
 
+def note_run(spark: SparkSession, runs_path: str, stream: str, batch_id: int, at: int, counts: dict[str, int]) -> None:
+    """the run's window and counters, at a path of its own that a retry replaces.
+
+    The window is half open and ends a microsecond after the instant its rows carry as
+    `created_at`; it starts where the stream's last window ended.
+    """
+    since = _window_start(spark, runs_path, stream, batch_id, at)
+    known = {"run_id": F.lit(str(batch_id)), "since": F.timestamp_micros(F.lit(since)), "until": F.timestamp_micros(F.lit(at + 1))}
+    known |= {"stream": F.lit(stream), **{name: F.lit(n) for name, n in counts.items()}}
+    row = spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RUNS.fields])
+    row.coalesce(1).write.mode("overwrite").parquet(f"{runs_path}/run={batch_name(stream, batch_id)}")
+
+
 def ingest_batch(
-    store: SnapshotStore, runs_path: str, now: Callable[[], Column], stream: Callable[[], str]
+    store: PostingStore, runs_path: str, now: Callable[[], Column], stream: Callable[[], str]
 ) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body - deduplicate, append, note the run.
 
-    A micro-batch is a run. It is staged first, so its source is read once. Stream and batch id
-    together are the batch's tag in the store: a replayed batch finds its tag and changes
-    nothing, whatever other writers have added. The run's row is written before the version is
-    marked, at a path of its tag, so a retry replaces it.
-
-    The window of a run is half open and ends a microsecond after the instant its rows carry
-    as `created_at`; it starts where the stream's last window ended.
+    A micro-batch is a run. It is staged first, so its source is read once. A replayed batch writes the
+    same partition of the store and the same run again; it is judged without its own earlier rows.
+    The counters are observed while the rows are written.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark, name = batch.sparkSession, stream()
-        tag = f"{name}-{batch_id}"
-        if store.find(tag) is not None:
-            return
-        at = bind_instant(spark, now())
-        version = store.begin()
-        incoming = store.stage(batch, version, "incoming")
-        judged = dedup_run(incoming, store.urls())
-        saved = store.stage(judged.filter(F.col("status") == "saved").drop("status", "reason"), version, "saved")
-        taken, rest = (df.count() for df in validate(saved))
-        since = _window_start(spark, runs_path, name, batch_id, at)
-        counts = incoming.agg(F.count("*").alias("fetched")).select(
-            F.lit(str(batch_id)).alias("run_id"),
-            F.timestamp_micros(F.lit(since)).alias("since"),
-            F.timestamp_micros(F.lit(at + 1)).alias("until"),
-            "fetched",
-            F.lit(taken).cast("long").alias("saved"),
-            (F.col("fetched") - taken - rest).alias("duplicates"),
-            F.lit(rest).cast("long").alias("rejected"),
-            F.lit(name).alias("stream"),
-        )
-        counts.coalesce(1).write.mode("overwrite").parquet(_run_path(runs_path, name, batch_id))
-        store.upsert(saved, F.timestamp_micros(F.lit(at)), tag, version)
+        spark, name = batch.sparkSession, batch_name(stream(), batch_id)
+        at = instant(spark, now())
+        incoming = staged(batch, f"{runs_path}-incoming/{name}")
+        metrics = RunMetrics(())
+        judged = metrics.watch(dedup_run(incoming, store.urls(without=name)), refusal())
+        saved = judged.filter(F.col("status") == "saved").drop("status", "reason")
+        store.append(saved, F.timestamp_micros(F.lit(at)), name)
+        note_run(spark, runs_path, stream(), batch_id, at, metrics.totals())
 
     return save
 
 
+def drain(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """F2: hand what has arrived to `save` in micro-batches (`availableNow`), then stop. The clock that starts
+    the next increment is outside."""
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_ingest(
     postings: DataFrame, store_root: str, checkpoint: str, now: Callable[[], Column] = F.current_timestamp
 ) -> StreamingQuery:
-    """drain what has arrived into the store (`availableNow`), then stop. The clock that
-    starts the next increment is outside."""
+    """finished postings into the store."""
     spark = postings.sparkSession
-    store = SnapshotStore(spark, f"{store_root}/star")
-    save = ingest_batch(store, f"{store_root}/runs", now, lambda: stream_id(spark, checkpoint))
-    return (
-        postings.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    name = cache(lambda: stream_id(spark, checkpoint))
+    save = ingest_batch(PostingStore(spark, f"{store_root}/star"), f"{store_root}/runs", now, name)
+    return drain(postings, save, checkpoint)
 
 
 def read_runs(spark: SparkSession, store_root: str) -> DataFrame:

@@ -109,42 +109,27 @@ def test_bad_rows_are_set_aside(spark):
     assert {r.arrival for r in bad.collect()} == {2, 3}
 
 
-def test_snapshot_store(spark, tmp_path):
-    disk = store.SnapshotStore(spark, str(tmp_path / "star"))
-    assert disk.read().postings.count() == 0
-    assert disk.upsert(batch(spark, (1, "A", "u1", "t", ["X"])), at(1)) == 0
-    assert disk.upsert(batch(spark, (2, "A", "u2", "t", ["X"])), at(2), tag="s-1") == 1
-    assert disk.upsert(batch(spark, (9, "A", "u9", "t", ["X"])), at(3), tag="s-1") == 1  # replayed batch
-    assert disk.versions() == [0, 1]
-    assert {r.url for r in disk.read().postings.collect()} == {"u1", "u2"} == {r.url for r in disk.urls().collect()}
-    lost = disk.begin()  # a run lost half way
-    assert lost == 2 and disk.begin() == 3 and disk.read().postings.count() == 2
-    found = store.search_star(disk.read(), ["x"], at(3), limit=1).collect()
-    assert len(found) == 1 and found[0].skills == ["X"]
-
-
-def test_compaction_keeps_the_state_and_the_tags(spark, tmp_path):
-    disk, state = store.SnapshotStore(spark, str(tmp_path / "star")), store.empty_star(spark)
+def test_store_of_batches(spark, tmp_path):
+    disk, state = store.PostingStore(spark, str(tmp_path / "star")), store.empty_star(spark)
+    assert disk.read().postings.count() == 0 and disk.urls().count() == 0
     batches = [
-        ((1, "A", "u1", "t", ["X"]), (2, "A", "u2", "t", ["X", "Y"])),
+        ((1, "A", "u1", "t", ["X"]), (2, "A", "u2", "t", ["X", " Y "]), (7, "B", "u2", "again", ["V"])),
         ((3, "B", "u1", "new", ["Z"]), (4, "A", "", "t", [])),
         ((5, "A", "u3", "t", ["Y"]), (6, "A", "u2", "new", [])),
     ]
-    assert disk.compact() is None
     for day, items in enumerate(batches, 1):
         state = store.upsert_star(state, batch(spark, *items), at(day))
-        disk.upsert(batch(spark, *items), at(day), tag=f"s-{day}")
+        for _ in range(2):  # a batch run again replaces its rows
+            disk.append(batch(spark, *items), at(day), f"s-{day:03d}")
         for name in ("postings", "skills", "links"):
             a, b = getattr(state, name), getattr(disk.read(), name)
             assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
-        disk.compact()
-        a, b = state.postings, disk.read().postings
-        assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
-    assert not (tmp_path / "star" / "v=0").exists()  # folded two compactions ago
-    assert disk.find("s-1") == 0 and disk.find("s-9") is None
-    n = len(disk.versions())
-    disk.upsert(batch(spark, (9, "A", "u9", "t", [])), at(9), tag="s-1")
-    assert len(disk.versions()) == n and disk.read().postings.count() == 3
+    assert {r.url for r in disk.urls().collect()} == {"u1", "u2", "u3"}
+    assert {r.url for r in disk.urls(without="s-003").collect()} == {"u1", "u2"}
+    found = store.search_star(disk.read(), ["x"], at(4), limit=1).collect()
+    assert len(found) == 1 and found[0].skills == ["X"]
+    with pytest.raises(ValueError):
+        disk.append(batch(spark, *batches[0]), at(1), "a/b")
     assert [(r.arrival, r.reason) for r in disk.rejected().collect()] == [(4, "no url")]
 
 
