@@ -9,7 +9,7 @@ Layout: `<path>/ranks` (rank, id) and `<path>/docs`: shard (a range of doc_ids,
 start (ids before it in its shard), n_ids, control, data. Documents decode independently of each other.
 
 The tokenizer splits at white space, so a worker tokenizes each distinct word once while it remembers it.
-A special token's name within a text (`<|endoftext|>`) is text and gets the ids of its characters.
+A text that names a special token (`<|endoftext|>`) is left whole to the library, which gives it that token's id.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; repeated doc_ids are
 kept as they are, ordered by their ids; an empty table gives no rows. Other columns are ignored.
@@ -17,6 +17,7 @@ kept as they are, ordered by their ids; an empty table gives no rows. Other colu
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,9 @@ CALL_WORDS = 5_000
 # does not, t + U+0308 does). All marks that compose with A-Z lie in U+0300 to U+036F, and have these first bytes.
 MARKS = (b"\xcc", b"\xcd")
 
+# Up to here characters compose with nothing after them, and all libraries agree on letters and digits.
+LATIN_END = "\u0250"
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 DOCS = "shard int, doc_id long, start long, n_ids long, control binary, data binary"
@@ -68,60 +72,112 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def piece_rule(tokenizer: dict):
+    """The pattern of the pieces that a tokenizer's words are cut into, and the end that marks a piece's last token.
+
+    (None, None) for a tokenizer that does not keep just the matches of one pattern and mark their ends.
+    """
+    steps = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [tokenizer.get("pre_tokenizer") or {}]
+    suffix, first = (tokenizer.get("model") or {}).get("end_of_word_suffix"), steps[0]
+    keeps = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    cuts_no_more = all(s.get("type") == "ByteLevel" and not s.get("use_regex") for s in steps[1:])
+    if not (suffix and keeps and cuts_no_more and "Regex" in first["pattern"]):
+        return None, None
+    import regex
+
+    return regex.compile(first["pattern"]["Regex"]), suffix
+
+
 class WordCoder:
-    """Ids of texts, word by word, with a memory of the words met."""
+    """Ids of texts, word by word, with a memory of the words met. `unit` is the type of an id."""
 
-    def __init__(self, tokenizer_file: str, fold_case: bool):
-        self.fold = LOWER if fold_case else None
+    def __init__(self, tokenizer_file: str, fold_case: bool, unit: str = "<u4"):
+        self.fold, self.unit = LOWER if fold_case else None, unit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(tokenizer_file)
-        self.plain.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
         # A special token between words keeps the words of one call apart.
-        self.joined = Tokenizer.from_file(tokenizer_file)
-        special = [(i, t.content) for i, t in self.joined.get_added_tokens_decoder().items() if t.special]
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark = min(special, default=None)
-        self.specials = tuple(content.encode() for _, content in special)
+        self.specials = tuple(content.lower().encode() for _, content in special)
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pattern, suffix = piece_rule(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.unit)
 
     def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if self.mark is None or any(s in w for s in self.specials)]
-        for w in odd:
-            self.known[w] = np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        even = words if not odd else [w for w in words if w not in set(odd)]
-        for k in range(0, len(even), CALL_WORDS):
-            part = even[k : k + CALL_WORDS]
-            text = self.mark[1].join([w.decode() for w in part])
-            ids = np.array(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        """Ids of new words, from those of the pieces that the tokenizer cuts them into, each tokenized once."""
+        whole, cut = [], []
+        for w in words:
+            s = w.decode()
+            if self.pattern and s == s.lower() and max(s) < LATIN_END and s.isprintable():
+                cut.append((w, self.pattern.findall(s)))
+            else:
+                whole.append(w)
+        self._learn_whole(whole)
+        new = list(set().union(*[parts for _, parts in cut]).difference(self.pieces))
+        for k in range(0, len(new), CALL_WORDS):
+            part = new[k : k + CALL_WORDS]
+            ids = self._ids(" ".join(part))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer cuts pieces that its own pattern leaves whole")
+            flat, at, size = ids.tobytes(), 0, ids.itemsize
+            for piece, end in zip(part, ends, strict=True):
+                self.pieces[piece] = flat[size * at : size * end]
+                at = end
+        of = self.pieces.__getitem__
+        self.known.update((w, b"".join(map(of, parts))) for w, parts in cut)
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        if self.mark is None:
+            self.known.update((w, self._ids(w.decode()).tobytes()) for w in words)
+            return
+        for k in range(0, len(words), CALL_WORDS):
+            part = words[k : k + CALL_WORDS]
+            ids = self._ids(self.mark[1].join([w.decode() for w in part]))
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
-            flat, at = ids.tobytes(), 0
+            flat, at, size = ids.tobytes(), 0, ids.itemsize
             for w, end in zip(part, ends, strict=True):
-                self.known[w] = flat[4 * at : 4 * end]
+                self.known[w] = flat[size * at : size * end]
                 at = end + 1
 
-    def _words(self, text: bytes) -> list[bytes]:
-        """The words as they are looked up: in lower case where the tokenizer would come to the same ids."""
-        if not self.fold:
+    def _words(self, text: bytes) -> list[bytes] | None:
+        """The words as they are looked up, in lower case where the tokenizer would come to the same ids; None
+        for a text that may name a special token."""
+        folded = text.translate(LOWER)
+        if any(s in folded for s in self.specials):
+            return None
+        if self.fold is None:
             return text.split()
         if any(m in text for m in MARKS):
-            return [w.translate(self.fold) if w.isascii() else w for w in text.split()]
-        return text.translate(self.fold).split()
+            return [w.translate(LOWER) if w.isascii() else w for w in text.split()]
+        return folded.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
+        """Little-endian ids of UTF-8 texts."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
+            self.pieces.clear()
         split = [self._words(t) for t in texts]
-        self._learn(list({w for words in split for w in words}.difference(self.known)))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        self._learn(list(set().union(*filter(None, split)).difference(self.known)))
+        known = self.known.__getitem__
+        return [
+            self._ids(t.decode()).tobytes() if words is None else b"".join(map(known, words))
+            for t, words in zip(texts, split, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
-def coder(tokenizer_file: str, fold_case: bool) -> WordCoder:
+def coder(tokenizer_file: str, fold_case: bool, unit: str) -> WordCoder:
     """The coder of this process."""
-    return WordCoder(tokenizer_file, fold_case)
+    return WordCoder(tokenizer_file, fold_case, unit)
 
 
 def id_type(tokenizer_file: str) -> str:
@@ -136,13 +192,13 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, fold_case: bool
 
     `fold_case` says that the tokenizer lower-cases, so that words may be met in lower case.
     """
-    unit, wide = id_type(tokenizer_file), id_type(tokenizer_file) == "<u4"
+    unit = id_type(tokenizer_file)
     end = np.array([end_id], unit).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = coder(tokenizer_file, fold_case)
+        words = coder(tokenizer_file, fold_case, unit)
         for chunk in text_chunks(batches):
-            ids = [(i if wide else np.frombuffer(i, "<u4").astype(unit).tobytes()) + end for i in words.encode(bytes_of(chunk))]
+            ids = [i + end for i in words.encode(bytes_of(chunk))]
             yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
