@@ -186,7 +186,7 @@ def implied_for_roles(
     Level accumulation and alias look-up happen while the (small, fixed) dictionary is
     turned into a literal, so a row costs one look-up per role.
     """
-    aliases = aliases if aliases is not None else V.alias_dictionary(role_skills)
+    aliases = aliases if aliases is not None else V.alias_dictionary()
     nothing = F.array().cast("array<string>")
     lists = {
         f"{role}|{lv}": [V.normalize(n, aliases) for n in V.implied(role, lv, role_skills)]
@@ -205,7 +205,7 @@ def enhance_skills(
     aliases: Mapping[str, str] | None = None,
 ) -> Column:
     """K7: struct<extracted, implied, final, roles, seniority>; final keeps first-seen order."""
-    aliases = aliases if aliases is not None else V.alias_dictionary(role_skills)
+    aliases = aliases if aliases is not None else V.alias_dictionary()
 
     def build(found: Column) -> Column:
         implied = implied_for_roles(found["roles"], found["seniority"], role_skills, aliases)

@@ -4,8 +4,8 @@ A *phrase* is plain lower-case text; it stands for the regular expression
 ``\\b`` + phrase with every blank read as optional white space + ``\\b``
 (`phrase_regex`). Everything that follows mechanically from the tables - regexes,
 token gates, the alias dictionary, the implied skills per role and level - is built
-by rule from them, and the big dictionaries can be replaced by files
-(`postmill.sources.dictionaries`).
+by rule from them. Whole dictionaries of aliases and of skills by role are inputs: files
+(`postmill.sources.dictionaries`) or tables (`postmill.operators.dictionary`).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ class Skill:
     """One tagging rule.
 
     `words`: phrases that tag the skill and are also aliases of its name.
-    `tags`: phrases that only tag. `aliases`: spellings that are only aliases.
+    `tags`: phrases that only tag.
     `unless`: (phrase, continuation): the phrase tags unless the continuation regex follows.
     `regexes`: (stems, regex) pairs for the few rules that are no phrase.
     """
@@ -30,7 +30,6 @@ class Skill:
     name: str
     words: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
-    aliases: tuple[str, ...] = ()
     unless: tuple[tuple[str, str], ...] = ()
     regexes: tuple[tuple[str, str], ...] = ()
 
@@ -40,13 +39,13 @@ SKILLS: tuple[Skill, ...] = (
     Skill("JavaScript", ("javascript", "js", "vanilla js", "ecmascript"), ("ecmscript", "emascript", "emscript")),
     Skill("TypeScript", ("typescript", "ts"), ("type script",)),
     Skill("Python", ("python", "python3", "py")),
-    Skill("Java", ("java se", "java ee", "jdk", "jre"), aliases=("java",), unless=(("java", r"\s*script"),)),
+    Skill("Java", ("java se", "java ee", "jdk", "jre"), unless=(("java", r"\s*script"),)),
     Skill("C#", ("c#", "csharp", "c-sharp", "dotnet", ".net")),
     Skill("C++", ("c++", "cplusplus", "cpp")),
     Skill("PHP", ("php",), regexes=(("php", r"\bphp\d+\b"),)),
-    Skill("Ruby", ("rb",), aliases=("ruby",), unless=(("ruby", r"\s*on\s*rails"),)),
-    Skill("Go", ("golang",), aliases=("go",), regexes=(("go", r"\bgo\s+(?:lang|programming|language|developer|dev)\b"),)),
-    Skill("Rust", aliases=("rust",), unless=(("rust", r"\s"),), regexes=(("rust", r"\brust\s+(?:lang|programming|language)\b"),)),
+    Skill("Ruby", ("rb",), unless=(("ruby", r"\s*on\s*rails"),)),
+    Skill("Go", ("golang",), regexes=(("go", r"\bgo\s+(?:lang|programming|language|developer|dev)\b"),)),
+    Skill("Rust", unless=(("rust", r"\s"),), regexes=(("rust", r"\brust\s+(?:lang|programming|language)\b"),)),
     Skill("Swift", ("swift",), ("swift ui", "ios swift")),
     Skill("Kotlin", ("kotlin",), ("kotlin native",)),
     Skill("Scala", ("scala",)),
@@ -56,9 +55,9 @@ SKILLS: tuple[Skill, ...] = (
     Skill("HTML", ("html", "html5"), ("markup",)),
     Skill("CSS", ("css", "css3"), ("stylesheet", "styling")),
     Skill("Sass", ("sass", "scss", "less", "stylus")),
-    Skill("Bootstrap", ("bootstrap",), aliases=("bs",), regexes=(("bs", r"\bbs\d+\b"),)),
+    Skill("Bootstrap", ("bootstrap",), regexes=(("bs", r"\bbs\d+\b"),)),
     Skill("Tailwind CSS", ("tailwind", "tailwindcss"), ("tailwind css",)),
-    Skill("Material-UI", ("mui", "material design"), ("material ui",), aliases=("material-ui",)),
+    Skill("Material-UI", ("mui", "material design"), ("material ui",)),
     Skill("Redux", ("redux", "redux toolkit", "rtk")),
     Skill("jQuery", ("jquery", "jq")),
     Skill("Build Tools", ("webpack", "vite", "parcel", "rollup")),
@@ -73,7 +72,7 @@ SKILLS: tuple[Skill, ...] = (
     Skill("FastAPI", ("fastapi", "fast api")),
     Skill("NestJS", ("nestjs", "nest.js", "nest framework")),
     Skill("MySQL", ("mysql", "my sql", "mariadb")),
-    Skill("PostgreSQL", ("postgresql", "postgres", "psql"), aliases=("pg",)),
+    Skill("PostgreSQL", ("postgresql", "postgres", "psql")),
     Skill("MongoDB", ("mongodb", "mongo", "nosql")),
     Skill("Redis", ("redis", "caching", "memcached")),
     Skill("Elasticsearch", ("elasticsearch", "elastic", "es", "elk")),
@@ -89,7 +88,7 @@ SKILLS: tuple[Skill, ...] = (
     Skill("Cloud Hosting", ("heroku", "digital ocean", "linode")),
     Skill("Docker", ("docker", "containerization", "container")),
     Skill("Kubernetes", ("kubernetes", "k8s", "orchestration")),
-    Skill("CI/CD", ("jenkins", "ci cd", "continuous integration"), aliases=("ci/cd",)),
+    Skill("CI/CD", ("jenkins", "ci cd", "continuous integration")),
     Skill("GitLab", ("gitlab", "gitlab ci")),
     Skill("GitHub", ("github", "github actions")),
     Skill("Terraform", ("terraform", "infrastructure as code", "iac")),
@@ -107,13 +106,13 @@ SKILLS: tuple[Skill, ...] = (
     Skill("API Development", ("api", "webservice", "web service")),
     Skill("Agile", ("agile", "scrum", "kanban")),
     Skill("DevOps", ("devops", "sre", "site reliability")),
-    Skill("Machine Learning", ("machine learning", "ml", "artificial intelligence"), aliases=("ai",)),
+    Skill("Machine Learning", ("machine learning", "ml", "artificial intelligence")),
     Skill("Data Science", ("data science",), ("data analysis", "analytics")),
     Skill("Big Data", ("big data", "hadoop", "spark", "kafka")),
-    Skill("Data Analysis", ("pandas", "numpy", "scikit", "tensorflow", "pytorch"), aliases=("data analysis", "analytics")),
-    Skill("Data Visualization", ("tableau", "power bi", "loker", "data visual"), aliases=("powerbi",)),
+    Skill("Data Analysis", ("pandas", "numpy", "scikit", "tensorflow", "pytorch")),
+    Skill("Data Visualization", ("tableau", "power bi", "loker", "data visual")),
     Skill("Project Management", ("project management",), ("jira", "confluence")),
-    Skill("SQL", ("query", "database"), aliases=("sql",), unless=(("sql", r"\s*server"),)),
+    Skill("SQL", ("query", "database"), unless=(("sql", r"\s*server"),)),
     Skill("Linux", ("linux", "unix", "bash", "shell")),
     Skill("WebSockets", ("websocket", "socket.io", "real-time"), ("realtime",)),
     Skill("State Management", ("redux saga", "redux thunk", "state management")),
@@ -127,8 +126,22 @@ SKILLS: tuple[Skill, ...] = (
     Skill("Mobile Development", ("mobile dev", "mobile app", "app development")),
 )
 
-# Aliases that follow neither from a tagging phrase nor from a skill's own name.
-EXTRA_ALIASES: dict[str, str] = {
+# Spellings of skills that are no tagging phrases.
+ALIASES: dict[str, str] = {
+    "java": "Java",
+    "ruby": "Ruby",
+    "go": "Go",
+    "rust": "Rust",
+    "bs": "Bootstrap",
+    "material-ui": "Material-UI",
+    "pg": "PostgreSQL",
+    "ci/cd": "CI/CD",
+    "ai": "Machine Learning",
+    "data analysis": "Data Analysis",
+    "analytics": "Data Analysis",
+    "powerbi": "Data Visualization",
+    "sql": "SQL",
+    "flutter": "Flutter",
     "jira": "JIRA",
     "confluence": "Confluence",
     "inclusive design": "Accessibility",
@@ -361,24 +374,13 @@ def phrase_regex(phrase: str, literal: bool = True, space: str = r"\s", edges: t
     return edges[0] + f"{space}*".join(parts) + edges[1]
 
 
-def alias_dictionary(role_skills: RoleSkills = ROLE_SKILLS, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Lower-case spelling -> canonical skill name.
+def alias_dictionary(overrides: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Lower-case spelling -> canonical skill name: every tagging phrase's skill, then `ALIASES`.
 
-    Built by rule: a role skill's own lower-case name, then every tagging phrase,
-    then the listed extras; later entries win. `overrides` (a full dictionary file, say)
-    is applied last.
+    `overrides` (a full dictionary file, say) is applied last.
     """
-    aliases: dict[str, str] = {}
-    for levels in role_skills.values():
-        for level in LEVELS:
-            for name in levels.get(level, ()):
-                aliases.setdefault(name.lower(), name)
-    for skill in SKILLS:
-        for spelling in skill.words + skill.aliases:
-            aliases[spelling] = skill.name
-    aliases.update(EXTRA_ALIASES)
-    aliases.update(overrides or {})
-    return aliases
+    aliases = {spelling: skill.name for skill in SKILLS for spelling in skill.words}
+    return {**aliases, **ALIASES, **(overrides or {})}
 
 
 def normalize(skill: str, aliases: Mapping[str, str]) -> str:

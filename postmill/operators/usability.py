@@ -66,6 +66,14 @@ def task_efficiency(df: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def names_of(df: DataFrame, column: str, most: int = 1000) -> list[object]:
+    """The values of a column that is to become columns; more than `most` are no table and are refused."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
 def matrix(df: DataFrame, rows: str, columns: str, names: Sequence[object], value: str) -> DataFrame:
     """M5/M6: pivot with the listed column values; the first observation (by value) fills a cell.
 
@@ -74,11 +82,17 @@ def matrix(df: DataFrame, rows: str, columns: str, names: Sequence[object], valu
     return df.groupBy(rows).pivot(columns, list(names)).agg(F.min(value))
 
 
-def click_matrix(df: DataFrame, users: Sequence[object], expected: DataFrame) -> DataFrame:
-    """M5: task x user clicks, the mean of the task and its expected clicks (null where `expected` lacks the task)."""
-    cells = matrix(df, "task", "user", users, "clicks")
-    mean = df.groupBy("task").agg(one_decimal(F.avg("clicks")).alias("mean_clicks"))
-    return cells.join(mean, "task").join(expected, "task", "left")
+def click_matrix(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """M5: clicks of every user (rows) at every task (columns), then the tasks' means and expected clicks.
+
+    Users are as many as the data, tasks a few: so users are the rows. `line` says what a row is.
+    """
+    tasks = names_of(df, "task")
+    shown = lambda rows, line: rows.select(line.alias("line"), *[F.col(f"`{t}`").cast("double").alias(t) for t in tasks])
+    users = shown(matrix(df, "user", "task", tasks, "clicks"), F.concat(F.lit("user "), F.col("user").cast("string")))
+    means = shown(df.groupBy().pivot("task", tasks).agg(one_decimal(F.avg("clicks"))), F.lit("mean"))
+    goals = shown(expected.groupBy().pivot("task", tasks).agg(F.min("expected")), F.lit("expected"))
+    return users.unionByName(means).unionByName(goals)
 
 
 def click_cells(df: DataFrame, expected: DataFrame) -> DataFrame:

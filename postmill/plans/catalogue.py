@@ -445,7 +445,9 @@ def search_star(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def replace_flat(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = P.tagged_postings(spark, sf).select("arrival", "feed", "posting_id", "url", "title", "skills")
+    # Staged: the decisions read keys several times, the texts behind them once.
+    shown = P.tagged_postings(spark, sf).select("arrival", "feed", "posting_id", "url", "title", "skills")
+    tagged = ingest.staged(shown, f"{ingest.shared_folder(spark)}/tagged")
     before = _stored(tagged).drop("feed")
     last = before.groupBy("url").agg(F.max("arrival").alias("arrival")).select("arrival")
     stored = before.join(last, "arrival", "left_semi").drop("arrival")
@@ -624,13 +626,14 @@ def skill_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def frontier_linkedin(spark: SparkSession, sf: str) -> DataFrame:
+def frontier_by_board(spark: SparkSession, sf: str) -> DataFrame:
     terms = read_table(spark, f"{sf}/part.parquet").select(F.col("p_name").alias("term"))
     places = read_table(spark, f"{sf}/nation.parquet").select(F.col("n_name").alias("location"))
-    return frontier.search_frontier(terms, places, "LinkedIn", n_terms=5, per_term=2, total=10, seed=3)
-
-
-QUERIES["frontier"] = QUERIES.pop("frontier_linkedin")
+    plans = [
+        frontier.search_frontier(terms, places, board, n_terms=5, per_term=2, total=10, seed=k).withColumn("source", F.lit(board))
+        for k, board in enumerate(P.SOURCES)
+    ]
+    return dedup.append_sources(*plans)
 
 
 # --- pages ----------------------------------------------------------------------------------
@@ -793,29 +796,23 @@ def task_efficiency(spark: SparkSession, sf: str) -> DataFrame:
     return U.task_efficiency(seen, _expected_clicks(seen))
 
 
-TASKS = ("click", "view", "purchase", "error", "signup")
-
-# Users are as many as the data; the columns of the matrix are the panels they are dealt into.
-PANELS = tuple(f"panel {k}" for k in range(8))
-
-
 @query
 def pivot_clicks(spark: SparkSession, sf: str) -> DataFrame:
     seen = P.observations(spark, sf)
-    panel = F.concat(F.lit("panel "), (F.col("user") % len(PANELS)).cast("string"))
-    return U.click_matrix(seen.withColumn("user", panel), PANELS, _expected_clicks(seen))
+    return U.click_matrix(seen, _expected_clicks(seen))
 
 
 @query
 def clicks_by_task_user(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user's clicks, which `pivot_clicks` folds into panels."""
+    """The same in long form."""
     seen = P.observations(spark, sf)
     return U.click_cells(seen, _expected_clicks(seen))
 
 
 @query
 def pivot_status(spark: SparkSession, sf: str) -> DataFrame:
-    return U.matrix(P.observations(spark, sf), "user", "task", TASKS, "status")
+    seen = P.observations(spark, sf)
+    return U.matrix(seen, "user", "task", U.names_of(seen, "task"), "status")
 
 
 @query
@@ -835,9 +832,31 @@ def _posting_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
 
 @query
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The first whole row of each signature over three micro-batches, restarted in between, of urls that an
+    earlier run did not store."""
+    folder = ingest.shared_folder(spark)
+    table = ingest.staged(P.tagged_postings(spark, sf), f"{folder}/tagged")
+    store = S.PostingStore(spark, f"{folder}/star")
+    store.append(_stored(table), _run_time(1), "earlier")
+    arriving = _arriving(table).drop("posting_no", "feed", "posting_id", "extracted_at")
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/arrivals/part=*")
+    stamped = stream.withColumn("extracted_at", P.as_of())
+    kept = ingest.stream_first_rows(stamped, store.urls())
+    for k in range(3):
+        arriving.filter(F.col("arrival") % 3 == k).coalesce(1).write.parquet(f"{folder}/arrivals/part={k}")
+        found = ingest.drain_to_table(kept, folder, "kept")
+    return found.select(
+        "arrival", "signature", "url", "title", "company", "location", "source", "job_type", "salary",
+        F.md5("description").alias("description"), _joined("skills").alias("skills"), _ts("posted_at").alias("posted_at"),
+    )
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """postings of the last week, from a stream."""
     folder = ingest.shared_folder(spark)
-    kept = ingest.stream_dedup(_posting_stream(spark, sf, folder)).select("signature")
-    return ingest.drain_to_table(kept, folder, "kept")
+    young = ingest.drop_late(_posting_stream(spark, sf, folder), 7, P.as_of())
+    return ingest.drain_to_table(young.select("arrival", "url", _ts("posted_at").alias("posted_at")), folder, "young")
 
 
 @query

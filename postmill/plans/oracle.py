@@ -653,11 +653,27 @@ FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)"""
     out["url_union"] = f"WITH {VIEW} SELECT DISTINCT url FROM raw"
     out["skill_difference"] = f"""WITH {ENHANCED} SELECT posting_no,
   {joined(ordered_distinct('list_filter(imp_all, lambda x: NOT list_contains(ext, x))'))} AS added FROM enhanced"""
-    out["frontier"] = """WITH t AS (SELECT term, row_number() OVER (ORDER BY md5('3:' || term), term) AS tr FROM (SELECT DISTINCT p_name AS term FROM part)),
-l AS (SELECT location, row_number() OVER (ORDER BY md5('3:' || location), location) AS lr FROM (SELECT DISTINCT n_name AS location FROM nation)),
-x AS (SELECT (tr - 1) * 2 + lr - 1 AS position, term, location FROM t, l WHERE tr <= 5 AND lr <= 2)
-SELECT position, term, location, 'https://www.linkedin.com/jobs/search?keywords=' || replace(term, ' ', '+') || '&location=' || location ||
-  '&f_TPR=' || CASE WHEN position % 2 = 0 THEN 'r86400' ELSE 'r259200' END || '&f_JT=F&sortBy=DD' AS url FROM x WHERE position < 10"""
+    enc = lambda c: f"replace(replace({c}, ' ', '%20'), '#', '%23')"
+    plus = lambda c: f"replace(replace({c}, ' ', '+'), '#', '%23')"
+    kebab = lambda c: f"regexp_replace(lower({c}), '\\s+', '-', 'g')"
+    addresses = {
+        "LinkedIn": f"'https://www.linkedin.com/jobs/search?keywords=' || {plus('term')} || '&location=' || {plus('location')} || "
+        "'&f_TPR=' || CASE WHEN position % 2 = 0 THEN 'r86400' ELSE 'r259200' END || '&f_JT=F&sortBy=DD'",
+        "Indeed": f"'https://www.indeed.com/jobs?q=' || {enc('term')} || '&l=' || {enc('location')} || '&fromage=7&sort=date'",
+        "Glassdoor": "'https://www.glassdoor.com/Job/jobs.htm?suggestCount=0&suggestChosen=false&clickSource=searchBtn&typedKeyword=' || "
+        f"{enc('term')} || '&sc.keyword=' || {enc('term')} || '&locT=C&locId=&jobType=&context=Jobs&dropdown=0'",
+        "Wuzzuf": f"'https://wuzzuf.net/search/jobs/?q=' || {kebab('term')}",
+        "Bayt": f"'https://www.bayt.com/en/' || {kebab('location')} || '/jobs/' || {kebab('term')} || '-jobs/'",
+    }
+    plans = [
+        f"""SELECT position, term, location, {addresses[name]} AS url, '{name}' AS source FROM (
+  SELECT (tr - 1) * 2 + lr - 1 AS position, term, location FROM
+    (SELECT term, row_number() OVER (ORDER BY md5('{k}:' || term), term) AS tr FROM (SELECT DISTINCT p_name AS term FROM part)),
+    (SELECT location, row_number() OVER (ORDER BY md5('{k}:' || location), location) AS lr FROM (SELECT DISTINCT n_name AS location FROM nation))
+  WHERE tr <= 5 AND lr <= 2)"""
+        for k, name in enumerate(P.SOURCES)
+    ]
+    out["frontier_by_board"] = " UNION ALL ".join(plans)
     board = _pick(P.SOURCES, "page_id")
     out["page_titles"] = f"SELECT page_id, trim({decoded(TITLE_SQL)}) AS title FROM pages"
     anchors = "unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', {}))"
@@ -741,9 +757,11 @@ a AS (SELECT task, floor(avg(clicks) * 10 + 0.5) / 10 AS actual FROM obs GROUP B
 SELECT a.task, expected, actual, round(actual - expected, 1) AS difference,
   CASE WHEN actual - expected <= 1 THEN 'top' WHEN actual - expected <= 2 THEN 'middle' ELSE 'low' END AS band FROM a JOIN e USING (task)"""
     tasks = ("click", "view", "purchase", "error", "signup")
-    cells = ", ".join(f"min(clicks) FILTER (\"user\" % 8 = {k}) AS \"panel {k}\"" for k in range(8))
-    out["pivot_clicks"] = f"""WITH {OBS} SELECT task, {cells}, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks,
-  max(clicks) FILTER (status = 'C') - 1 AS expected FROM obs GROUP BY 1"""
+    cells = lambda e: ", ".join(f"CAST({e} FILTER (task = '{t}') AS DOUBLE) AS \"{t}\"" for t in tasks)
+    means = ", ".join(f"floor(avg(clicks) FILTER (task = '{t}') * 10 + 0.5) / 10" for t in tasks)
+    goals = ", ".join(f"CAST(max(clicks) FILTER (task = '{t}' AND status = 'C') - 1 AS DOUBLE)" for t in tasks)
+    out["pivot_clicks"] = f"""WITH {OBS} SELECT 'user ' || "user" AS line, {cells('min(clicks)')} FROM obs GROUP BY "user"
+UNION ALL SELECT 'mean', {means} FROM obs UNION ALL SELECT 'expected', {goals} FROM obs"""
     out["clicks_by_task_user"] = f"""WITH {OBS}, t AS (SELECT task, floor(avg(clicks) * 10 + 0.5) / 10 AS mean_clicks,
   max(clicks) FILTER (status = 'C') - 1 AS expected FROM obs GROUP BY 1)
 SELECT task, "user", min(clicks) AS clicks, mean_clicks, expected FROM obs JOIN t USING (task) GROUP BY ALL"""
@@ -754,7 +772,11 @@ g AS (SELECT task, i.score FROM c, (VALUES (1), (2), (3), (4), (5)) i(score)),
 n AS (SELECT task, score, count(*) AS n FROM obs GROUP BY ALL)
 SELECT g.task, g.score, coalesce(n.n, 0) AS n, CAST(floor(100.0 * coalesce(n.n, 0) / all_n + 0.5) AS BIGINT) AS percent,
   round(m, 1) AS mean FROM g JOIN c USING (task) LEFT JOIN n ON n.task = g.task AND n.score = g.score"""
-    out["stream_dedup"] = f"WITH {VIEW} SELECT DISTINCT {signature('title', 'company')} AS signature FROM raw"
+    out["stream_dedup"] = f"""WITH {TAGGED}, run AS (SELECT *, {signature('title', 'company')} AS signature FROM tagged WHERE feed >= 'src15'
+  AND url NOT IN (SELECT url FROM tagged WHERE feed < 'src15'))
+SELECT arrival, signature, url, title, company, location, source, job_type, salary, md5(description) AS description, {joined('skills')} AS skills,
+  {ts('posted_at')} AS posted_at FROM run QUALIFY row_number() OVER (PARTITION BY signature ORDER BY arrival % 3, arrival) = 1"""
+    out["stream_late_rows"] = f"""WITH {TAGGED} SELECT arrival, url, {ts('posted_at')} AS posted_at FROM tagged WHERE posted_at >= {AS_OF} - to_days(7)"""
     out["stream_upsert"] = f"""WITH {TAGGED}, run AS (SELECT *, {signature('title', 'company')} AS signature FROM tagged),
 stored AS (SELECT url FROM tagged WHERE false),{DEDUP}
 SELECT md5(url) AS posting_id, url, source, title, company, location, salary, {to_store('job_type')} AS job_type, md5(description) AS description,

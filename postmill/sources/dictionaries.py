@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from postmill.functions import vocabulary as V
 
-MAX_BYTES = 16 * 1024 * 1024
+#: A dictionary that is read into a plan; a larger one is a table (`operators.dictionary`).
+MAX_CHARS = 16 * 1024 * 1024
 
 
 def _json_pairs(spark: SparkSession, path: str) -> list[tuple[str, object]]:
-    row = spark.read.text(path, wholetext=True).filter(F.length("value") <= MAX_BYTES).first()
-    if row is None:
-        raise ValueError(f"{path}: no dictionary of at most {MAX_BYTES} characters")
-    return json.loads(row.value, object_pairs_hook=lambda pairs: pairs)
+    size, text = F.length("value"), F.when(F.length("value") <= MAX_CHARS, F.col("value"))
+    rows = spark.read.text(path, wholetext=True).select(size.alias("size"), text.alias("text")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: expected one file, found {'none' if not rows else 'several'}")
+    if rows[0]["text"] is None:
+        raise ValueError(f"{path}: {rows[0]['size']} characters; read a dictionary of more than {MAX_CHARS} as a table")
+    return json.loads(rows[0]["text"], object_pairs_hook=lambda pairs: pairs)
 
 
 def read_aliases(spark: SparkSession, path: str) -> dict[str, str]:

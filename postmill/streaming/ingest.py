@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postmill.functions.text import signature
 from postmill.operators.dedup import dedup_run
@@ -117,10 +119,41 @@ def read_runs(spark: SparkSession, store_root: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(f"{store_root}/runs/run=*")
 
 
-def stream_dedup(postings: DataFrame, time: str = "extracted_at", delay: str = "1 hour", unicode: bool = False) -> DataFrame:
-    """first row of each signature; state is dropped once the watermark has passed it."""
+def stream_first_rows(
+    postings: DataFrame,
+    known: DataFrame,
+    time: str = "extracted_at",
+    hold: str = "1 hour",
+    order: str = "arrival",
+    unicode: bool = False,
+) -> DataFrame:
+    """the whole first row of each signature, of urls that are not `known`.
+
+    Of a micro-batch the row with the lowest `order` counts; a signature then blocks later rows for `hold`
+    after the time of that row, when the watermark lets it go. Rows behind the watermark are dropped. The
+    state of a signature is its expiry alone, and its rows are looked at one chunk at a time.
+    """
     keyed = postings.withColumn("signature", signature(F.col("title"), F.col("company"), unicode))
-    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["signature"])
+    fresh = keyed.withWatermark(time, hold).join(known.select("url").distinct(), "url", "left_anti")
+    held = round(pd.Timedelta(hold).total_seconds() * 1000)
+
+    def first(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for chunk in chunks:
+            head = chunk.nsmallest(1, order)
+            if best is None or head[order].iloc[0] < best[order].iloc[0]:
+                best = head
+        if best is not None and not state.exists:
+            until = int(best[time].iloc[0].timestamp() * 1000) + held
+            state.update((until,))
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+            yield best
+
+    grouped = fresh.groupBy("signature")
+    return grouped.applyInPandasWithState(first, fresh.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drop_late(postings: DataFrame, max_age_days: int, now: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions import vocabulary as V
 from postmill.operators import dictionary, enrich, matching
 from postmill.plans import posting_view as P
-from postmill.sources.dictionaries import alias_table, role_skills_table
+from postmill.sources.dictionaries import alias_table, read_aliases, role_skills_table
 
 
 def test_tables_equal_the_literal_form(spark):
@@ -104,3 +104,13 @@ def test_matches_equal_a_loop(spark, min_score, split):
 
 def test_aliases_are_data(spark):
     assert len(V.alias_dictionary()) == alias_table(spark).count()
+    assert all(spelling == spelling.lower() for spelling in V.alias_dictionary())
+
+
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text('{"x": "Y", "x": "Z", "k": "L"}')
+    assert read_aliases(spark, str(tmp_path / "a")) == {"x": "Z", "k": "L"}
+    (tmp_path / "a" / "two.json").write_text("{}")
+    with pytest.raises(ValueError, match="several"):
+        read_aliases(spark, str(tmp_path / "a"))

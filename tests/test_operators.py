@@ -262,8 +262,10 @@ def test_usability_metrics(spark):
     e = U.task_efficiency(clicks, spark.createDataFrame([("t", 8)], "task string, expected long")).first()
     assert (e.actual, e.difference, e.band) == (9.4, 1.4, "middle")
     expected = spark.createDataFrame([("t0", 8)], "task string, expected long")
-    m = {r.task: (r["u"], r.mean_clicks, r.expected) for r in U.click_matrix(df, ["u"], expected).collect()}
-    assert m["t0"] == (9, 9.0, 8) and m["t1"] == (8, 8.0, None)
+    m = {r.line: (r.t0, r.t1) for r in U.click_matrix(df, expected).collect()}
+    assert m == {"user u": (9.0, 8.0), "mean": (9.0, 8.0), "expected": (8.0, None)}
+    with pytest.raises(ValueError):
+        U.names_of(df, "task", most=2)
     scores = spark.createDataFrame([(s,) for s in (5, 5, 5, 4, 4, 4, 4, 3, 3, 3)], "score int")
     got = {r.score: (r.n, r.percent, r["mean"]) for r in U.likert_summary(scores).collect()}
     assert got == {1: (0, 0, 4.0), 2: (0, 0, 4.0), 3: (3, 30, 4.0), 4: (4, 40, 4.0), 5: (3, 30, 4.0)}

@@ -80,12 +80,21 @@ def test_streams_add_to_a_store_that_others_fill(spark, tmp_path):
     assert ends["a", "0"].until == ends["a", "1"].since
 
 
-def test_stream_dedup_keeps_first_of_signature(spark, tmp_path):
+def test_first_rows_of_signatures_over_batches_and_restarts(spark, tmp_path):
     src = str(tmp_path / "in")
-    spark.createDataFrame(rows((1, "Alpha", "u1"), (2, "Alpha", "u2"), (3, "Beta", "u3")), COLUMNS).write.parquet(src)
-    stream = ingest.stream_dedup(spark.readStream.schema(COLUMNS).parquet(src)).select("signature")
-    kept = ingest.drain_to_table(stream, str(tmp_path), "out")
-    assert sorted(r.signature for r in kept.collect()) == ["alpha::c", "beta::c"]
+    known = spark.createDataFrame([("known",)], "url string")
+    stream = ingest.stream_first_rows(spark.readStream.schema(COLUMNS).parquet(src), known)
+    arrive = lambda *items: spark.createDataFrame(rows(*items), COLUMNS).coalesce(1).write.mode("append").parquet(src)
+    drain = lambda: {(r.arrival, r.signature, r.url, tuple(r.skills)) for r in ingest.drain_to_table(stream, str(tmp_path), "out").collect()}
+    arrive((2, "Alpha", "u2"), (1, "Alpha", "u1"), (3, "Beta", "known"), (4, "Gamma", "u4"))
+    first = {(1, "alpha::c", "u1", ("SQL",)), (4, "gamma::c", "u4", ("SQL",))}
+    assert drain() == first
+    arrive((5, "Alpha", "u5"), (6, "Beta", "u6"))  # a restart: alpha is still held, beta's first row was known
+    assert drain() == first | {(6, "beta::c", "u6", ("SQL",))}
+    arrive((200, "Delta", "u7"))  # the watermark is now at minute 140: alpha is let go, what comes before it is late
+    drain()
+    arrive((210, "Alpha", "u8"), (100, "Late", "u9"))
+    assert {r[0] for r in drain()} == {1, 4, 6, 200, 210}
 
 
 def page(no, url, title, when="2 days ago"):
