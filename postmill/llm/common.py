@@ -49,6 +49,14 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session go to Python at `BATCH_BYTES` at most.
+
+    For frames that their caller executes, after the operator has returned. Results do not depend on it.
+    """
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Within it, Arrow batches go to Python at `BATCH_BYTES` at most (a larger single row alone)."""
@@ -72,6 +80,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
             taken += size
         if first < len(sizes):
             yield batch.slice(first)
+    pa.default_memory_pool().release_unused()  # the worker stays and serves other tasks
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
