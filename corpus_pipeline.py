@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage reads what the one before kept and writes Parquet for the next."""
+"""A corpus pipeline: each stage reads what the one before kept and writes Parquet for the next.
+
+Edge cases, in every stage: a null or empty text is clean, has no near duplicate, no passage and no secret, and
+has no ids; texts of any length are taken whole; an empty table stays empty. Columns other than those of
+documents are dropped, whatever their names. Rows are kept or dropped one by one, equal rows alike, but for near
+duplicates, where ids decide: rows that repeat a doc_id share its fate, and rows without one stay.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import byte_bpe, decontaminate, near_duplicates, secret_scan, toxicity
-from postmill.llm.common import shared_folder, table
+from postmill.llm.common import limit_batches, shared_folder, table
 
 #: Columns of documents; all but the last stage return them.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,12 +54,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(docs, path, public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("secret_scan", mask_secrets),
-    ("byte_bpe", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage, with small batches on the way to its Python workers."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        limit_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", bounded(drop_toxic)),
+    ("near_duplicates", bounded(drop_near_duplicates)),
+    ("decontamination", bounded(drop_contaminated)),
+    ("secret_scan", bounded(mask_secrets)),
+    ("byte_bpe", bounded(encode)),
 ]
 
 #: A trained classifier, hashed signatures and merges are beyond SQL; tests hold the stages against brute force.
