@@ -11,8 +11,13 @@ of them at once. No place within the budget is missed.
 The benchmark is shipped to the tasks in blocks of at most `BLOCK_CHARS` characters, one pass over the
 documents each; documents are never shuffled.
 
-Edge cases: null or empty texts on either side match nothing; items shorter than 40 normalised
-characters cannot be told from chance and are not searched; repeated documents and equal items each
+An item of fewer than 40 normalised characters has no room for edits: it is found where it stands letter for
+letter between word bounds, by one automaton over all such items.
+
+Hits are counted slice by slice of a text and a band is closed when the text has passed it, so a q-gram that
+all probes share costs time and no memory.
+
+Edge cases: null or empty texts on either side match nothing; repeated documents and equal items each
 give their rows; an empty table on either side gives no rows. Other columns are ignored.
 """
 
@@ -34,6 +39,9 @@ EDITS_PERCENT = 8
 LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
 
+#: Hits that are expanded at a time.
+SLICE_HITS = 1 << 21
+
 #: Diagonals a band advances by; bands are twice as wide. More than the edits of a probe.
 BAND = 16
 
@@ -83,16 +91,24 @@ def qgrams(text: np.ndarray) -> np.ndarray:
     return done[: max(0, len(text) - Q + 1)]
 
 
+def spelt(text: np.ndarray) -> str:
+    """Code points as a string; `GAP` as the character 0, which no normalised text holds."""
+    return np.where(text == GAP, 0, text).astype("<u4").tobytes().decode("utf-32-le", "replace")
+
+
 class Probes:
     """The probes of some items and the index of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.edits, self.need = [], [], [], []
+        self.short: dict[str, list[int]] = {}  # items that are searched letter for letter
         grams, of, place = [], [], []
         for item_id, raw in items:
             text = normalised(points(raw or ""))[0]
             text = text[int(len(text) > 0 and text[0] == 32) : len(text) - int(len(text) > 1 and text[-1] == 32)]
             if len(text) < LEAST_CHARS:
+                if len(text) and text.tolist() != [32]:
+                    self.short.setdefault(spelt(text), []).append(item_id)
                 continue
             for at in sorted({*range(0, max(1, len(text) - PROBE + 1), STRIDE), max(0, len(text) - PROBE)}):
                 probe = text[at : at + PROBE]
@@ -114,20 +130,60 @@ class Probes:
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.grams)] = True
+        self.automaton = None
+        if self.short:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for words, ids in self.short.items():
+                self.automaton.add_word(words, (len(words), ids))
+            self.automaton.make_automaton()
+
+    def exact(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of every short item between word bounds of normalised text."""
+        if self.automaton is None:
+            return []
+        line = spelt(text)
+        bounds = " \x00"
+        return [
+            (item, last + 1 - size, last + 1)
+            for last, (size, ids) in self.automaton.iter(line)
+            if (last + 1 == size or line[last - size] in bounds) and (last + 1 == len(line) or line[last + 1] in bounds)
+            for item in ids
+        ]
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probe, diagonal) of every q-gram the text and a probe share."""
+    def bands(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, band) of the diagonal bands that hold as many shared q-grams as the lemma asks for."""
         grams = qgrams(text)
         near = np.flatnonzero(self.maybe[self._slot(grams)])
         at = np.minimum(np.searchsorted(self.grams, grams[near]), len(self.grams) - 1)
         same = self.grams[at] == grams[near]
         near, at = near[same], at[same]
-        counts = self.count[at]
-        each = np.repeat(self.first[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return self.of[each], np.repeat(near, counts) - self.place[each]
+        total = np.cumsum(self.count[at])
+        offset, span = 1 << 40, np.int64(1) << 41
+        keys, counts, found, done = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        while done < len(near):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SLICE_HITS, "right")))
+            place, gram = near[done:upto], at[done:upto]
+            n = self.count[gram]
+            each = np.repeat(self.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            probe, diagonal = self.of[each], np.repeat(place, n) - self.place[each]
+            here = probe * span + diagonal // BAND + offset
+            more, extra = np.unique(np.concatenate([here, here - 1]), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, extra]), len(keys)).astype(np.int64)
+            # Later places lie on later diagonals, but for the length of a probe.
+            done = upto
+            passed = (int(near[done]) - PROBE) // BAND - 1 + offset if done < len(near) else int(span)
+            closed = keys % span < passed
+            full = closed & (counts >= self.need[keys // span])
+            found.append(keys[full])
+            keys, counts = keys[~closed], counts[~closed]
+        full = np.concatenate([np.empty(0, np.int64), *found])
+        return full // span, full % span - offset
 
     def align(self, text: np.ndarray, probe: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each probe inside its band of diagonals, and where that alignment ends."""
@@ -156,13 +212,7 @@ class Probes:
         none = np.empty(0, np.int64)
         if not len(self.item) or len(text) < Q:
             return none, none, none
-        probe, diagonal = self.hits(text)
-        band = diagonal // BAND + (1 << 40)
-        span = np.int64(1) << 41
-        keys, counts = np.unique(np.concatenate([probe * span + band, probe * span + band - 1]), return_counts=True)
-        probe, band = keys // span, keys % span - (1 << 40)
-        full = counts >= self.need[probe]
-        probe, band = probe[full], band[full]
+        probe, band = self.bands(text)
         out = []
         for a in range(0, len(probe), 4096):
             p, b = probe[a : a + 4096], band[a : a + 4096]
@@ -194,6 +244,13 @@ def _matches(docs: DataFrame, items: list[tuple[int, str]], id_type: str) -> Dat
                 known = best.setdefault((d, item), [e, a, z, set()])
                 known[:3] = [min(known[0], e), min(known[1], a), max(known[2], z)]
                 known[3].add(p)
+            for item, a, z in probes.exact(text):
+                a, z = int(places[a]), int(places[z - 1]) + 1
+                d = int(np.searchsorted(begins, a, "right")) - 1
+                a, z = a - int(begins[d]), z - int(begins[d])
+                known = best.setdefault((d, item), [0, a, z, set()])
+                known[:3] = [0, min(known[1], a), max(known[2], z)]
+                known[3].add(-1)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([ids[d] for d, _ in best], pa.int64() if id_type == "long" else pa.string()),

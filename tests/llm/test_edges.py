@@ -82,7 +82,6 @@ def test_tokens(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     for fold in (False, True):
         path = shared_folder(spark)
         token_output.write_tokens(docs, path, WORD_BPE, END_ID, fold)
@@ -95,10 +94,10 @@ def test_folded_words_compose_as_in_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    texts = ["T\u0308 AND T\u0308A", "H\u0331J\u030cW\u030aY\u030a Plain", "A\u0300B \u00c0B ABC", "\u0130X STRASSE", "T\u0323\u0308"]
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>y", "<|ENDOFTEXT|> Z", "<|endoftext", "T\u0308 AND T\u0308A", "H\u0331J\u030cW\u030aY\u030a Plain", "A\u0300B \u00c0B ABC", "\u0130X STRASSE", "T\u0323\u0308"]
     want = [brute.u4(t.encode(x, add_special_tokens=False).ids) for x in texts]
-    assert token_output.WordCoder(WORD_BPE, True).encode([x.encode() for x in texts]) == want
+    for fold in (True, False):
+        assert token_output.WordCoder(WORD_BPE, fold).encode([x.encode() for x in texts]) == want
 
 
 def test_pack_round_trip():
@@ -297,3 +296,126 @@ def test_guessed_values():
 def test_masking(docs):
     got = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
     assert got[2] is None and got[3] == "" and "hunter2" not in got[None] and got[5] == LONG
+
+
+def test_a_host_falls_by_the_record_of_its_documents(spark):
+    """A clean document on a host of symbol junk falls by its host; a small host and a common weakness do not."""
+    clean = "Plain sentences with several ordinary words stand here so that no rule of quality is broken by any of them at all today."
+    junk = clean + " #### $$$$ %%%%"
+    rows = [(h * 1000 + i, f"host{h}", junk if i % 10 == 0 else clean) for h in range(12) for i in range(60)]
+    rows += [(50_000 + i, "junk", junk if i else clean) for i in range(60)]
+    rows += [(60_000, "small", junk), (60_001, "small", clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not got[50_000]["base_failed"] and not got[50_000]["kept"] and got[50_000]["host_failed"]
+    assert {i for i, r in got.items() if not r["kept"]} == {50_000 + i for i in range(60)}
+    # By hand: a host's posterior mean lies between its own rate and that of all hosts.
+    hosts = [6 / 60] * 12 + [59 / 60, 1 / 2]
+    m = sum(hosts) / 14
+    v = sum((h - m) ** 2 for h in hosts) / 14
+    s = max(1.0, m * (1 - m) / v - 1)
+    assert got[50_000]["rate_symbols"] == round((59 + m * s) / (60 + s), 9)
+    assert got[60_000]["rate_symbols"] == round((1 + m * s) / (2 + s), 9)
+
+
+def least_edits(probe, text):
+    """Least edits of the probe against any place of the text, bit-parallel."""
+    n, peq = len(probe), {}
+    for i, c in enumerate(probe):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    pv, mv, score = full, 0, n
+    best = n
+    for c in text:
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1) & full, (mh << 1) & full
+        pv, mv = mh | (full & ~(xv | ph)), ph & xv
+        best = min(best, score)
+    return best
+
+
+def test_every_probe_within_its_budget_is_found(spark, sf):
+    """Documents of the table against a loop over all probes, whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    probes = decontaminate.Probes([(r["item_id"], r["text"]) for r in items.collect()])
+    plain = lambda t: decontaminate.normalised(decontaminate.points(t or ""))[0].tolist()
+    flagged = {d for d, _ in got}
+    rows = docs.collect()
+    some = [r for r in rows if r["doc_id"] in flagged] + [r for r in rows if r["doc_id"] not in flagged and len(r["text"] or "") < 1200][:40]
+    want = set()
+    for r in some:
+        text = plain(r["text"])
+        near = {i for i, p, e in zip(probes.item, probes.text, probes.edits, strict=True) if least_edits(p.tolist(), text) <= e}
+        want |= {(r["doc_id"], i) for i in near}
+    assert want == {(d, i) for d, i in got if d in {r["doc_id"] for r in some}} and want
+
+
+def test_short_items_stand_between_word_bounds(spark):
+    items = [(1, "Is it so?"), (2, "Yes"), (3, "éa 7"), (4, "..."), (5, None)]
+    texts = [(1, "He said: IS IT SO, yes!"), (2, "Yesterday is it sold"), (3, "xéa 7, É-A éA 7"), (4, "yes"), (4, "no"), (None, "is  it\n so")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (1, 2), (3, 3), (4, 2), (None, 1)}
+    spans = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["distance"]) for r in found}
+    assert spans[1, 1] == (9, 17, 0) and texts[2][1][spans[3, 3][0] : spans[3, 3][1]] == "éA 7"
+
+
+def test_grams_that_all_items_share_take_bounded_memory():
+    import tracemalloc
+
+    template = "the answer to the question that is asked here follows from what was said in the passage above and is given by "
+    probes = decontaminate.Probes([(i, f"{template} number {i * 7919 % 99991}") for i in range(1000)])
+    text = decontaminate.normalised(decontaminate.points((template + "nothing. ") * 450))[0]
+    tracemalloc.start()
+    probe, _, _ = probes.search(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 50_000 and len({probes.item[p] for p in probe}) == 1000 and peak < 500_000_000, peak
+
+
+def test_prose_after_credential_words_is_left_alone():
+    prose = [
+        "The password is ephemeral", "auth: unmaintainable", "token: bioluminescent.", "password: Wörterbuch", "The secret is patience,",
+        "login: well-established", "your pin is photosynthesis", "pwd = CONTRASEÑA",
+    ]
+    assert [secret_scan.guessed_spans(t) for t in prose] == [[]] * len(prose)
+    secrets = ["password is qzxvkwjpbt", "pwd: xK7#mQ9!", "login: AbQzWxRtYp", "auth: tr0ub4dor&3xz"]
+    assert all(len(secret_scan.guessed_spans(t)) == 1 for t in secrets)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    import itertools
+    import math
+
+    ranks, _ = secret_scan.word_ranks()
+    part = math.log10(2)
+
+    def run_costs(value, low, i):
+        for j in range(i + 1, len(value) + 1):
+            kinds = {secret_scan._class(c) for c in value[i:j]}
+            size = sum(secret_scan.ALPHABETS[k.bit_length() - 1] for k in kinds)
+            yield j, part + (j - i) * math.log10(size)
+            for form in (low[i:j], low.translate(secret_scan.LEET)[i:j]):
+                if j - i > 1 and form in ranks:
+                    yield j, part + math.log10(ranks[form] * (1 + (value[i:j] != form)))
+        for same in (lambda a, b: a == b, lambda a, b: (a, b) in secret_scan.STEPS):
+            n = 1 + sum(1 for _ in itertools.takewhile(lambda k: same(low[k], low[k + 1]), range(i, len(low) - 1)))
+            if n > 2:
+                yield i + n, part + math.log10(50 * n)
+        if m := secret_scan.DATE.match(low, i):
+            yield m.end(), part + math.log10(365 * 150 if m.end() - i > 4 else 150)
+
+    def least(value, low, i=0):
+        return min((c + least(value, low, j) for j, c in run_costs(value, low, i)), default=0.0) if i < len(value) else 0.0
+
+    rng = random.Random(9)
+    pieces = ["pass", "word", "love", "1999", "aaa", "qwe", "x", "7", "#", "Z", "p4ss", "LOVE", "é", "0101"]
+    for _ in range(150):
+        value = "".join(rng.choices(pieces, k=3))[:9]
+        assert abs(secret_scan.guess_cost(value) - least(value, value.lower())) < 1e-9, value

@@ -96,3 +96,20 @@ def test_contaminated_rows_go_whatever_their_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
     assert sorted(kept, key=str) == sorted([(i, t) for i, t in texts if passage not in (t or "")], key=str)
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Empty tables, nulls, empty and very long texts, repeated rows, columns with names that the operators use."""
+    given = spark.read.parquet(f"{sf}/documents.parquet").schema
+    long = "The river runs along the old road and nobody minds. " * 4000
+    rows = [(1, long, "en", "a", 0), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, "Plain words.", None, None, 0), (4, "Plain words.", None, None, 0), (None, "No id here.", "en", "a", 0)]
+    odd = spark.createDataFrame(rows, given).selectExpr("*", "'x' AS score", "1 AS _key", "true AS kept", "'y' AS spans")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, odd.limit(0), sf)
+        assert empty.collect() == [], name
+        out = stage(spark, odd, sf)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == corpus_pipeline.COLUMNS
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((r[0] or 0, r[1] or "") for r in rows), name
+        else:
+            assert {r["doc_id"]: r["n_tokens"] > 0 for r in out.collect()} == {1: True, 2: False, 3: False, 4: True, None: True}
