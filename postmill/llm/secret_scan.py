@@ -4,7 +4,8 @@ The patterns are taken leftmost and non-overlapping, kind by kind. Besides, ever
 a credential word (`pwd`, `login`, `private key` and the like) is cut into dictionary words, dates,
 repeats, keyboard walks and brute-force runs by dynamic programming so that the product of the
 parts' guesses is least; a value that still costs 10^8 guesses or more is a secret, kind `guess`.
-Placeholders such as `changeme` or `aaaaaaaa` and ordinary words cost little and are left alone. The search
+Placeholders such as `changeme` or `aaaaaaaa` and ordinary words cost little and are left alone; so is a
+value of letters that reads like words, by a model of three letters in a row learnt from the word list. The search
 goes on from the start of a value left alone, as it may be a credential word itself. The words
 are those of two public tokenizers, in the order of their merges, which is about that of frequency.
 
@@ -22,6 +23,7 @@ import hashlib
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,6 +74,11 @@ STEPS = {(a, b) for row in ROWS for a, b in (*zip(row, row[1:]), *zip(row[1:], r
 #: Letters of the least word taken from the tokenizers; shorter ones are found in any random value.
 LEAST_WORD = 4
 
+#: A word costs at most so much a letter; of eight random letters one value in a hundred does.
+LIKE_WORDS, LONGEST_WORD, LETTERS = 1.48, 24, 40
+
+PUNCTUATION, JOINTS = ".,;:!?()[]{}…", re.compile("[-–'’/]")
+
 #: Alphabets a guesser tries: small and capital letters, digits, symbols, and all else.
 ALPHABETS = (26, 26, 10, 33, 100)
 
@@ -143,6 +150,33 @@ def guess_cost(value: str) -> float:
     return min(best[n], *opened.values()) if n else 0.0
 
 
+@lru_cache(maxsize=1)
+def letter_model() -> tuple[Counter, Counter]:
+    """How often three letters, and the first two of them, follow one another in the words."""
+    three, two = Counter(), Counter()
+    for word in word_ranks()[0]:
+        edged = f"^^{word}$"
+        for i in range(len(edged) - 2):
+            three[edged[i : i + 3]] += 1
+            two[edged[i : i + 2]] += 1
+    return three, two
+
+
+def letter_cost(word: str) -> float:
+    """log10 of the guesses per letter of a word that is made up letter by letter as words are."""
+    three, two = letter_model()
+    edged = f"^^{word.lower()}$"
+    odds = [(three[edged[i : i + 3]] + 0.05) / (two[edged[i : i + 2]] + 0.05 * LETTERS) for i in range(len(edged) - 2)]
+    return -sum(map(math.log10, odds)) / len(odds)
+
+
+def reads_like_words(value: str) -> bool:
+    """A word, or words joined by hyphens and the like, punctuation around them aside."""
+    parts = JOINTS.split(value.strip(PUNCTUATION))
+    plain = lambda w: w.isalpha() and (w.islower() or w.isupper() or w.istitle()) and len(w) <= LONGEST_WORD
+    return all(plain(w) and (len(w) <= 3 or letter_cost(w) <= LIKE_WORDS) for w in parts)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in order."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -155,7 +189,7 @@ def guessed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of costly values after credential words."""
     found, at = [], 0
     while m := CONTEXT.search(text, at):
-        secret = guess_cost(m[1]) >= LEAST_COST
+        secret = guess_cost(m[1]) >= LEAST_COST and not reads_like_words(m[1])
         if secret:
             found.append((m.start(), 3, m.end()))
         at = m.end() if secret else m.start(1)
