@@ -53,7 +53,7 @@ WITH d AS (
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), lines AS (
-  SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (
+  SELECT doc_id, sum(n - 1) AS n_dup_lines, sum(n) AS n_lines FROM (
     SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
   ) GROUP BY doc_id
@@ -63,24 +63,38 @@ WITH d AS (
   SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
 ), inside AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) t(k) GROUP BY doc_id
-), judged AS (
+), measured AS (
   SELECT d.doc_id, d.source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id)
-), failed AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM judged
-), hosts AS (
-  SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failures FROM failed GROUP BY source
+), judged AS (
+  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeats, 10 * n_symbols > n_words AS symbols,
+    100 * n_dup_lines > 30 * n_lines AS lines, word_chars < 3 * n_words OR word_chars > 10 * n_words AS lengths FROM measured
+), failures AS (
+  SELECT source, rule, count(*) AS n, sum(CAST(failed AS INT)) AS f FROM (
+    SELECT source, unnest(['short', 'repeats', 'symbols', 'lines', 'lengths']) AS rule,
+      unnest([short, repeats, symbols, lines, lengths]) AS failed FROM judged
+  ) GROUP BY source, rule
+), fitted AS (
+  SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v, sum(n) AS total FROM failures GROUP BY rule
 ), prior AS (
-  SELECT m, greatest(1.0, least(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE total END, total)) AS s
-  FROM (SELECT avg(failures / n) AS m, var_pop(failures / n) AS v, sum(n) AS total FROM hosts)
-), shrunk AS (
-  SELECT source, (failures + m * s) / (n + s) AS rate FROM hosts, prior
+  SELECT rule, m, greatest(1.0, least(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE total END, total)) AS s FROM fitted
+), posterior AS (
+  SELECT source, rule, m, s, n, (f + m * s) / (n + s) AS p FROM failures JOIN prior USING (rule)
+), verdicts AS (
+  SELECT source, bool_or(p - 2 * sqrt(p * (1 - p) / (n + s + 1)) > m + 2 * sqrt(m * (1 - m) / (s + 1))) AS host_failed,
+    max(p) FILTER (rule = 'short') AS rate_short, max(p) FILTER (rule = 'repeats') AS rate_repeats,
+    max(p) FILTER (rule = 'symbols') AS rate_symbols, max(p) FILTER (rule = 'lines') AS rate_lines,
+    max(p) FILTER (rule = 'lengths') AS rate_lengths
+  FROM posterior GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND rate <= 0.5 AS kept, round(rate, 9) AS shrunk_rate
-FROM failed f JOIN shrunk s ON f.source IS NOT DISTINCT FROM s.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT host_failed AS kept, host_failed, round(rate_short, 9) AS rate_short,
+  round(rate_repeats, 9) AS rate_repeats, round(rate_symbols, 9) AS rate_symbols, round(rate_lines, 9) AS rate_lines,
+  round(rate_lengths, 9) AS rate_lengths
+FROM judged j JOIN verdicts h ON j.source IS NOT DISTINCT FROM h.source
 """
 
 OP13 = r"""
