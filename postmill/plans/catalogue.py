@@ -902,16 +902,14 @@ PAGE_BATCHES = 3
 
 def _streamed_pages(spark: SparkSession, sf: str, folder: str) -> S.PostingStore:
     """The crawl arriving as three micro-batches of files over a store that earlier feeds filled."""
-    crawl = B.detail_pages(spark, sf)
-    earlier, later = crawl.filter(F.col("feed") < "src05"), crawl.filter(F.col("feed") >= "src05")
+    crawl = ingest.staged(B.detail_pages(spark, sf), f"{folder}/crawl")
     store = S.PostingStore(spark, f"{folder}/star")
-    pipeline.run(earlier, store, P.as_of(), "earlier")
-    arriving = ingest.staged(later, f"{folder}/later")
-    for k in range(PAGE_BATCHES):
-        part = arriving.filter(F.col("page_id") % PAGE_BATCHES == k).select("page_id", "url", "html")
-        part.write.parquet(f"{folder}/pages/part={k}")
-        stream = _with_board(stream_pages(spark, f"{folder}/pages/part=*"))
-        pipeline.stream_pages_to_store(stream, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
+    pipeline.run(crawl.filter(F.col("feed") < "src05"), store, P.as_of(), "earlier")
+    arriving = crawl.filter(F.col("feed") >= "src05").select("page_id", "url", "html")
+    for k in range(PAGE_BATCHES):  # a file each, taken one at a time in the order of their writing
+        arriving.filter(F.col("page_id") % PAGE_BATCHES == k).coalesce(1).write.parquet(f"{folder}/pages/part={k}")
+    stream = _with_board(stream_pages(spark, f"{folder}/pages/part=*", files_per_batch=1))
+    pipeline.stream_pages_to_store(stream, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
     return store
 
 

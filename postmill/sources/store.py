@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,12 +250,10 @@ class PostingStore:
 
     def rows(self, without: str | None = None) -> DataFrame:
         """All rows, or those of the other batches."""
-        try:
-            found = self.spark.read.schema(schemas.BATCH_ROW).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schemas.BATCH_ROW)
+        found = self.spark.read.schema(schemas.BATCH_ROW).parquet(self.path)
         return found if without is None else found.filter(F.col("batch") != without)
 
     def read(self) -> Star:
