@@ -82,6 +82,7 @@ def test_streams_add_to_a_store_that_others_fill(spark, tmp_path):
 
 def test_first_rows_of_signatures_over_batches_and_restarts(spark, tmp_path):
     src = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
     known = spark.createDataFrame([("known",)], "url string")
     stream = ingest.stream_first_rows(spark.readStream.schema(COLUMNS).parquet(src), known)
     arrive = lambda *items: spark.createDataFrame(rows(*items), COLUMNS).coalesce(1).write.mode("append").parquet(src)
