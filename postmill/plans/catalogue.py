@@ -588,10 +588,12 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
 def windows_handoff(spark: SparkSession, sf: str) -> DataFrame:
     """What each of many runs hands over: the events inside its window."""
     events = read_table(spark, f"{sf}/events.parquet").select("event_id", "event_type", "ts")
-    held = search.in_windows(events, _runs(spark, sf), column="ts")
+    number = F.col("event_id")
+    totals = {"n": (F.sum, F.lit(1)), "first_id": (F.min, number), "last_id": (F.max, number), "id_sum": (F.sum, number)}
+    held = search.in_windows(events, _runs(spark, sf), column="ts", totals=totals, by=["event_type"])
     return held.groupBy("run_id").agg(
-        F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
-        F.sum("event_id").alias("id_sum"), F.count_distinct("event_type").alias("types"),
+        F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
+        F.sum("id_sum").alias("id_sum"), F.count_distinct("event_type").alias("types"),
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from postmill.operators import matching
+from postmill.operators.search import in_windows
 
 
 def most_rows(df) -> int:
@@ -40,3 +44,35 @@ def test_repeated_and_null_keys_match_as_rows(spark):
     seekers = spark.createDataFrame([(7, ["a"]), (7, ["a", None]), (8, None)], "seeker int, skills array<string>")
     found = matching.match_topk(postings, seekers, k=5).collect()
     assert [(r.seeker, r.rank, r.posting_no) for r in sorted(found)] == [(7, 1, None), (7, 2, None), (7, 3, 1), (7, 4, 1), (7, 5, 1)]
+
+
+def totals() -> dict:
+    return {"n": (F.sum, F.lit(1)), "least": (F.min, F.col("id")), "most": (F.max, F.col("id")), "all": (F.sum, F.col("id"))}
+
+
+def test_totals_in_windows_equal_a_loop(spark):
+    rng = random.Random(4)
+    start = datetime(1969, 12, 31, 23, 59)
+    instant = lambda: start + timedelta(microseconds=rng.choice((rng.randrange(200), rng.randrange(300_000_000))))
+    rows = [(i, rng.choice(("a", "b", None)), instant()) for i in range(200)] + [(900, "a", None)]
+    windows = [(i, instant(), instant()) for i in range(120)]
+    windows += [windows[0], (None, start, start + timedelta(days=9)), (7, None, start), (8, start, None)]
+    events = spark.createDataFrame(rows, "id int, kind string, at timestamp")
+    table = spark.createDataFrame(windows, "run int, since timestamp, until timestamp")
+    found = in_windows(events, table, "at", totals=totals(), by=["kind"]).select("run", "since", "kind", *totals())
+    want = []
+    for run, since, until in windows:
+        for kind in ("a", "b", None):
+            ids = [i for i, k, at in rows if k == kind and None not in (at, since, until) and since <= at < until]
+            want += [(run, since, kind, len(ids), min(ids), max(ids), sum(ids))] if ids else []
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_totals_in_windows_make_no_pairs(spark):
+    second = lambda n: F.timestamp_seconds(n)
+    n = F.col("id")
+    events = spark.range(3000).select("id", second(n).alias("at"))
+    windows = spark.range(1000).select(n.alias("run"), second(n).alias("since"), second(n + 2000).alias("until"))
+    found = in_windows(events, windows, "at", totals=totals())
+    assert most_rows(found) < 200_000  # two million pairs
+    assert found.agg(F.sum("n")).first()[0] == 2_000_000
