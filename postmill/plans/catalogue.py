@@ -665,10 +665,15 @@ def blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
 def _crawl(spark: SparkSession, sf: str) -> DataFrame:
     """The detail pages of the posting view, stored as a crawl and read back."""
     path = f"{ingest.shared_folder(spark)}/crawl"
-    B.detail_pages(spark, sf).select("page_id", "url", "html").write.parquet(path)
+    _dealt(B.detail_pages(spark, sf)).select("page_id", "url", "html").write.parquet(path)
     return _with_board(read_pages(spark, path))
 
 
+def _dealt(pages_: DataFrame) -> DataFrame:
+    """Pages over all tasks and files, however few row groups the documents came in: parsing them costs most."""
+    return pages_.repartition("page_id")
+
+
 def _with_board(pages_: DataFrame) -> DataFrame:
     boards = F.array(*map(F.lit, P.SOURCES))
     return pages_.withColumn("source", F.get(boards, (F.col("page_id") % len(P.SOURCES)).cast("int")))
@@ -904,14 +909,14 @@ PAGE_BATCHES = 3
 
 def _streamed_pages(spark: SparkSession, sf: str, folder: str) -> S.PostingStore:
     """The crawl arriving as three micro-batches of files over a store that earlier feeds filled."""
-    crawl = ingest.staged(B.detail_pages(spark, sf), f"{folder}/crawl")
+    crawl = ingest.staged(_dealt(B.detail_pages(spark, sf)), f"{folder}/crawl")
     store = S.PostingStore(spark, f"{folder}/star")
     pipeline.run(crawl.filter(F.col("feed") < "src05"), store, P.as_of(), "earlier")
     arriving = crawl.filter(F.col("feed") >= "src05").select("page_id", "url", "html")
-    for k in range(PAGE_BATCHES):  # a file each, taken one at a time in the order of their writing
-        arriving.filter(F.col("page_id") % PAGE_BATCHES == k).coalesce(1).write.parquet(f"{folder}/pages/part={k}")
-    stream = _with_board(stream_pages(spark, f"{folder}/pages/part=*", files_per_batch=1))
-    pipeline.stream_pages_to_store(stream, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
+    stream = _with_board(stream_pages(spark, f"{folder}/pages/part=*", files_per_batch=2**31 - 1))
+    for k in range(PAGE_BATCHES):  # each part arrives, and is drained, after the one before; all its files are one batch
+        arriving.filter(F.col("page_id") % PAGE_BATCHES == k).write.parquet(f"{folder}/pages/part={k}")
+        pipeline.stream_pages_to_store(stream, folder, f"{folder}/checkpoint", P.as_of).awaitTermination()
     return store
 
 

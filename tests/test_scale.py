@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+
 from pyspark.sql import functions as F
 
 from postmill.operators import matching
 from postmill.operators.search import in_windows
+from postmill.plans import catalogue
 
 
 def most_rows(df) -> int:
@@ -76,3 +78,23 @@ def test_totals_in_windows_make_no_pairs(spark):
     found = in_windows(events, windows, "at", totals=totals())
     assert most_rows(found) < 200_000  # two million pairs
     assert found.agg(F.sum("n")).first()[0] == 2_000_000
+
+
+def _tables_in_files(spark, sf, to):
+    """The tables, documents in four files."""
+    for name in ("documents", "pages", "customer", "nation"):
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        (table.repartition(4) if name == "documents" else table).write.parquet(f"{to}/{name}.parquet")
+    return str(to)
+
+
+def test_arriving_pages_are_many_files(spark, sf, tmp_path):
+    folder = tmp_path / "run"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalogue._streamed_pages(spark, _tables_in_files(spark, sf, tmp_path / "in"), str(folder))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in range(catalogue.PAGE_BATCHES):
+        assert len(list(folder.glob(f"pages/part={k}/*.parquet"))) > 1
+    assert len(list(folder.glob("runs/run=*"))) == catalogue.PAGE_BATCHES
