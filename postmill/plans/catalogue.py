@@ -850,7 +850,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     stamped = stream.withColumn("extracted_at", P.as_of())
     kept = ingest.stream_first_rows(stamped, store.urls())
     for k in range(3):
-        arriving.filter(F.col("arrival") % 3 == k).coalesce(1).write.parquet(f"{folder}/arrivals/part={k}")
+        arriving.filter(F.col("arrival") % 3 == k).write.parquet(f"{folder}/arrivals/part={k}")
         found = ingest.drain_to_table(kept, folder, "kept")
     return found.select(
         "arrival", "signature", "url", "title", "company", "location", "source", "job_type", "salary",

@@ -98,3 +98,11 @@ def test_arriving_pages_are_many_files(spark, sf, tmp_path):
     for k in range(catalogue.PAGE_BATCHES):
         assert len(list(folder.glob(f"pages/part={k}/*.parquet"))) > 1
     assert len(list(folder.glob("runs/run=*"))) == catalogue.PAGE_BATCHES
+
+
+def test_arriving_postings_are_many_files(spark, sf, tmp_path, monkeypatch):
+    folder = tmp_path / "run"
+    monkeypatch.setattr(catalogue.ingest, "shared_folder", lambda _: str(folder))
+    catalogue.stream_dedup(spark, _tables_in_files(spark, sf, tmp_path / "in"))
+    for k in range(3):
+        assert len(list(folder.glob(f"arrivals/part={k}/*.parquet"))) > 1
