@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from postmill.functions import html as H
 from postmill.operators import matching
 from postmill.operators.search import in_windows
 from postmill.plans import catalogue
@@ -80,6 +81,27 @@ def test_totals_in_windows_make_no_pairs(spark):
     assert found.agg(F.sum("n")).first()[0] == 2_000_000
 
 
+def test_selectors_look_at_elements_that_can_match(spark, monkeypatch):
+    names = ["p", ".c", "#i", "[k]", "p.c", "div > p, .c", "[k*='v'] .c", "b:contains('z')", "div:has(p)", "[class*='c']"]
+    page = H._Flattener()
+    page.feed("<div k='uv' class='cc c c'><p class='c'>1<b>z</b></p></div><p id='i' k>2</p>" + "<i>3</i>" * 500)
+    page.finish()
+    looked, matches = [0], H._matches
+
+    def counted(*args):
+        looked[0] += 1
+        return matches(*args)
+
+    for name in names:
+        each = [H._steps(s) for s in name.split(", ")]
+        want = [e["idx"] for e in page.els if any(matches(page, e, a) for a in each)]
+        assert want and H._group(name)(page) == want
+    monkeypatch.setattr(H, "_matches", counted)
+    for name in names:
+        H._group(name)(page)
+    assert looked[0] < 60
+
+
 def _tables_in_files(spark, sf, to):
     """The tables, documents in four files."""
     for name in ("documents", "pages", "customer", "nation"):
