@@ -28,6 +28,9 @@ from postmill.functions.urls import canonical_url
 from postmill.operators.common import compute_once, explode_once, filter_here
 from postmill.operators.dedup import dedup_urls
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 4 << 20
+
 Tables = Mapping[str, Mapping[str, Sequence[str]]]
 
 # Texts that mark a page as blocked or missing.
@@ -87,7 +90,11 @@ def _keys(table: Mapping[str, Sequence[str]]) -> Iterable[str]:
 
 
 def with_page(pages: DataFrame, tables: Tables = SELECTORS) -> DataFrame:
-    """Add the flattened page as column `page`; `source` decides which selectors are looked for."""
+    """Add the flattened page as column `page`; `source` decides which selectors are looked for.
+
+    From now on batches of this session go to Python at `BATCH_BYTES` at most, a larger page alone.
+    """
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return pages.withColumn("page", H.page_udf({n: _keys(t) for n, t in tables.items()})(F.col("html"), F.col("source")))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 from postmill.functions import html as H
 from postmill.operators import matching
+from postmill.operators import pages as pages_of
 from postmill.operators.search import in_windows
 from postmill.plans import catalogue
 
@@ -81,6 +84,28 @@ def test_totals_in_windows_make_no_pairs(spark):
     assert found.agg(F.sum("n")).first()[0] == 2_000_000
 
 
+def test_pages_are_held_a_few_at_a_time(spark):
+    page = "<body>" + "<div class='a b'><a href='/x'>y</a></div>" * 100
+    flatten = H.page_udf({"board": ["a", ".a"]}).func
+    tracemalloc.start()
+    out = flatten(pa.array([page] * 400 + [None]), pa.array(["board"] * 401))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 401 and out[400].as_py() is None and len(out[399].as_py()["els"]) == 202
+    assert peak < 40e6
+
+
+def test_batches_of_pages_are_bounded(spark):
+    long = spark.range(64).coalesce(1).select(F.col("id").alias("page_id"), F.lit("Bayt").alias("source"), F.repeat(F.lit("x"), 1_000_000).alias("html"))
+    pages_of.with_page(long)  # from here on
+
+    @F.arrow_udf("int")
+    def rows(html: pa.Array) -> pa.Array:
+        return pa.array([len(html)] * len(html), pa.int32())
+
+    assert long.agg(F.max(rows("html"))).first()[0] <= 8
+
+
 def test_selectors_look_at_elements_that_can_match(spark, monkeypatch):
     names = ["p", ".c", "#i", "[k]", "p.c", "div > p, .c", "[k*='v'] .c", "b:contains('z')", "div:has(p)", "[class*='c']"]
     page = H._Flattener()
