@@ -68,13 +68,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches into slices of at most `CHUNK_BYTES` of text and at least one row."""
+def text_chunks(
+    batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into slices of at most `limit` bytes of text and at least one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         first = taken = 0
         for i, size in enumerate(sizes):
-            if taken and taken + size > CHUNK_BYTES:
+            if taken and taken + size > limit:
                 yield batch.slice(first, i - first)
                 first, taken = i, 0
             taken += size

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from functools import partial
 
 import numpy as np
@@ -100,6 +101,58 @@ def test_folded_words_compose_as_in_the_library():
         assert token_output.WordCoder(WORD_BPE, fold).encode([x.encode() for x in texts]) == want
 
 
+def test_words_of_a_text_are_looked_up_once_each():
+    """Distinct words pass through Python one by one, the words of a text do not."""
+    coder = token_output.WordCoder(WORD_BPE, True)
+    some = [t for t in ("the", "of", "and", "in", "to", "is", "for") if len(coder.encode([t.encode()])[0]) == 4]
+    texts = [" ".join(some[k * i % len(some)] for k in range(100_000)).encode() for i in range(1, 21)]
+    coder.encode(texts)
+    tracemalloc.start()
+    got = coder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, got)) - sum(map(len, texts))
+    tracemalloc.stop()
+    assert peak < 30 * 2_000_000  # a list of 2,000,000 words takes more
+    assert [got[0], got[19]] == [library_ids(WORD_BPE, texts[k].decode()) for k in (0, 19)]
+
+
+def library_ids(tokenizer_file, text):
+    from tokenizers import Tokenizer
+
+    return brute.u4(Tokenizer.from_file(tokenizer_file).encode(text, add_special_tokens=False).ids)
+
+
+def test_words_are_cut_as_in_the_library(tmp_path, monkeypatch):
+    """White space and control characters, words met again and forgotten, and a pattern that leaves characters out."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    texts = [f"It's{chr(i)}we'll 'sun''d  x{i}y{chr(i)}" for i in [*range(1, 33), *range(127, 180), 0x2028, 0x3000]]
+    texts += ["", " ", "\n\n a", "<|endoftext|>", "don't 12,345 caf\u00e9s \u65e5\u672c,x", "It's we'll", "\u017f \u0130"]
+    letters = Tokenizer.from_file(WORD_BPE)
+    split = pre_tokenizers.Split(Regex(r"\p{L}+"), "removed", invert=True)
+    letters.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    letters.save(str(tmp_path / "letters.json"))
+    monkeypatch.setattr(token_output, "WORDS_KEPT", 20)
+    monkeypatch.setattr(token_output, "CALL_WORDS", 3)
+    monkeypatch.setattr(token_output, "GATHER_WORDS", 5, raising=False)
+    for file in (WORD_BPE, str(tmp_path / "letters.json")):
+        t = Tokenizer.from_file(file)
+        want = [brute.u4(t.encode(x, add_special_tokens=False).ids) for x in texts]
+        for fold in (True, False):
+            coder = token_output.WordCoder(file, fold)
+            assert coder.encode([x.encode() for x in texts]) == want
+            assert [i for x in texts for i in coder.encode([x.encode()])] == want
+            assert coder.encode([]) == []
+
+
+def test_runs_pack_as_they_do_alone():
+    counts = np.array([1, 0, 4, 5, 3, 0, 9])
+    values = (np.arange(counts.sum()) * 2654435761 % 2**32 >> np.arange(counts.sum()) % 32).astype("<u4")
+    alone = [token_output.pack(run) for run in np.split(values, np.cumsum(counts)[:-1])]
+    control, data = token_output.pack(values, counts)
+    assert (control, data) == (b"".join(c for c, _ in alone), b"".join(d for _, d in alone))
+    assert token_output.unpack(control, data, counts).tolist() == values.tolist()
+
+
 def test_pack_round_trip():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], "<u4")
     for n in range(len(values) + 1):
