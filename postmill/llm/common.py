@@ -42,10 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
+def staged(df: DataFrame, folder: str, name: str, **options: object) -> DataFrame:
     """Write a frame under the shared folder and read it back: it runs once and its lineage ends."""
     path = f"{folder}/{name}"
-    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    df.write.options(**options).option("compression", "zstd").mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,9 @@ item's terms, of weight times the largest impact of the cell on the term's path,
 highest bounds are halved first. A range of one document has its exact score. The search ends when no range
 can beat the last of the best; a task carries those from one of its shards to the next.
 
-The index is written under the shared folder and holds every term of every document. Items are searched
-in blocks of bounded size, each block against all shards.
+The index is written under the shared folder and holds every term of every document; a shard is a row group
+of its own there, so that a task which reads or writes it holds one shard at a time, whatever the size of the
+file. Items are searched in blocks of bounded size, each block against all shards.
 
 Edge cases: a null or empty text has no terms and is found by no item; null doc_ids come first among equal
 scores; repeated doc_ids are documents of their own. An item is a distinct pair of id and text; one
@@ -23,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,16 @@ FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
+#: Bytes that are part of a term.
+IN_TERM = np.frombuffer(FOLD, np.uint8) != 32
+
+#: A shard's row is a row group: readers and writers hold whole groups. Its values are long and all different.
+ROW_GROUPS = {
+    "parquet.block.row.count.limit": 1,
+    "parquet.enable.dictionary": "false",
+    "parquet.column.statistics.enabled": "false",
+}
+
 #: Stands for a null doc_id, which comes first.
 NO_ID = -(1 << 63)
 
@@ -72,7 +84,7 @@ def weight(n_docs: int, df: Column) -> Column:
 def interleaved(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Numbers whose base-4 digits name the quarter at each level: row bit, then column bit."""
     code = np.zeros(len(rows), np.uint64)
-    for b in range(32):
+    for b in range(int(max(rows.max(initial=0), columns.max(initial=0))).bit_length()):
         code |= ((rows >> b) & 1).astype(np.uint64) << np.uint64(2 * b + 1)
         code |= ((columns >> b) & 1).astype(np.uint64) << np.uint64(2 * b)
     return code
@@ -126,16 +138,49 @@ class Treap:
         masks, maxima, ends = (np.concatenate(a) if a else np.zeros(0, t) for a, t in kinds)
         return cls(height, masks, maxima, rows[ends], columns[ends])
 
-    def __post_init__(self) -> None:
-        n, at_end = len(self.masks), self.masks == 0
-        self.empty = n  # a last cell stands for an empty quarter
-        # The cells of the four quarters: children are numbered as their parents are.
-        self.down = np.full(4 * (n + 1), n, np.int32)
+    @cached_property
+    def empty(self) -> int:
+        """A last cell, which stands for an empty quarter."""
+        return len(self.masks)
+
+    @cached_property
+    def down(self) -> np.ndarray:
+        """The cells of the four quarters: children are numbered as their parents are."""
+        down = np.full(4 * (self.empty + 1), self.empty, np.int32)
         quarters = np.flatnonzero((self.masks[:, None] >> np.arange(4, dtype=np.uint8)) & 1)
-        self.down[quarters] = np.arange(1, len(quarters) + 1, dtype=np.int32)
-        self.most = np.append(self.maxima, 0).astype(np.int32)
-        self.row, self.column = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)  # of the ends
-        self.row[:-1][at_end], self.column[:-1][at_end] = self.end_rows, self.end_columns
+        down[quarters] = np.arange(1, len(quarters) + 1, dtype=np.int32)
+        return down
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        return np.append(self.maxima.astype(np.int32, copy=False), np.int32(0))
+
+    def _of_ends(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(self.empty + 1, -1, np.int32)
+        out[:-1][self.masks == 0] = values
+        return out
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Of the cells that are ends; -1 of others."""
+        return self._of_ends(self.end_rows)
+
+    @cached_property
+    def column(self) -> np.ndarray:
+        return self._of_ends(self.end_columns)
+
+    @cached_property
+    def parting(self) -> int:
+        """The last level whose first range holds all documents: above it, halves of documents part nothing."""
+        return self.height - max(1, int(self.end_columns.max(initial=0)).bit_length())
+
+    def descended(self, rows: np.ndarray) -> np.ndarray:
+        """The cell of each row at the level `parting`."""
+        cells = self.of_rows(np.zeros(len(rows), np.int32), rows)
+        for level in range(self.parting):
+            quarter = cells * 4 + ((rows >> (self.height - 1 - level)) & 1) * 2
+            cells = self.of_rows(np.where(self.row[cells] >= 0, cells, self.down[quarter]), rows)
+        return cells
 
     def of_rows(self, cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The cells, but for ends that are of another row."""
@@ -168,8 +213,8 @@ class Treap:
         rows = rows.astype(np.int32)
 
         # The open ranges: bound, level, number at that level, and the cell of each row.
-        cells = self.of_rows(np.zeros((1, len(rows)), np.int32), rows)
-        bounds, levels, ranges = self.most[cells] @ weights, np.zeros(1, np.int32), np.zeros(1, np.int32)
+        cells = self.descended(rows)[None]
+        bounds, levels, ranges = self.most[cells] @ weights, np.full(1, self.parting, np.int32), np.zeros(1, np.int32)
         while len(bounds):
             taken = np.argpartition(-bounds, STEP)[:STEP] if len(bounds) > STEP else np.arange(len(bounds))
             left = np.ones(len(bounds), bool)
@@ -204,6 +249,21 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return docs[np.asarray(some)], words.filter(some)
 
 
+def term_counts(texts: pa.Array) -> np.ndarray:
+    """How many terms each text holds."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = IN_TERM[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = ends[:-1][np.diff(ends) > 0]  # a term may begin where the text before it has ended with one
+    begins[firsts] = inside[firsts]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), ends))
+
+
 def shard(ids: list[int | None], texts: pa.Array, n_docs: int, n_terms: int) -> dict:
     """One row of the index."""
     order = sorted(range(len(ids)), key=lambda i: NO_ID if ids[i] is None else ids[i])
@@ -245,9 +305,15 @@ INDEX_ARROW = pa.schema(
 
 def build_index(docs: DataFrame, folder: str) -> tuple[DataFrame, int]:
     """The index of all documents, written under `folder`, and how many of them hold a term."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0))
-    stats = docs.select(n.cast("long").alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
-    n_docs, n_terms = stats["docs"], stats["terms"] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = term_counts(batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"docs": [int(np.count_nonzero(n))], "terms": [int(n.sum())]})
+
+    counted = docs.select("text").mapInArrow(count, "docs long, terms long")
+    stats = counted.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    n_docs, n_terms = stats["docs"] or 0, stats["terms"] or 0
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -271,9 +337,10 @@ def build_index(docs: DataFrame, folder: str) -> tuple[DataFrame, int]:
             ids.extend(names[first:])
         if ids:
             yield close()
+        pa.default_memory_pool().release_unused()  # the worker stays and serves other tasks
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(build, INDEX)
-    return staged(rows, folder, "index"), n_docs
+    return staged(rows, folder, "index", **ROW_GROUPS), n_docs
 
 
 def document_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -304,31 +371,56 @@ def weighted_items(items: DataFrame, index: DataFrame, n_docs: int, folder: str)
     return staged(grouped, folder, "items")
 
 
+@dataclass
+class Block:
+    """Items as arrays: the terms and weights of all, those of one item side by side from `starts` on."""
+
+    ids: list[int | None]
+    keys: list[str]
+    starts: np.ndarray
+    terms: pa.Array
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, items: pa.Array) -> Block:
+        """From the list of (item_id, key, terms) in a row."""
+        ids, keys, lists = items.flatten().flatten()
+        terms, weights = lists.flatten().flatten()
+        starts = np.append(0, np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64)))
+        return cls(ids.to_pylist(), keys.to_pylist(), starts, terms.cast(pa.binary()), np.asarray(weights))
+
+    def rows(self, spelt: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each item that has any of a shard's terms: its number, the rows of its terms, their weights."""
+        rows = np.asarray(pc.fill_null(pc.index_in(self.terms, value_set=spelt), -1))
+        there = (rows >= 0) & (self.weights > 0)
+        for q in range(len(self.ids)):
+            own = slice(self.starts[q], self.starts[q + 1])
+            if there[own].any():
+                yield q, rows[own][there[own]], self.weights[own][there[own]]
+
+
 def search(index: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The k best documents in each task for each item of one block: (item_id, key, doc_id, score)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: list[dict] | None = None
+        asked: Block | None = None
         best: list[list[tuple[int, int]]] = []
         for batch in batches:
             for at in range(batch.num_rows):
                 part = batch.slice(at, 1)
-                if queries is None:  # every row of a task carries the same block
-                    queries = part.column("items")[0].as_py()
-                    best = [[] for _ in queries]
-                row = {c: part.column(c)[0].as_py() for c in part.schema.names if c not in ("items", "ids")}
+                if asked is None:  # every row of a task carries the same block
+                    asked = Block.of(part.column("items"))
+                    best = [[] for _ in asked.ids]
+                masks, *three = (part.column(c)[0].as_buffer() for c in ("masks", "maxima", "end_rows", "end_columns"))
                 ids = np.asarray(pc.fill_null(part.column("ids").flatten(), NO_ID))
-                number = {t: r for r, t in enumerate(row["terms"].split(b"\n"))}
-                three = (np.frombuffer(row[c], "<i4") for c in ("maxima", "end_rows", "end_columns"))
-                tree = Treap(row["height"], np.frombuffer(row["masks"], np.uint8), *three)
-                for q, item in enumerate(queries):
-                    here = [(r, t["w"]) for t in item["terms"] if t["w"] > 0 and (r := number.get(t["term"].encode())) is not None]
-                    if here:
-                        rows, weights = np.array(here, np.int64).T
-                        best[q] = tree.best(rows, weights, ids, k, best[q])
-        found = [(i["item_id"], i["key"], None if d == NO_ID else d, -s) for i, b in zip(queries or [], best, strict=True) for s, d in b]
+                tree = Treap(part.column("height")[0].as_py(), np.frombuffer(masks, np.uint8), *(np.frombuffer(b, "<i4") for b in three))
+                for q, rows, weights in asked.rows(pc.split_pattern(part.column("terms").cast(pa.binary()), b"\n").flatten()):
+                    best[q] = tree.best(rows, weights, ids, k, best[q])
+        ranked = zip(asked.ids, asked.keys, best, strict=True) if asked else ()
+        found = [(i, key, None if d == NO_ID else d, -s) for i, key, b in ranked for s, d in b]
         columns = list(zip(*found, strict=True)) or [[]] * 4
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item_id", "key", "doc_id", "score"]
         )

@@ -7,6 +7,8 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import brute
@@ -277,3 +279,44 @@ def test_treap_bounds_hold_and_answers_are_exact():
         scores = weights @ grid[asked]
         want = sorted((-s, d) for s, d in zip(scores.tolist(), ids.tolist(), strict=True) if s > 0)[:7]
         assert tree.best(asked, weights, ids, 7, []) == want
+
+
+def test_treap_with_far_more_terms_than_documents():
+    rng = np.random.default_rng(4)
+    for n_columns in (1, 2, 5):
+        pairs = np.unique(rng.integers(0, 700 * n_columns, 900))
+        rows, columns = pairs // n_columns, pairs % n_columns
+        impact = rng.integers(1, 1000, len(pairs))
+        tree = ranked_search.Treap.build(rows, columns, impact)
+        assert tree.height == 10 and tree.parting == 10 - max(1, (n_columns - 1).bit_length())
+        grid = np.zeros((700, n_columns), int)
+        grid[rows, columns] = impact
+        ids = np.arange(n_columns) * 3
+        for _ in range(30):
+            asked = np.unique(rng.integers(0, 700, 9))
+            weights = rng.integers(1, 9, len(asked))
+            scores = weights @ grid[asked]
+            want = sorted((-s, d) for s, d in zip(scores.tolist(), ids.tolist(), strict=True) if s > 0)[:3]
+            assert tree.best(asked, weights, ids, 3, []) == want
+
+
+def test_terms_are_counted_as_the_rule_finds_them():
+    rng = random.Random(3)
+    alphabet = "aZ09 \n\t\x00\x7f-@[`{\x80é日😀"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(400)] + [None, "", "a", "a", "-a-", None]
+    for kind in (pa.string(), pa.large_string()):
+        for some in (texts, [], [None], [""]):
+            want = [len(TERM.findall(t or "")) for t in some]
+            assert ranked_search.term_counts(pa.array(some, kind)).tolist() == want
+        assert ranked_search.term_counts(pa.array(texts, kind).slice(7, 50)).tolist() == [len(TERM.findall(t or "")) for t in texts[7:57]]
+
+
+def test_a_shard_is_read_and_written_alone(spark, monkeypatch, tmp_path):
+    """A task holds whole row groups: with all shards of a file in one, its memory grows with the file."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 400)
+    docs = spark.createDataFrame([(i, f"word{i} and more words " * 4) for i in range(60)], "doc_id long, text string").coalesce(1)
+    index, n_docs = ranked_search.build_index(docs, str(tmp_path / "kept"))
+    files = [pq.read_metadata(f) for f in (tmp_path / "kept" / "index").glob("*.parquet")]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert n_docs == 60 and len(groups) == index.count() > 5 and set(groups) == {1}
+    assert sorted(i for r in index.collect() for i in r["ids"]) == list(range(60))
